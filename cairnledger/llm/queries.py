@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, minhash, mixing, outliers, secrets, token_cache
+from . import backoff, bpe, chunks, html, merkle, minhash, mixing, outliers, secrets, token_cache
 from .common import shared_folder
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(documents(spark, sf_dir))
+
+
 def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir)).drop("lang", "source")
 
@@ -40,6 +44,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     return found.select(
@@ -66,6 +78,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_outliers, op4_token_counts, op5_near_duplicates, op8_secrets, op9_bpe, op10_html)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_substrings, op3_outliers, op4_token_counts, op5_near_duplicates,
+        op6_merkle, op7_backoff, op8_secrets, op9_bpe, op10_html,
+    )
+}
 
 ORACLE: dict[str, str] = {}
