@@ -32,8 +32,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 WHITE = r"\x20\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Bytes of text whose words are encoded together, and the distinct words that a worker keeps.
-SLICE_BYTES = 16 << 20
-KEPT_WORDS = 400_000
+SLICE_BYTES = 8 << 20
+KEPT_WORDS = 200_000
 
 
 def printable_bytes() -> dict[str, int]:
