@@ -153,14 +153,16 @@ def linked_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     return common.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the smallest id of the component) and kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")).withColumn(
-        "text_key", F.unhex(F.md5(F.coalesce("__text", F.lit(""))))
-    )
+TEXT_KEY = lambda text: F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, text_key, n_shingles, component_id (the smallest id of the component), kept
+    (whether that is its own), and is_representative, which holds for one (doc_id, text_key) of each component."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")).withColumn("text_key", TEXT_KEY(F.col("__text")))
     rows = as_table(signed(texts, width))
     nodes = rows.where(F.col("n_shingles") > 0).groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("first"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"),
         F.min("keys").alias("keys"), F.min("sketch").alias("sketch"),
     )
     nodes = as_table(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -188,9 +190,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         checked = cut_lineage(checked.unionByName(fresh))
         edges = cut_lineage(edges.unionByName(linked_pairs(fresh, nodes, plain, width, percent)))
 
-    named = nodes.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = named.join(lowest, "root").select("digest", "component_id")
-    found = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_set = named.join(named.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("digest", "lowest")
+    found = rows.select("doc_id", "text_key", "n_shingles", "digest").join(of_set, "digest", "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(some, F.col("lowest.doc_id")).otherwise(F.col("doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("text_key") == F.col("lowest.text_key"))
+    return found.select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), (~some | same).alias("is_representative"),
+    )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    return classes(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, of which one of each component stays: that of the smallest id. Rows that agree
+    in id and text are one document."""
+    columns = docs.columns
+    keep = classes(docs, width, percent, id_col, text_col).where("is_representative").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).distinct()
+    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(id_col).cast("long").alias("doc_id"), TEXT_KEY(F.col(text_col)).alias("text_key"))
+    kept = named.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_key"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -148,26 +148,48 @@ def estimates(rows: DataFrame) -> DataFrame:
     return cut_lineage(by_group(state, middle, n).select(*state.columns, scale))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """rows with the keys of the group that judges each: its language and source if they have rows enough, else all rows."""
-    sizes = cut_lineage(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows_of_group")))
-    s = small(sizes.withColumnsRenamed({"lang": "__lang", "source": "__source"}), sizes.count())
-    joined = rows.join(s, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
-    few = F.col("rows_of_group") < LEAST_ROWS
-    alone = lambda c: F.when(~few, F.col(c))
-    return joined.select(*rows.columns, few.alias("g_all"), alone("lang").alias("g_lang"), alone("source").alias("g_source"))
+def judges(passed: DataFrame) -> DataFrame:
+    """(lang, source) to the estimate that judges its rows (m_i, k_ij, scale): its own if it has rows enough, else that of all."""
+    sizes = cut_lineage(passed.groupBy("lang", "source").agg((F.count(F.lit(1)) < LEAST_ROWS).alias("g_all")))
+    n = sizes.count()
+    alone = lambda c: F.when(~F.col("g_all"), F.col(c))
+    groups = sizes.select("lang", "source", "g_all", alone("lang").alias("g_lang"), alone("source").alias("g_source"))
+    keys = ["g_all", "g_lang", "g_source"]
+    own = same_group(passed.select("lang", "source", *FEATURES), groups.where(~F.col("g_all")), n).select(*keys, *FEATURES)
+    every = passed.select(F.lit(True).alias("g_all"), *(F.lit(None).cast("string").alias(k) for k in keys[1:]), *FEATURES)
+    return cut_lineage(by_group(groups, estimates(own.unionByName(every)), n).drop(*keys))
+
+
+def same_group(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """rows joined to columns of their language and source; nulls are values."""
+    g = small(groups.withColumnsRenamed({"lang": "h_lang", "source": "h_source"}), n)
+    return rows.join(g, F.col("lang").eqNullSafe(F.col("h_lang")) & F.col("source").eqNullSafe(F.col("h_source"))).drop("h_lang", "h_source")
+
+
+def with_verdict(passed: DataFrame, fits: DataFrame) -> DataFrame:
+    judged = same_group(passed, fits, fits.count()).withColumn("distance", distance() / F.col("scale"))
+    return judged.drop(*FEATURES, *fits.drop("lang", "source").columns).withColumn("kept", F.col("distance") <= CUTOFF)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, the statistics, base_failed, distance and kept."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     stats = as_table(text_statistics(named).drop("text").withColumn("base_failed", base_failed()))
-    passed = grouped(stats.where(~F.col("base_failed")).select("*", *features()))
-    passed = as_table(passed)
-    own = passed.select("g_all", "g_lang", "g_source", *FEATURES)
-    everything = passed.select(F.lit(True).alias("g_all"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source"), *FEATURES)
-    fits = estimates(own.where(~F.col("g_all")).unionByName(everything))
-    judged = by_group(passed, fits, fits.count()).withColumn("distance", distance() / F.col("scale"))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), "lang", "source")
-    return judged.select(*columns, "distance", (F.col("distance") <= CUTOFF).alias("kept"), "lang", "source").unionByName(failed)
+    passed = stats.where(~F.col("base_failed")).select("*", *features())
+    failed = stats.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "lang", "source"]
+    return with_verdict(passed, judges(passed)).select(*columns).unionByName(failed.select(*columns))
+
+
+def kept_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their columns. Statistics are computed for the estimates and again for the
+    verdicts, which spares a shuffle of the texts."""
+    columns = docs.columns
+    named = docs.select(
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)),
+        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"),
+    )
+    passed = lambda rows: text_statistics(rows).where(~base_failed()).select("*", *features())
+    narrow = as_table(passed(named.select("lang", "source", "text")).select("lang", "source", *FEATURES))
+    kept = with_verdict(passed(named), judges(narrow)).where("kept")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -109,11 +109,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repositories, "digest").withColumn("live", live)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, owner, base counts, `base` and `spans` (arrays of start, kind, end): all
     base spans, and with them the further ones that are live; n_live and n_example count the values among all found."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
-    scanned = as_table(scan(named, keep=("doc_id", "owner")).withColumn("__row", F.monotonically_increasing_id()))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"), *keep)
+    scanned = as_table(scan(named, keep=("doc_id", "owner", *keep)).withColumn("__row", F.monotonically_increasing_id()))
     each = scanned.where(F.size("found") > 0).select("__row", "doc_id", "owner", F.explode("found").alias("f")).select(
         "__row", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("__row"))).alias("repository"), "owner", "f.*"
     )
@@ -131,7 +131,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return scanned.drop("found").join(judged, "__row", "left").select(
-        "doc_id", "owner", "n_assign", "n_access", "n_hex",
+        "doc_id", "owner", *keep, "n_assign", "n_access", "n_hex",
         *(F.coalesce(c, none).alias(c) for c in ("base", "spans")),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_example")),
     )
@@ -142,3 +142,31 @@ def span_names(spans) -> F.Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """docs with `mark` in place of every base span and every live further span; `length_col`, if docs has it, counts anew.
+
+    What is found depends on a text and the corpus, so spans are joined to texts by the digest of the text.
+    """
+    columns = docs.columns
+    key = lambda c: F.unhex(F.md5(F.coalesce(F.col(c), F.lit(""))))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("source"), F.col(text_col).alias("text"), key(text_col).alias("text_key"))
+    spans = find_secrets(named, keep=("text_key",)).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"))
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"), key(text_col).alias("text_key"))
+    joined = rows.join(spans, "text_key", "left")
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
+            F.struct(
+                F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["start"] >= a["at"], mark).otherwise("")).alias("out"),
+                s["end"].alias("at"),
+            )
+        ),
+        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+    )
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(covered)
+    out = joined.withColumn("clean", text)
+    value = lambda i, c: F.col("clean") if c == text_col else F.length("clean").cast(docs.schema[c].dataType) if c == length_col else F.col(f"c{i}")
+    return out.select(*(value(i, c).alias(c) for i, c in enumerate(columns)))
