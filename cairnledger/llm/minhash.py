@@ -4,9 +4,9 @@ A text is the set of its distinct word shingles. Texts with equal sets become on
 minimum for each bin of one permutation; an empty bin borrows from the filled bin that comes first in the bin's own
 random order, so that borrowed minima too agree with the probability of the similarity. Rows of the signature are banded;
 a band's value is a bucket. In each bucket the smallest node is the hub of a star: every other member is compared
-with it, on full sets, after a bound by sizes and one-bit sketches. A bucket whose members do not all belong to one component
-then goes on without its hub, so that no pair of different components in a bucket stays uncompared; members of
-one component need not be compared with each other.
+with it, on full sets, after a bound by sizes and one-bit sketches. A bucket whose members do not all belong to one component stays
+open: in two more rounds some and then all of its members are hubs, and are compared only with members of other components, so
+no pair of a bucket that could still join two components stays uncompared.
 
 With the defaults a pair at the threshold of 0.8 misses all buckets with probability 3e-7, pairs above it less often.
 
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, byte_words, cut_lineage, text_slices
+from .common import as_table, byte_words, text_slices
 from .components import components
 
 #: Rows of a band and bands; their product is the number of bins. Bits of the sketch, and mismatches beyond which a
 #: pair is surely below the threshold: at 0.8 a tenth of the bits differ, and 36 are seven standard deviations more.
 ROWS, BANDS, BITS, MISMATCHES = 6, 50, 128, 36
 BINS = ROWS * BANDS
+#: After the stars, one in so many members of the buckets still open is a hub, then every one.
+FURTHER_HUBS = (16, 1)
 SLICE_BYTES = 8 << 20
 KEPT_WORDS = 400_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -140,10 +142,13 @@ def likely(percent: int) -> Column:
     return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (differ <= allowed)
 
 
-def linked_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) whose full sets reach the threshold. The sets are made anew from one text of each node at hand."""
-    side = lambda p: nodes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch"))
-    near = as_table(pairs.join(side("a"), "a").join(side("b"), "b").where(likely(percent)).select("a", "b", "a_n", "b_n"))
+def side(nodes: DataFrame, p: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch"))
+
+
+def linked_pairs(near: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of near (a, b, a_n, b_n) whose full sets reach the threshold. The sets are made anew from one text of
+    each node at hand."""
     at_hand = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = nodes.join(at_hand, "node", "left_semi").select("node", "text_key")
     texts = docs.join(keys, "text_key").groupBy("node").agg(F.first("__text").alias("__text"))
@@ -170,25 +175,26 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     members = nodes.select(F.explode("keys").alias("key"), "node")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
     buckets = as_table(members.join(shared, "key"))
-    pairs = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    checked = cut_lineage(pairs)
+    stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = stars.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(likely(percent)).select("a", "b", "a_n", "b_n")
+    checked = as_table(near)
     plain = texts.select("text_key", "__text")
-    edges = cut_lineage(linked_pairs(checked, nodes, plain, width, percent))
-    while True:
+    edges = as_table(linked_pairs(checked, nodes, plain, width, percent))
+    for share in FURTHER_HUBS:
         roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        # What is left of a bucket without its hub, if it belongs to more than one component.
-        rest = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rest.groupBy("key").agg(F.min("node").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("hub_root"))
-        buckets = cut_lineage(rest.join(mixed.where("low <> high").select("key", "hub", "hub_root"), "key"))
-        pairs = buckets.where("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = cut_lineage(pairs.join(checked, ["a", "b"], "left_anti"))
-        buckets = buckets.select("key", "node", "hub")
-        if buckets.isEmpty():
-            break
-        if fresh.isEmpty():
-            continue
-        checked = cut_lineage(checked.unionByName(fresh))
-        edges = cut_lineage(edges.unionByName(linked_pairs(fresh, nodes, plain, width, percent)))
+        # Only buckets whose members belong to more than one component go on, and in them only pairs of two components.
+        rooted = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        open_ = as_table(rooted.join(mixed, "key").join(nodes.select("node", "n_shingles", "sketch"), "node"))
+        hubs = open_.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("key", F.col("root").alias("a_root"), F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sketch").alias("a_sketch"))
+        others = open_.select("key", F.col("root").alias("b_root"), F.col("node").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sketch").alias("b_sketch"))
+        met = hubs.join(others, "key").where((F.col("a_root") != F.col("b_root")) & likely(percent))
+        low_first = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "a_n", "b_n")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n")))
+        fresh = met.select(low_first.alias("p")).select("p.*").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = as_table(fresh)
+        checked = checked.unionByName(fresh)
+        edges = as_table(edges.unionByName(linked_pairs(fresh, nodes, plain, width, percent)))
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_set = named.join(named.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("digest", "lowest")
