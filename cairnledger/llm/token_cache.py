@@ -25,7 +25,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import as_table, text_slices
 
-SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
+SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 SLICE_BYTES = 8 << 20
 KEPT_WORDS = 400_000
 
@@ -82,7 +82,7 @@ def encode_counts(contents: DataFrame, tokenizer: str) -> DataFrame:
             n = counter(tokenizer).count(part.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array(np.array(n, np.int64))], ["content_digest", "n_tokens"])
 
-    return contents.select("content_digest", "__text").mapInArrow(run, "content_digest string, n_tokens long")
+    return contents.select("content_digest", "__text").mapInArrow(run, "content_digest binary, n_tokens long")
 
 
 def stored_counts(spark, cache: str, version: str) -> DataFrame | None:
@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text_col: str = "t
     """One row for each row of docs: the `keep` columns, n_bytes and n_tokens of the whole text."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, text.alias("__text")).withColumn("content_digest", F.sha2("__text", 256))
+    rows = docs.select(*keep, text.alias("__text")).withColumn("content_digest", F.unhex(F.sha2("__text", 256)))
     held = stored_counts(spark, cache, version)
     misses = rows.select("content_digest", "__text")
     if held is not None:
@@ -110,6 +110,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text_col: str = "t
     distinct = misses.groupBy("content_digest").agg(F.first("__text").alias("__text"))
     fresh = encode_counts(distinct, tokenizer).withColumn("tokenizer_digest", F.lit(version))
     fresh.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache)
-    known = stored_counts(spark, cache, version)
+    known = as_table(stored_counts(spark, cache, version))  # joined as a table, so a frequent digest can be split
     narrow = as_table(rows.select(*keep, "content_digest", F.octet_length("__text").cast("long").alias("n_bytes")))
     return narrow.join(known, "content_digest").select(*keep, "n_bytes", "n_tokens")
