@@ -1,5 +1,432 @@
-"""The registered queries of the ledger engine with the SQL that states the same."""
+"""The registered queries of the ledger engine, each with the SQL that states the same over the same tables."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, money, text
+from ..operators import categories, geometry, identity, recurrence, spending, statements, transfers
+from ..sources.driver_tables import CTES, Ledger, ledger
+from . import derived
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 FLAGSHIP = "agg_01_spending_summary"
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL if SQL can state it."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = f"WITH {', '.join(c.strip() for c in ctes)} {sql}" if ctes else sql
+        return f
+
+    return put
+
+
+def over_ledger(sql: str | None = None):
+    """The same, for a function of a ledger."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ledger(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        return query(sql, CTES)(run) if sql is not None else query()(run)
+
+    return put
+
+
+OUT, IN, NET = "amount_minor < 0", "amount_minor > 0 AND kind <> 'card'", "(amount_minor < 0 OR kind <> 'card')"
+SINCE, UNTIL = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
+RANGE = f"posted_date BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}'"
+BIG = "CAST(sum({}) AS BIGINT)"
+LABELLED = "(SELECT b.*, e.category FROM base b LEFT JOIN enrichment e USING (txn_id))"
+
+
+@over_ledger(f"SELECT category, count(*) AS n_rows, {BIG.format('effective')} AS total_minor FROM {LABELLED} WHERE {OUT} GROUP BY category")
+def agg_01_spending_summary(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.spending_summary(l, "out")
+
+
+@over_ledger(f"SELECT category, count(*) AS n_rows, {BIG.format('effective')} AS total_minor FROM {LABELLED} WHERE {IN} AND {RANGE} GROUP BY category")
+def flt_02_income_summary(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.spending_summary(l, "in", since=SINCE, until=UNTIL)
+
+
+@over_ledger(f"SELECT category, count(*) AS n_rows, {BIG.format('effective')} AS total_minor FROM {LABELLED} WHERE {NET} AND account_id IN (1, 2, 3, 4, 5, 8) AND category IN ('Grocery', 'Travel') GROUP BY category")
+def flt_04_net_of_accounts(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.spending_summary(l, "net", accounts=[1, 2, 3, 4, 5, 8], categories=["Grocery", "Travel"])
+
+
+@over_ledger(f"SELECT txn_id, account_id, posted_date, amount_minor, effective, category, counterparty_norm FROM {LABELLED} WHERE {NET} AND (contains(upper(counterparty_norm), 'SHOP 4') OR contains(upper(description_raw), 'SHOP 4'))")
+def flt_05_search(l: Ledger) -> DataFrame:  # noqa: E741
+    rows = spending.filtered(spending.with_category(spending.spending_base(l, "net"), l), SINCE, UNTIL, text="shop 4")
+    return rows.select("txn_id", "account_id", "posted_date", "amount_minor", "effective", "category", "counterparty_norm")
+
+
+@over_ledger("""SELECT txn_id, account_id, posted_date, amount_minor FROM txn WHERE amount_minor < 0
+    AND txn_id NOT IN (SELECT out_txn_id FROM transfer_link) AND txn_id NOT IN (SELECT in_txn_id FROM transfer_link WHERE in_txn_id IS NOT NULL)""")
+def flt_08_targets(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.targets(l).select("txn_id", "account_id", "posted_date", "amount_minor")
+
+
+@over_ledger(f"""SELECT total_minor, CAST(round_even(total_minor / 16.0, 0) AS BIGINT) AS per_day, CAST(round_even(total_minor * 7 / 16.0, 0) AS BIGINT) AS per_week,
+    CAST(round_even(total_minor * 30 / 16.0, 0) AS BIGINT) AS per_month FROM (SELECT {BIG.format('effective')} AS total_minor FROM base WHERE {OUT} AND {RANGE})""")
+def agg_02_averages(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.averages(l, SINCE, UNTIL)
+
+
+@over_ledger(f"SELECT expense_txn_id AS txn_id, {BIG.format('i.amount_minor')} AS paid FROM payback JOIN txn i ON i.txn_id = income_txn_id GROUP BY 1")
+def agg_03_paid_back(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.paid_back(l)
+
+
+def trend_sql(width: str) -> str:
+    return f"""SELECT CAST(date_trunc('{width}', posted_date) AS DATE) AS bucket, CAST(sum(CASE WHEN effective < 0 THEN effective ELSE 0 END) AS BIGINT) AS out_minor,
+        CAST(sum(CASE WHEN effective >= 0 THEN effective ELSE 0 END) AS BIGINT) AS in_minor, {BIG.format('effective')} AS net_minor, count(*) AS n_rows
+        FROM base WHERE {NET} GROUP BY 1"""
+
+
+@over_ledger(trend_sql("week"))
+def agg_04_trend(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.trend(l, "week")
+
+
+@over_ledger(f"SELECT *, CAST(round_even(sum(out_minor) OVER w / CAST(count(*) OVER w AS DOUBLE), 0) AS BIGINT) AS rolling_minor, count(*) OVER w AS rolling_of FROM ({trend_sql('day')}) WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)")
+def win_01_rolling(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.rolling(spending.trend(l, "day"), "day")
+
+
+@over_ledger(f"SELECT CAST(round_even(avg(out_minor), 0) AS BIGINT) AS mean_minor, CAST(round_even(median(out_minor), 0) AS BIGINT) AS median_minor FROM ({trend_sql('day')}) WHERE out_minor < 0")
+def agg_06_trend_centre(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.trend_centre(spending.trend(l, "day"))
+
+
+@over_ledger(f"SELECT category, count(*) AS n_rows, {BIG.format('amount_minor')} AS total_minor FROM enrichment JOIN txn USING (txn_id) GROUP BY 1")
+def agg_07_category_totals(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.category_totals(l)
+
+
+@over_ledger("SELECT counterparty_norm, count(*) AS n_rows FROM txn WHERE counterparty_norm IN (SELECT counterparty_norm FROM txn JOIN hidden USING (txn_id)) GROUP BY 1")
+def agg_08_counterparty_counts(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.counterparty_counts(l, l.txn.join(l.hidden, "txn_id", "left_semi").select("counterparty_norm"))
+
+
+@over_ledger("""SELECT institution, count(*) AS n_accounts, count(*) FILTER (kind = 'card') AS n_cards, CAST(sum(n) AS BIGINT) AS n_txns, CAST(sum(s) AS BIGINT) AS n_statements FROM account
+    LEFT JOIN (SELECT account_id, count(*) AS n FROM txn GROUP BY 1) USING (account_id) LEFT JOIN (SELECT account_id, count(*) AS s FROM balance GROUP BY 1) USING (account_id) GROUP BY 1""")
+def agg_09_counts(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.counts(l)
+
+
+MOVEMENT = """SELECT account_id, least(posted_date, period_end) AS day, CAST(sum(amount_minor) AS BIGINT) AS moved_minor FROM txn
+    JOIN balance USING (account_id) WHERE posted_date BETWEEN period_start AND period_start + 6 GROUP BY 1, 2"""
+
+
+@over_ledger(MOVEMENT)
+def agg_10_daily_movement(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.daily_movement(l)
+
+
+@over_ledger("SELECT count(DISTINCT currency) AS n_currencies, min(currency) AS currency FROM txn")
+def agg_11_currencies(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.currencies(l)
+
+
+@over_ledger(f"SELECT count(*) AS n_rows, coalesce({BIG.format('amount_minor')}, 0) AS total_minor FROM txn JOIN hidden USING (txn_id)")
+def agg_12_hidden_total(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.hidden_total(l)
+
+
+@over_ledger("SELECT count(DISTINCT expense_txn_id) AS n_charges, CAST(sum(amount_minor) AS BIGINT) AS total_minor FROM payback JOIN txn ON txn_id = income_txn_id")
+def agg_12_payback_total(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.payback_total(l)
+
+
+@over_ledger(f"SELECT txn_id, account_id, posted_date, amount_minor, effective, category, counterparty_norm FROM {LABELLED} WHERE {OUT} ORDER BY posted_date DESC, txn_id DESC LIMIT 200 OFFSET 50")
+def top_01_listing(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.listing(l, "out", limit=200, offset=50)
+
+
+@over_ledger("""SELECT out_txn_id, o.amount_minor AS out_minor, in_txn_id, i.amount_minor AS in_minor, origin FROM transfer_link
+    JOIN txn o ON o.txn_id = out_txn_id LEFT JOIN txn i ON i.txn_id = in_txn_id""")
+def jn_06_transfer_decisions(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.decisions(l)
+
+
+@over_ledger("""SELECT expense_txn_id, e.amount_minor AS expense_minor, income_txn_id, i.amount_minor AS income_minor FROM payback
+    JOIN txn e ON e.txn_id = expense_txn_id JOIN txn i ON i.txn_id = income_txn_id""")
+def jn_07_payback_pairs(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.payback_pairs(l)
+
+
+@over_ledger(f"""SELECT charge_id, txn_id, amount_minor, abs(date_diff('day', charged, posted_date)) AS days_apart
+    FROM (SELECT DISTINCT expense_txn_id AS charge_id, account_id AS acc, posted_date AS charged FROM payback JOIN txn ON txn_id = expense_txn_id)
+    JOIN (SELECT * FROM base WHERE {IN}) ON account_id = acc AND abs(date_diff('day', charged, posted_date)) <= 5""")
+def top_04_payback_candidates(l: Ledger) -> DataFrame:  # noqa: E741
+    r = spending.payback_candidates(l, 5)
+    return r.withColumn("days_apart", F.col("days_apart").cast("long"))
+
+
+PAIRS = """SELECT o.txn_id AS out_txn_id, i.txn_id AS in_txn_id, -o.amount_minor AS amount, abs(date_diff('day', o.posted_date, i.posted_date)) AS days_apart,
+    oa.kind = 'deposit' AND ia.kind = 'card' AS pays_card FROM txn o JOIN txn i ON i.amount_minor = -o.amount_minor AND o.amount_minor < 0 AND i.account_id <> o.account_id
+    JOIN account oa ON oa.account_id = o.account_id JOIN account ia ON ia.account_id = i.account_id
+    WHERE o.txn_id NOT IN (SELECT out_txn_id FROM transfer_link WHERE origin = 'manual') AND i.txn_id NOT IN (SELECT out_txn_id FROM transfer_link WHERE origin = 'manual')"""
+
+
+@over_ledger(f"SELECT out_txn_id, in_txn_id, amount, days_apart, pays_card AND days_apart <= 21 AS pays_card FROM ({PAIRS}) WHERE days_apart <= 4 OR (pays_card AND days_apart <= 21)")
+def jn_13_transfer_candidates(l: Ledger) -> DataFrame:  # noqa: E741
+    pairs = transfers.candidates(transfers.legs_of(l))
+    return pairs.select("out_txn_id", "in_txn_id", "amount", F.col("days_apart").cast("long").alias("days_apart"), F.get("passes", 2).alias("pays_card"))
+
+
+@over_ledger()
+def trf_04_find_transfers(l: Ledger) -> DataFrame:  # noqa: E741
+    """Sequential settling: tested against brute force."""
+    return transfers.find_transfers(transfers.legs_of(l))
+
+
+@over_ledger()
+def agg_13_links_by_evidence(l: Ledger) -> DataFrame:  # noqa: E741
+    found = transfers.find_transfers(transfers.legs_of(l))
+    return found.groupBy("evidence").agg(F.count(F.lit(1)).alias("n_links"), F.sum("amount_minor").alias("value_minor"))
+
+
+@over_ledger()
+def trf_05_ambiguous(l: Ledger) -> DataFrame:  # noqa: E741
+    legs = transfers.legs_of(l)
+    return transfers.ambiguous(legs, transfers.find_transfers(legs))
+
+
+@over_ledger()
+def set_02_rerun_diff(l: Ledger) -> DataFrame:  # noqa: E741
+    return transfers.rerun_diff(transfers.find_transfers(transfers.legs_of(l)), l.transfer_link)
+
+
+WORTH = """SELECT "on", CAST(sum(sum(change)) OVER (ORDER BY "on") AS BIGINT) AS worth_minor, CAST(sum(sum(new)) OVER (ORDER BY "on") AS BIGINT) AS accounts_known FROM
+    (SELECT period_end AS "on", closing_minor - coalesce(lag(closing_minor) OVER a, 0) AS change, CASE WHEN lag(closing_minor) OVER a IS NULL THEN 1 ELSE 0 END AS new
+     FROM balance WINDOW a AS (PARTITION BY account_id ORDER BY period_end)) GROUP BY "on" """
+
+
+@over_ledger(WORTH)
+def nw_02_net_worth(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.net_worth(l.balance)
+
+
+@over_ledger(f"""SELECT strftime("on", '%Y-%m') AS month, max("on") AS "on", arg_max(worth_minor, "on") AS worth_minor FROM ({WORTH}) GROUP BY 1""")
+def win_04_month_ends(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.month_ends(statements.net_worth(l.balance))
+
+
+@over_ledger(f"""SELECT a AS first_minor, b AS last_minor, b - a AS change_minor, CASE WHEN a > 0 THEN round_even((b - a) / CAST(a AS DOUBLE), 4) END AS share
+    FROM (SELECT arg_min(worth_minor, "on") AS a, arg_max(worth_minor, "on") AS b FROM ({WORTH}))""")
+def nw_03_change(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.worth_change(statements.net_worth(l.balance))
+
+
+@over_ledger(f"""SELECT account_id, 'continuity' AS kind, period_end AS until, prev_closing AS expected_minor, opening_minor AS actual_minor
+    FROM (SELECT *, lag(closing_minor) OVER w AS prev_closing FROM balance WINDOW w AS (PARTITION BY account_id ORDER BY period_end)) WHERE opening_minor <> prev_closing
+    UNION ALL SELECT account_id, 'movement', period_end, closing_minor - prev_closing, coalesce((SELECT CAST(sum(moved_minor) AS BIGINT) FROM ({MOVEMENT}) m
+        WHERE m.account_id = s.account_id AND m.day > s.prev_end AND m.day <= s.period_end), 0) AS actual
+    FROM (SELECT *, lag(closing_minor) OVER w AS prev_closing, lag(period_end) OVER w AS prev_end FROM balance WINDOW w AS (PARTITION BY account_id ORDER BY period_end)) s
+    WHERE prev_closing IS NOT NULL AND closing_minor - prev_closing <> coalesce((SELECT CAST(sum(moved_minor) AS BIGINT) FROM ({MOVEMENT}) m
+        WHERE m.account_id = s.account_id AND m.day > s.prev_end AND m.day <= s.period_end), 0)""")
+def rec_01_drifts(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.drifts(l.balance, spending.daily_movement(l))
+
+
+@over_ledger("""SELECT b.document_id AS doc, b.account_id, CASE WHEN b.opening_minor + coalesce(r.total, 0) = b.closing_minor THEN 'imported' ELSE 'quarantined' END AS status,
+    b.opening_minor + coalesce(r.total, 0) - b.closing_minor AS difference FROM balance b LEFT JOIN (SELECT b.document_id, CAST(sum(t.amount_minor) AS BIGINT) AS total FROM txn t
+    JOIN balance b ON b.account_id = t.account_id AND t.posted_date BETWEEN b.period_start AND b.period_end GROUP BY 1) r USING (document_id)""")
+def val_01_validate(l: Ledger) -> DataFrame:  # noqa: E741
+    checked = statements.validate(*derived.statement_tables(l))
+    return checked.select("doc", "account_id", "status", "difference")
+
+
+@over_ledger()
+def val_09_hints(l: Ledger) -> DataFrame:  # noqa: E741
+    declared, rows = derived.statement_tables(l)
+    return statements.difference_hints(statements.validate(declared, rows), rows)
+
+
+KEYED = """keyed AS (SELECT *, row_number() OVER (PARTITION BY doc, account_key, posted_date, amount_minor, description_norm ORDER BY txn_id) - 1 AS seq FROM
+    (SELECT txn_id, CAST(account_id AS VARCHAR) AS doc, lpad(CAST(account_id AS VARCHAR), 10, '0') || '||SGD' AS account_key, posted_date, amount_minor,
+     split_part(counterparty_norm, ' SHOP', 1) AS description_norm FROM txn)),
+hashed AS (SELECT txn_id, doc, CAST(seq AS INTEGER) AS seq, sha256(concat_ws(chr(31), account_key, strftime(posted_date, '%Y-%m-%d'), CAST(amount_minor AS VARCHAR), description_norm, CAST(seq AS VARCHAR))) AS dedupe_key FROM keyed)"""
+
+
+@query("SELECT * FROM hashed", CTES, KEYED)
+def win_02_dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.keyed_rows(ledger(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n_new, count(DISTINCT dedupe_key) AS n_keys FROM hashed WHERE dedupe_key NOT IN (SELECT dedupe_key FROM hashed JOIN hidden USING (txn_id))", CTES, KEYED)
+def set_04_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An insert beside a ledger that holds the hidden rows already."""
+    l = ledger(spark, sf_dir)  # noqa: E741
+    rows = derived.keyed_rows(l)
+    fresh = identity.complement(rows, rows.join(l.hidden, "txn_id", "left_semi"))
+    return fresh.agg(F.count(F.lit(1)).alias("n_new"), F.count_distinct("dedupe_key").alias("n_keys"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc, sha256(concat_ws(chr(31), o_orderpriority, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d'),
+    coalesce((SELECT string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) FROM lineitem WHERE l_orderkey = o_orderkey), ''))) AS statement_key
+    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def str_13_statement_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.statement_key(derived.statement_refs(spark, sf_dir))
+
+
+AMOUNTS = """SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderstatus = 'O' THEN -1 ELSE 1 END AS minor,
+    CASE WHEN o_orderstatus = 'F' THEN 'USD' ELSE 'SGD' END AS currency FROM orders"""
+
+
+@query(AMOUNTS)
+def mny_01_parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed amounts of orders in three shapes, read back."""
+    printed = derived.printed_amounts(spark, sf_dir)
+    return printed.select("o_orderkey", money.parse_amount(F.col("printed"), F.lit("SGD")).alias("a")).select("o_orderkey", "a.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN d = 1 THEN 100 WHEN d = 2 THEN 500 END AS x FROM (SELECT o_orderkey, 1 AS d FROM orders) WHERE false
+    UNION ALL SELECT o_orderkey, (SELECT g FROM (VALUES (100), (500), (1000), (2000), (5000), (10000), (30000), (50000), (100000), (1000000), (5000000)) t(g)
+    ORDER BY abs(g - abs(CAST(round(o_totalprice) AS BIGINT))), g DESC LIMIT 1) FROM orders""")
+def mny_05_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", money.gate(F.round("o_totalprice").cast("long")).alias("x"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS named, CAST(o_orderdate AS DATE) AS numeric, CAST(o_orderdate AS DATE) AS in_period, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS month_before FROM orders")
+def dat_01_statement_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed dates of orders, read back: with month names, with digits, and without a year."""
+    p = derived.printed_dates(spark, sf_dir)
+    return p.select(
+        "o_orderkey", dates.full_date(F.col("named")).alias("named"), dates.numeric_date(F.col("numeric")).alias("numeric"),
+        dates.day_in_period(F.col("yearless"), F.col("start"), F.col("end"), look_back=95).alias("in_period"), dates.month_before(F.col("day")).alias("month_before"),
+    )
+
+
+@query("""SELECT p_partkey, upper(p_name) || ' ' || upper(replace(p_brand, '#', ' ')) AS description_norm, upper(p_name) || ' ' || upper(replace(p_brand, '#', ' ')) AS counterparty FROM part""")
+def str_02_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decorated descriptions of parts come back to their names."""
+    printed = derived.printed_descriptions(spark, sf_dir)
+    normal = printed.select("p_partkey", text.normalise_description(F.col("plain"), fold=False).alias("description_norm"), text.normalise_description(F.col("decorated"), fold=False).alias("d"))
+    return normal.select("p_partkey", "description_norm", text.normalise_counterparty(F.col("d")).alias("counterparty"))
+
+
+@query("SELECT o_orderkey, right(lpad(CAST(o_orderkey AS VARCHAR), 16, '4'), 4) AS tail FROM orders")
+def str_04_card_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.printed_cards(spark, sf_dir).select("o_orderkey", F.get(transfers.card_tails(F.col("line")), 0).alias("tail"))
+
+
+SPENT = "spent AS (SELECT upper(p_name) AS name, -CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_minor FROM lineitem JOIN part ON p_partkey = l_partkey)"
+RULE_ROWS = ", ".join(f"('{p}', '{c}', {w})" for p, c, w in derived.PART_RULES)
+JUDGED = f"""rules AS (SELECT * FROM (VALUES {RULE_ROWS}) r(pattern, category, weight)), names AS (SELECT DISTINCT name FROM spent),
+hits AS (SELECT name, category, rank() OVER (PARTITION BY name ORDER BY weight DESC, length(pattern) DESC) AS rk FROM names JOIN rules ON regexp_matches(name, '(?i)' || pattern)),
+best AS (SELECT name, min(category) AS lo, max(category) AS hi FROM hits WHERE rk = 1 GROUP BY 1),
+judged AS (SELECT name, CASE WHEN lo = hi THEN lo ELSE 'Others' END AS category, coalesce(lo = hi, false) AS decided, coalesce(lo <> hi, false) AS contested FROM names LEFT JOIN best USING (name))"""
+
+
+@query("SELECT * FROM judged", SPENT, JUDGED)
+def cat_01_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = derived.spent(spark, sf_dir).select("name").distinct()
+    return categories.categorise(names, derived.part_rules(spark))
+
+
+@query("""SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor, any_value(contested) AS contested FROM spent JOIN judged USING (name)
+    WHERE NOT decided GROUP BY 1 ORDER BY value_minor DESC, name LIMIT 500""", SPENT, JUDGED)
+def cat_09_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.review_queue(derived.spent(spark, sf_dir), derived.part_rules(spark))
+
+
+@query("""SELECT d AS decided, c AS contested, n - d - c AS unmatched, n AS n_rows, round_even(d / CAST(n AS DOUBLE), 4) AS share FROM
+    (SELECT count(*) FILTER (decided) AS d, count(*) FILTER (contested) AS c, count(*) AS n FROM spent JOIN judged USING (name))""", SPENT, JUDGED)
+def agg_15_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.coverage(derived.spent(spark, sf_dir), derived.part_rules(spark))
+
+
+@query("SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor FROM spent JOIN judged USING (name) WHERE NOT decided GROUP BY 1 ORDER BY n_rows DESC, name LIMIT 20", SPENT, JUDGED)
+def top_06_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.gaps(derived.spent(spark, sf_dir), derived.part_rules(spark))
+
+
+@query("SELECT name, m AS median FROM (SELECT name, abs(amount_minor) AS m, row_number() OVER (PARTITION BY name ORDER BY abs(amount_minor)) - 1 AS pos, count(*) OVER (PARTITION BY name) // 2 AS middle FROM spent) WHERE pos = middle", SPENT)
+def agg_16_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.spent(spark, sf_dir).select("name", F.abs("amount_minor").alias("m"))
+    return categories.upper_median_by(rows, "name", "m")
+
+
+@query()
+def cat_10_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.spent(spark, sf_dir).withColumn("description", F.concat(F.lit("pos "), "name", F.lit(" terminal 7781")))
+    rules = derived.part_rules(spark)
+    return categories.propose(rows, rules.where("weight > 0"), rules, fold=False)
+
+
+VOTES = "votes AS (SELECT DISTINCT event_type AS model, 'SHOP ' || CAST(k AS VARCHAR) AS name, CASE WHEN amount_minor % 3 = 0 THEN 'Dining' WHEN amount_minor % 3 = 1 OR amount_minor % 3 = -2 THEN 'Grocery' ELSE 'Nonsense' END AS category FROM (SELECT event_type, k, min(amount_minor) AS amount_minor FROM ev GROUP BY 1, 2))"
+
+
+@query("""SELECT name, arg_min(category, struct_pack(a := -agreed, b := category)) AS category, max(agreed) AS agreed, CAST(sum(agreed) AS BIGINT) AS answered, max(agreed) <> sum(agreed) AS needs_review
+    FROM (SELECT name, category, count(*) AS agreed FROM votes WHERE category <> 'Nonsense' GROUP BY 1, 2) GROUP BY 1""", CTES, VOTES)
+def cat_11_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.consolidate(derived.model_votes(spark, sf_dir)).drop("dissent")
+
+
+@over_ledger()
+def cat_04_apply_rules(l: Ledger) -> DataFrame:  # noqa: E741
+    names = spending.targets(l).select("txn_id", F.col("counterparty_norm").alias("name"))
+    return categories.apply_rules(names, l.enrichment, derived.part_rules(l.txn.sparkSession))
+
+
+@over_ledger("""SELECT category, CAST(sum(r) AS BIGINT) AS n_rules, CAST(sum(t) AS BIGINT) AS n_txns FROM (SELECT category, 0 AS r, count(*) AS t FROM enrichment GROUP BY 1
+    UNION ALL SELECT category, count(*), 0 FROM (VALUES """ + RULE_ROWS + """) v(pattern, category, weight) GROUP BY 1) GROUP BY 1""")
+def agg_14_category_usage(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.category_usage(l, derived.part_rules(l.txn.sparkSession))
+
+
+OCC = """occ AS (SELECT c_custkey * 100 + i AS txn_id, 'PAYEE ' || CAST(c_custkey AS VARCHAR) AS merchant,
+    DATE '2020-01-01' + CAST(c_custkey % 28 + i * [7, 14, 30, 91, 47][c_custkey % 5 + 1] + ((c_custkey * (i + 1)) % 3 - 1) AS INTEGER) AS posted_date,
+    -CAST(1000 + c_custkey % 500 + CASE WHEN i >= 6 AND c_custkey % 4 = 0 THEN 900 ELSE 0 END AS BIGINT) AS amount_minor FROM customer, range(10) t(i))"""
+
+
+@query("""SELECT merchant, -amount_minor AS centre_minor, n_rows, label AS period_label, first_seen, last_seen FROM (SELECT *, CASE WHEN abs(s - n * 7) <= n THEN 'weekly' WHEN abs(s - n * 14) <= 2 * n THEN 'fortnightly'
+    WHEN abs(s - n * 30) <= 3 * n THEN 'monthly' WHEN abs(s - n * 91) <= 5 * n THEN 'quarterly' WHEN abs(s - n * 365) <= 7 * n THEN 'yearly' END AS label FROM
+    (SELECT merchant, amount_minor, count(*) AS n_rows, count(gap) AS n, sum(gap) AS s, sum(gap * gap) AS q, min(gap) AS least, min(posted_date) AS first_seen, max(posted_date) AS last_seen FROM
+    (SELECT *, date_diff('day', lag(posted_date) OVER (PARTITION BY merchant, amount_minor ORDER BY posted_date, txn_id), posted_date) AS gap FROM occ) GROUP BY 1, 2)
+    WHERE n_rows >= 3 AND least > 0 AND (n * q - s * s) * 10000 < s * s * 225) WHERE label IS NOT NULL""", OCC)
+def rcr_04_regular_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.regular_groups(derived.occurrences(spark, sf_dir))
+
+
+@query()
+def rcr_01_find_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential within a merchant: tested against hand-computed cases and in any order of rows."""
+    return recurrence.find_series(derived.occurrences(spark, sf_dir))
+
+
+@query()
+def rcr_09_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.status(recurrence.find_series(derived.occurrences(spark, sf_dir)), dt.date(2021, 1, 1)).drop("txn_ids")
+
+
+@query()
+def src_04_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words placed on pages, read as lines."""
+    return geometry.lines(derived.placed_words(spark, sf_dir))
+
+
+@query()
+def src_08_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of those lines by half-open bands."""
+    return geometry.cells(derived.placed_words(spark, sf_dir), derived.BANDS)
+
+
+@query("""SELECT page_id, n_words, label_key FROM (SELECT page_id, count(*) AS n_words, sha1(string_agg(DISTINCT label, '|' ORDER BY label)) AS label_key FROM
+    (SELECT page_id, regexp_replace(lower(unnest(string_split(url, '/'))), '[0-9]+', '#', 'g') AS label FROM pages) WHERE label <> '' GROUP BY 1)""")
+def src_18_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.label_fingerprints(derived.page_labels(spark, sf_dir))
