@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(edges)) != before and now[0]:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # As rows of its own, so that the edges of a node that has a great part of them can be split in the join.
+        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u")
