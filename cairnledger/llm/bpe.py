@@ -219,10 +219,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """docs with the token ids of each whole text in `ids_col` (array of int). The text stays, unless `keep` omits it."""
+def encode(
+    docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, decoded_col: str | None = None
+) -> DataFrame:
+    """docs with the token ids of each whole text in `ids_col` (array of int). The text stays, unless `keep` omits it.
+    With `decoded_col` the ids are decoded in the same pass, into a column of that name."""
     columns = docs.columns if keep is None else keep
-    fields = [f for f in docs.schema.fields if f.name in columns and f.name != ids_col]
+    made = [ids_col, *([decoded_col] if decoded_col else [])]
+    fields = [f for f in docs.schema.fields if f.name in columns and f.name not in made]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +234,15 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
         for part in text_slices(batches, "__text", SLICE_BYTES):
             flat, lengths = enc.texts(part.column("__text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], [*names, ids_col])
+            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded_col:
+                ends = offsets.tolist()
+                out.append(pa.array([enc.bpe.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *out], [*names, *made])
 
     schema = T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    if decoded_col:
+        schema = schema.add(decoded_col, T.StringType(), False)
     return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 

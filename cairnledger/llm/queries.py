@@ -63,9 +63,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    encoded = bpe.encode(documents(spark, sf_dir), path, keep=["doc_id"])
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), keep=["doc_id"], decoded_col="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -316,6 +316,7 @@ def test_bpe(request, name):
     df, tok = data(request, name), Tokenizer.from_file(BYTES)
     encoded = bpe.encode(df, BYTES, keep=["doc_id"])
     got = bpe.decode(encoded, BYTES).collect()
+    assert sorted(map(repr, bpe.encode(df, BYTES, keep=["doc_id"], decoded_col="decoded").collect())) == sorted(map(repr, got))
     want = []
     for i, t, _, _ in table(df):
         ids = tok.encode(t or "", add_special_tokens=False).ids
