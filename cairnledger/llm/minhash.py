@@ -231,7 +231,9 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """The rows of docs, with their columns, of which one of each component stays: that of the smallest id. Rows that agree
     in id and text are one document."""
     columns = docs.columns
-    keep = classes(docs, width, percent, id_col, text_col).where("is_representative").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).distinct()
+    # One key for id and text, so that repeated rows meet and the kept ones are joined by a single shuffle of the texts.
+    row_key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.hex("text_key"))))
+    keep = classes(docs, width, percent, id_col, text_col).where("is_representative").select(row_key.alias("row_key")).distinct()
     named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(id_col).cast("long").alias("doc_id"), TEXT_KEY(F.col(text_col)).alias("text_key"))
-    kept = named.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_key"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    once = named.withColumn("row_key", row_key).drop("doc_id", "text_key").dropDuplicates(["row_key"])
+    return once.join(as_table(keep), "row_key", "left_semi").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

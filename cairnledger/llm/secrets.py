@@ -153,6 +153,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source",
     key = lambda c: F.unhex(F.md5(F.coalesce(F.col(c), F.lit(""))))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("source"), F.col(text_col).alias("text"), key(text_col).alias("text_key"))
     spans = find_secrets(named, keep=("text_key",)).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"))
+    spans = as_table(spans)  # joined as a table, so that a frequent text can be split
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"), key(text_col).alias("text_key"))
     joined = rows.join(spans, "text_key", "left")
     covered = F.aggregate(

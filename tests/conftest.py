@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from cairnledger.session import local_session
 
-    s = local_session("4", "4g", 4)
+    s = local_session(os.environ.get("TEST_CORES", "4"), "4g", 4)
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
     yield s
