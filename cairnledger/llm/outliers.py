@@ -63,7 +63,12 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     twin = lambda x, i: F.coalesce(key(F.get("__e", i)) == key(x), F.lit(False))
     found = F.filter(F.transform("__e", lambda x, i: F.when(twin(x, i - 1) | twin(x, i + 1), x["p"]).otherwise(-1)), lambda p: p >= 0)
     covered = F.array_distinct(F.flatten(F.transform(found, lambda p: F.array(p, p + 1, p + 2))))
-    return compared.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("__e")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counted = compared.withColumn("n_repeat_words", F.size(covered).cast("long"))
+    # A generator of one row: the optimizer moves no filter on the statistics below it, where it would compute them anew
+    # for every word.
+    held = counted.select(*docs.columns, F.explode(F.array(F.struct(*made))).alias("__stats"))
+    return held.select(*docs.columns, *(F.col(f"__stats.{c}").alias(c) for c in made))
 
 
 def base_failed() -> Column:
