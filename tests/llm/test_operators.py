@@ -199,6 +199,31 @@ def test_chained_and_crowded_buckets(spark):
     assert got == {n: find(n) for n in range(len(rows))}
 
 
+def test_linked_pairs_inside_a_family(spark):
+    """Pairs with one word of 100 of their own, in a family whose template alone does not link: nearly all buckets they share are
+    the family's, with a stranger as the hub."""
+    template = [f"t{i}" for i in range(88)]
+    rows = [(2 * k + m, " ".join([*template, f"p{k}", *(f"q{k}_{m}_{i}" for i in range(11))])) for k in range(60) for m in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 1) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 1).collect()}
+    assert got == {n: find(n) for n in range(len(rows))}
+
+
+def test_prefix_pairs_hold_every_linked_pair(spark):
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(24), rng.randint(1, 14))) for _ in range(160)]
+    df = spark.createDataFrame([(n, n % 40, len(s), s) for n, s in enumerate(sets)], "node long, root long, n long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in minhash.prefix_pairs(df, 80).collect()}
+    linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if a % 40 != b % 40 and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len({*sets[a], *sets[b]})}
+    assert linked and linked <= got
+
+
 def test_one_document_of_each_group_stays(odd):
     kept = minhash.deduplicated(odd)
     assert kept.columns == odd.columns
