@@ -4,7 +4,7 @@ A text is the set of its distinct word shingles. Texts with equal sets become on
 minimum for each bin of one permutation; an empty bin borrows from the filled bin that comes first in the bin's own
 random order, so that borrowed minima too agree with the probability of the similarity. Rows of the signature are banded;
 a band's value is a bucket. In each bucket the smallest node is the hub of a star: every other member is compared
-with it, on full sets, after a bound by sizes and one-bit sketches. Texts in buckets whose members still belong to more than one component
+with it, on full sets, after a bound by sizes and by parities of shingle hashes, which is exact, or one-bit sketches if both are large. Texts in buckets whose members still belong to more than one component
 are dealt anew into finer buckets, of two bands' values each, and these again form stars, with another hub in each, that
 compare only members of different components. What is still mixed after that is settled exactly: the texts of all mixed buckets
 are joined on full sets by prefix filtering, so that no pair of a bucket that could still join two components stays
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,12 @@ from .common import as_table, byte_words, text_slices
 from .components import components
 
 #: Rows of a band and bands; their product is the number of bins. Bits of the sketch, and mismatches beyond which a
-#: pair is surely below the threshold: at 0.8 a tenth of the bits differ, and 36 are seven standard deviations more.
-ROWS, BANDS, BITS, MISMATCHES = 6, 50, 128, 36
+#: pair is surely below the threshold: at 0.8 a tenth of the bits differ, and 36 are seven standard deviations more. That holds
+#: for independent bits, so for sets of FILLED shingles or more, of which few bins borrow; smaller ones are bounded by parities.
+ROWS, BANDS, BITS, MISMATCHES, FILLED = 6, 50, 128, 36, 1000
 BINS = ROWS * BANDS
+#: Bits of the parities: each is that of the number of shingles with its hash, so two sets differ by a shingle for each bit at least.
+PARITIES = 256
 #: How bands are joined into finer buckets in the rounds after the first stars.
 JOINT = ((1, 2, 3, 4), (0, 5, 6))
 SLICE_BYTES = 8 << 20
@@ -102,8 +107,10 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix((minima.reshape(BANDS, ROWS) * FACTORS).sum(axis=1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64))
 
 
-def sketch(minima: np.ndarray) -> np.ndarray:
-    return np.packbits(mix(minima[:BITS]) >> np.uint64(63) == 1).view(np.int64)
+def sketch(shingles: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """One bit of each of the first minima, then the parities of the set."""
+    parities = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(np.append(mix(minima[:BITS]) >> np.uint64(63) == 1, parities == 1)).view(np.int64)
 
 
 def signed(texts: DataFrame, width: int) -> DataFrame:
@@ -119,7 +126,7 @@ def signed(texts: DataFrame, width: int) -> DataFrame:
                 minima = signature(s) if len(s) else None
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(minima).view(np.int64) if len(s) else None)
-                bits.append(sketch(minima) if len(s) else None)
+                bits.append(sketch(s, minima) if len(s) else None)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists],
@@ -142,10 +149,14 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
 
 def likely(percent: int) -> Column:
     """Whether the sizes and sketches of a pair leave it possible that it reaches the threshold."""
-    differ = F.bit_count(F.get("a_sketch", 0).bitwiseXOR(F.get("b_sketch", 0))) + F.bit_count(F.get("a_sketch", 1).bitwiseXOR(F.get("b_sketch", 1)))
+    differing = lambda words: reduce(add, (F.bit_count(F.get("a_sketch", i).bitwiseXOR(F.get("b_sketch", i))) for i in words))
     # The mismatches are allowed for 0.8; a lower threshold allows as many more as the bits that may differ grow.
     allowed = MISMATCHES + max(0, 80 - percent) * BITS // 200 * 2
-    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (differ <= allowed)
+    by_sketch = differing(range(BITS // 64)) <= allowed
+    # A pair at the threshold has (1 - t) / (1 + t) of its sizes' sum in one set alone, at most.
+    by_parities = differing(range(BITS // 64, (BITS + PARITIES) // 64)) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    return sizes & by_parities & ((F.least("a_n", "b_n") < FILLED) | by_sketch)
 
 
 def side(nodes: DataFrame, p: str) -> DataFrame:

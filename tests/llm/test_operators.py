@@ -215,6 +215,18 @@ def test_linked_pairs_inside_a_family(spark):
     assert got == {n: find(n) for n in range(len(rows))}
 
 
+def test_no_linked_pair_is_bounded_away(spark):
+    """Sets at 0.8 exactly, of which few shingles fill the bins: none may fail the bound before the full sets are compared."""
+    rng, rows = np.random.Generator(np.random.PCG64(12)), []
+    for size in [5] * 6000 + [10] * 1000 + [100] * 200 + [2000] * 20:
+        a = np.unique(minhash.mix(rng.integers(0, 1 << 63, size).astype(np.uint64)))
+        b = a[np.sort(rng.permutation(size)[: size * 4 // 5])]
+        x, y = (dict(zip(("n", "sketch"), (len(s), minhash.sketch(s, minhash.signature(s)).tolist()))) for s in (a, b))
+        rows.append((x["n"], x["sketch"], y["n"], y["sketch"]))
+    df = spark.createDataFrame(rows, "a_n long, a_sketch array<long>, b_n long, b_sketch array<long>")
+    assert df.where(~minhash.likely(80)).count() == 0
+
+
 def test_prefix_pairs_hold_every_linked_pair(spark):
     rng = random.Random(3)
     sets = [sorted(rng.sample(range(24), rng.randint(1, 14))) for _ in range(160)]
