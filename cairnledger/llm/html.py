@@ -6,7 +6,8 @@ open. In the second pass an open block takes the label of the nearest decided ne
 else of the nearer one by blocks between, and the kept one if they are as near.
 
 Defined results: a null or empty page has an empty text; markup that is cut off or never closed is read to its end;
-pages are independent, so repeated rows give repeated results; nothing is dropped or cut inside a kept block.
+an unclosed button, menu, drawing or frame ends
+at the next block; pages are independent, so repeated rows give repeated results; nothing is dropped or cut inside a kept block.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the markup language: elements whose content is never text, elements without an end, elements that cut blocks.
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head".split())
+#: Silent elements that only their end tag ends, and those that can't hold their like.
+RAW, FLAT = frozenset("script style".split()), frozenset("button select textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -36,7 +39,9 @@ ASIDE_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search pagination pager widget toolbar skip copyright legal".split()
 )
-MAIN = frozenset("article main".split())
+#: Of these, elements that may be wrapped around a whole page; first words of names that say what an element has.
+WEAK = frozenset("form header".split())
+STATES = frozenset("no not has have with without is".split())
 MAIN_WORDS = frozenset("article post entry story content".split())
 #: Frequent words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -57,24 +62,53 @@ SPACE = re.compile(r"\s+")
 class Block:
     text: str
     linked: int
-    region: str  # "main", "aside" or "" for neither
+    region: str  # "main", "aside", "weak" (aside by class words, form or header), "hidden" or "" for none
+
+
+def words_of(names: str) -> set[str]:
+    """The words of a class or id, but for names such as has-sidebar or no-comments, which say what an element has and not what it is."""
+    parts = [[w.lower() for w in PARTS.findall(name)] for name in names.split()]
+    return {w for words in parts if words and words[0] not in STATES for w in words}
+
+
+def comment(names: str) -> bool:
+    parts = [[w.lower() for w in PARTS.findall(name)] for name in names.split()]
+    return any(w and w[0] not in STATES and (w[0] == "comment" or w[-1] in ("comment", "comments")) for w in parts)
 
 
 def region_of(tag: str, attributes: str, around: str) -> str:
-    """The region that an element opens inside another: an aside stays one, whatever it holds."""
-    if around == "aside":
+    """The region that an element opens inside another. A hidden one stays so, whatever it holds; main opens in any other, and
+    article where only words of a class, a form or a header are around. An article in a firm aside, as in a list of teasers, is judged as text of no region."""
+    if around == "hidden":
         return around
     given = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    words = {w.lower() for key in ("class", "id") for w in PARTS.findall(given.get(key, ""))}
-    hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
+    names = f"{given.get('class', '')} {given.get('id', '')}"
+    words, role = words_of(names), given.get("role", "").lower()
+    if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
+        return "hidden"
     inside = around == "main"
-    if tag in MAIN:
-        return "aside" if hidden or words & {"comment", "comments"} else "main"
-    if hidden or given.get("role", "").lower() in ASIDE_ROLES or tag in ASIDE - ({"header"} if inside else set()):
+    if tag == "main" or role == "main":
+        return "main"
+    if tag == "article":
+        return "aside" if comment(names) else "" if around == "aside" else "main"
+    if around == "aside" or role in ASIDE_ROLES or tag in ASIDE - WEAK:
         return "aside"
+    if around == "weak" or tag in WEAK - ({"header"} if inside else set()):
+        return "weak"
     if words & ASIDE_WORDS and tag not in ("html", "body") and not (inside and words & ASIDE_WORDS <= {"header"}):
-        return "aside"
-    return "main" if words & MAIN_WORDS and tag in ("div", "section", "td") or given.get("role", "").lower() == "main" else around
+        return "weak"
+    return "main" if words & MAIN_WORDS and tag in ("div", "section", "td") else around
+
+
+def silent_end(page: str, tag: str, begin: int) -> int:
+    """Where a silent element's content ends: at its end tag; if it has none, at the next block, but scripts and styles at the page's end."""
+    close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, begin)
+    if tag in RAW or tag == "head":
+        return close.end() if close else begin if tag == "head" else len(page)
+    again = re.compile(rf"<{re.escape(tag)}\b", re.I).search(page, begin) if tag in FLAT else None
+    if close and not (again and again.start() < close.start()):
+        return close.end()
+    return next((m.start() for m in TOKEN.finditer(page, begin) if (m[2] or "").lower() in BLOCK - {"option", "legend"}), len(page))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -119,9 +153,8 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[at:]
             continue
         if tag in SILENT:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, done)
             if not m[3].rstrip().endswith("/"):
-                done = close.end() if close else (done if tag == "head" else end)
+                done = silent_end(page, tag, done)
             continue
         if tag in BLOCK:
             flush()
@@ -129,8 +162,8 @@ def blocks_of(page: str) -> list[Block]:
             links += 1
         if tag not in VOID and tag != "p" and not m[3].rstrip().endswith("/"):
             stack.append((tag, region_of(tag, m[3], stack[-1][1] if stack else "")))
-        elif tag == "p" and m[3] and region_of(tag, m[3], stack[-1][1] if stack else "") == "aside":
-            stack.append((tag, "aside"))
+        elif tag == "p" and m[3] and (region := region_of(tag, m[3], stack[-1][1] if stack else "")) in ("aside", "weak", "hidden"):
+            stack.append((tag, region))
     flush()
     return out
 
@@ -138,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
 def first_pass(b: Block) -> bool | None:
     """Kept, dropped, or None if the block is too short to tell."""
     density = b.linked / len(b.text)
-    if b.region == "aside":
+    if b.region in ("aside", "weak", "hidden"):
         return False
     if b.region == "main":  # of an article only what is a list of links goes
         return None if density > 0.9 else True
@@ -171,10 +204,13 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
+    """The kept blocks. If none is kept, words of classes, forms and headers count no more, and what they surround is judged by its text."""
     blocks = blocks_of(page or "")
     inside = any(b.region == "main" for b in blocks)
-    labels = [False if inside and b.region != "main" else first_pass(b) for b in blocks]
-    return "\n".join(b.text for b, kept in zip(blocks, second_pass(labels), strict=True) if kept)
+    kept = second_pass([False if inside and b.region != "main" else first_pass(b) for b in blocks])
+    if not any(kept):
+        kept = second_pass([first_pass(Block(b.text, b.linked, "") if b.region == "weak" else b) for b in blocks])
+    return "\n".join(b.text for b, stays in zip(blocks, kept, strict=True) if stays)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -412,6 +412,24 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LINE = "The water of the river gets to the sea, and it is told for all who want to know of it, that this was so in the days of old."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='has-sidebar'><article><p>Body.</p></article></div>", "Body."), ("<div class='site-widget'><article><p>Body.</p></article></div>", "Body."),
+        ("<form><nav>Menu</nav><main><p>Body.</p></main></form>", "Body."), ("<article class='no-comments'><p>Body.</p></article>", "Body."),
+        ("<div id=legal><div role=main><p>Body.</p></div></div>", "Body."), (f"<form><p>{LINE * 2}</p></form>", LINE * 2),
+        ("<div hidden><article><p>No.</p></article></div><article><p>Body.</p></article>", "Body."),
+        ("<article><p>One.</p><button>Go<p>Two.</p><svg><path d=x><p>Three.</p><button>x</button></article>", "One.\nTwo.\nThree."),
+        ("<article><p>One.</p><aside><article><p>Teaser.</p></article></aside><script>var x = '<p>no</p>'", "One."),
+    ],
+)
+def test_wrappers_and_unclosed_elements_lose_no_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_open_blocks_follow_their_neighbours():
     assert html.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert html.second_pass([None, None]) == [False, False]
