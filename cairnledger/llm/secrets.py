@@ -2,7 +2,7 @@
 
 One pass over the texts finds candidate spans: three base kinds, and shapes of further credentials. The digest of
 each candidate's value is aggregated over the corpus by distinct repositories (documents) and owners (sources). A value that
-many owners hold is an example that was copied; one that few owners hold and that looks random is taken for live.
+many owners or many repositories hold is an example that was copied; one that few of both hold and that looks random is taken for live.
 Base spans are always reported; the method adds the further spans whose value is live.
 
 Defined results: a null or empty text has no spans; offsets count code points, the end is exclusive; a null owner
@@ -36,13 +36,13 @@ FURTHER = {
     "jwt": ("eyJ", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     "prefixed": ("", re.compile(r"(?<![A-Za-z0-9])((?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29\.|npm_|pypi-)[A-Za-z0-9_-]{16,})")),
     "bearer": ("Bearer", re.compile(r"\bBearer\x20+([A-Za-z0-9+/_.=-]{20,})")),
-    "url_login": ("://", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{8,128})@")),
-    "quoted": ("", re.compile(r"[\"'](?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])([A-Za-z0-9+/_=-]{20,128})[\"']")),
+    "url_login": ("://", re.compile(r"://[^\s:/@]+:([^\s:/@]{8,})@")),
+    "quoted": ("", re.compile(r"[\"'](?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])([A-Za-z0-9+/_=-]{20,})[\"']")),
 }
 KINDS = [*BASE, *FURTHER]
 
-#: A value held by this many owners is a copied example.
-EXAMPLE_OWNERS = 4
+#: A value held by this many owners, or by this many repositories of however few owners, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 4, 8
 #: Bits a character that a live value has at least.
 LIVE_ENTROPY = 2.8
 
@@ -96,7 +96,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """digest to n_repositories, n_owners, entropy and live, from rows (digest, repository, owner, entropy).
+    """digest to n_repositories, n_owners, entropy, example and live, from rows (digest, repository, owner, entropy).
 
     Distinct pairs are formed first, so a digest that a third of the corpus holds is spread by its owners and
     repositories; then only counts meet by digest, one row for each map task.
@@ -105,8 +105,9 @@ def ownership(candidates: DataFrame) -> DataFrame:
     owners = by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.max("entropy").alias("entropy"))
     by_repository = candidates.groupBy("digest", "repository").agg(F.lit(1).alias("one"))
     repositories = by_repository.groupBy("digest").agg(F.count(F.lit(1)).alias("n_repositories"))
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("entropy") >= LIVE_ENTROPY)
-    return owners.join(repositories, "digest").withColumn("live", live)
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    live = ~F.col("example") & (F.col("entropy") >= LIVE_ENTROPY)
+    return owners.join(repositories, "digest").withColumn("example", example).withColumn("live", live)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -117,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     each = scanned.where(F.size("found") > 0).select("__row", "doc_id", "owner", F.explode("found").alias("f")).select(
         "__row", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("__row"))).alias("repository"), "owner", "f.*"
     )
-    owned = ownership(each.select("digest", "repository", "owner", "entropy")).select("digest", "live", (F.col("n_owners") >= EXAMPLE_OWNERS).alias("example"))
+    owned = ownership(each.select("digest", "repository", "owner", "entropy")).select("digest", "live", "example")
     span, base = F.struct("start", "kind", "end"), F.col("kind") < len(BASE)
     judged = (
         each.join(owned, "digest")

@@ -340,6 +340,15 @@ def test_owners_tell_examples_from_live(spark):
     assert got[9] == f"prefixed:12:{12 + len(own)}" and all(got[n] == "" for n in range(6))
 
 
+def test_copies_inside_one_source_are_examples_and_long_values_count(spark):
+    copied, own = "ghp_" + "Example1234567890abcdEFGH", "q8Zk2Lw9Xv4Tn7Rb1Yc6Md3P" * 9
+    rows = [(n, f"see {copied} in the docs", "s") for n in range(20)] + [(50, f'key "{own}"', "s"), (51, f"https://{'u' * 70}:{own}x@host/", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.find_secrets(df).withColumn("spans", secrets.span_names(F.col("spans"))).collect()}
+    assert all(got[n] == ("", 0, 1) for n in range(20))
+    assert got[50] == (f"quoted:5:{5 + len(own)}", 1, 0) and got[51] == (f"url_login:79:{80 + len(own)}", 1, 0)
+
+
 def test_redaction(odd):
     clean = secrets.redacted(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count()
