@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-The markup is cut into text blocks. The first pass decides blocks by their region (an article, or a region such as
-menus and footers that is never main text), link density, length and stop-word density, and leaves short blocks
-open. In the second pass an open block takes the label of the nearest decided neighbours: of both if they agree,
-else of the nearer one by blocks between, and the kept one if they are as near.
+The markup is cut into text blocks. Blocks in regions that never hold main text (menus, footers, forms, comments and the like) go.
+The first pass decides the others by link density, length and stop-word density, and leaves ambiguous short ones open; that a block
+lies in an article or main region is one feature, which moves the thresholds and decides nothing by itself. In the second pass an
+open block takes the label of the nearest decided neighbours: of both if they agree, else of the nearer one by blocks between,
+and the kept one if they are as near. A heading belongs to what follows it, so the neighbour before it counts as twice as far.
+On a page where no block is decided to be kept, the open blocks of a main region are, or else those that end as a sentence does.
 
 Defined results: a null or empty page has an empty text; markup that is cut off or never closed is read to its end;
 an unclosed button, menu, drawing or frame ends
-at the next block; pages are independent, so repeated rows give repeated results; nothing is dropped or cut inside a kept block.
+at the next block; pages are independent, so repeated rows give repeated results; nothing is dropped or cut inside a kept block,
+however long it is; deep nesting needs no recursion; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -50,7 +53,9 @@ STOP_WORDS = frozenset(
     "le la les de des et en un une du que qui est pour dans par sur pas au avec ce il elle ne se plus ou "
     "el los las y que en una por con para su al lo como más pero sus esta es del se o".split()
 )
-SHORT, LONG, STOPS, LINKED = 40, 140, 0.25, 0.4
+SHORT, LONG, STOPS, LINKED, LIST = 40, 140, 0.25, 0.4, 0.9
+HEADINGS, GONE = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("aside weak hidden".split())
+ENDS = (".", "!", "?", ":", '"', "'", "\u201d", "\xbb")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -63,6 +68,7 @@ class Block:
     text: str
     linked: int
     region: str  # "main", "aside", "weak" (aside by class words, form or header), "hidden" or "" for none
+    heading: bool = False
 
 
 def words_of(names: str) -> set[str]:
@@ -78,7 +84,7 @@ def comment(names: str) -> bool:
 
 def region_of(tag: str, attributes: str, around: str) -> str:
     """The region that an element opens inside another. A hidden one stays so, whatever it holds; main opens in any other, and
-    article where only words of a class, a form or a header are around. An article in a firm aside, as in a list of teasers, is judged as text of no region."""
+    article where only words of a class, a form or a header are around, but not in a firm aside, as in a list of teasers."""
     if around == "hidden":
         return around
     given = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -90,7 +96,7 @@ def region_of(tag: str, attributes: str, around: str) -> str:
     if tag == "main" or role == "main":
         return "main"
     if tag == "article":
-        return "aside" if comment(names) else "" if around == "aside" else "main"
+        return "aside" if comment(names) or around == "aside" else "main"
     if around == "aside" or role in ASIDE_ROLES or tag in ASIDE - WEAK:
         return "aside"
     if around == "weak" or tag in WEAK - ({"header"} if inside else set()):
@@ -123,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", unescape("".join(held))).strip()
             if text:
-                out.append(Block(text, min(linked, len(text)), stack[-1][1] if stack else ""))
+                out.append(Block(text, min(linked, len(text)), stack[-1][1] if stack else "", any(t in HEADINGS for t, _ in stack[-3:])))
             held.clear()
         linked = 0
 
@@ -168,26 +174,30 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> bool | None:
-    """Kept, dropped, or None if the block is too short to tell."""
-    density = b.linked / len(b.text)
-    if b.region in ("aside", "weak", "hidden"):
-        return False
-    if b.region == "main":  # of an article only what is a list of links goes
-        return None if density > 0.9 else True
-    if density > LINKED or b.text[0] == "\xa9":
+def stop_density(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()[]#*$%&|<>").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, has_main: bool = False) -> bool | None:
+    """Kept, dropped, or None if the block is too short or too mixed to tell. In a main region fewer stop words and more links
+    will do; outside it, on a page that has one, only a long block with many stop words is kept."""
+    density, main = b.linked / len(b.text), b.region == "main"
+    if b.text[0] == "\xa9":
         return False
-    words = [w.strip(".,;:!?\"'()[]#*$%&|<>").lower() for w in b.text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if len(b.text) < SHORT:
-        return None
+    if density > LINKED:
+        return None if main else False
+    stops = stop_density(b.text)
+    if has_main and not main:
+        return len(b.text) >= LONG and stops >= STOPS
     if len(b.text) >= LONG:
-        return stops >= STOPS / 2 or None
-    return True if stops >= STOPS and b.text[-1] in ".!?:\"'" else None
+        return True if main or stops >= STOPS / 2 else None
+    sentence = len(b.text) >= SHORT and b.text.endswith(ENDS) and not b.heading
+    return True if sentence and (main or stops >= STOPS) else None
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Open labels take those of the nearest decided neighbours; a page with none decided keeps nothing."""
+def second_pass(labels: list[bool | None], headings: list[bool] | None = None) -> list[bool]:
+    """Open labels take those of the nearest decided neighbours; where none is decided, nothing is kept."""
     n = len(labels)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
@@ -198,19 +208,34 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
             near[i] = last
     out = []
     for i, label in enumerate(labels):
-        sides = [(abs(j - i), not labels[j]) for j in (before[i], after[i]) if j is not None]
+        back = 2 if headings and headings[i] else 1
+        sides = [(abs(j - i) * times, not labels[j]) for j, times in ((before[i], back), (after[i], 1)) if j is not None]
         out.append(label if label is not None else bool(sides) and not min(sides)[1])
     return out
 
 
+def kept_blocks(blocks: list[Block]) -> list[bool]:
+    """Whether each block of a page, none of which is in a region that goes, is main text."""
+    has_main = any(b.region == "main" for b in blocks)
+    labels = [first_pass(b, has_main) for b in blocks]
+    if True not in labels:
+        sure = (lambda b: b.region == "main") if has_main else (lambda b: b.text.endswith(ENDS))
+        labels = [True if label is None and sure(b) else label for label, b in zip(labels, blocks, strict=True)]
+    return second_pass(labels, [b.heading for b in blocks])
+
+
 def main_text(page: str | None) -> str:
-    """The kept blocks. If none is kept, words of classes, forms and headers count no more, and what they surround is judged by its text."""
+    """The kept blocks. If only links stand outside the regions that go, words of classes, forms and headers count no more, and what they
+    surround is judged by its text."""
     blocks = blocks_of(page or "")
-    inside = any(b.region == "main" for b in blocks)
-    kept = second_pass([False if inside and b.region != "main" else first_pass(b) for b in blocks])
-    if not any(kept):
-        kept = second_pass([first_pass(Block(b.text, b.linked, "") if b.region == "weak" else b) for b in blocks])
-    return "\n".join(b.text for b, stays in zip(blocks, kept, strict=True) if stays)
+    # A list of links inside the main region is no neighbour of its text either.
+    listed = lambda b: b.region == "main" and not b.heading and b.linked > LIST * len(b.text)
+    candidates = [b for b in blocks if b.region not in GONE and not listed(b)]
+    kept = kept_blocks(candidates)
+    if not any(kept) and all(b.linked for b in candidates):
+        candidates = [Block(b.text, b.linked, "", b.heading) if b.region == "weak" else b for b in blocks if b.region not in GONE - {"weak"}]
+        kept = kept_blocks(candidates)
+    return "\n".join(b.text for b, stays in zip(candidates, kept, strict=True) if stays)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

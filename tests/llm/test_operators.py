@@ -445,6 +445,44 @@ def test_open_blocks_follow_their_neighbours():
     assert html.second_pass([True, None, False]) == [True, True, False]
 
 
+def test_second_pass_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(500):
+        labels = [rng.choice([None, None, True, False]) for _ in range(rng.randint(0, 9))]
+        heads = [rng.random() < 0.3 for _ in labels]
+        want = []
+        for i, label in enumerate(labels):
+            near = [((j - i if j > i else (i - j) * (2 if heads[i] else 1)), not x) for j, x in enumerate(labels) if x is not None and None not in (x,)]
+            between = lambda j: any(labels[k] is not None for k in range(min(i, j) + 1, max(i, j)))
+            near = [(d, dropped) for (d, dropped), j in zip(near, [j for j, x in enumerate(labels) if x is not None]) if not between(j)]
+            want.append(label if label is not None else bool(near) and not min(near)[1])
+        assert html.second_pass(labels, heads) == want
+
+
+def test_blocks_are_judged_by_their_text(pages):
+    """The same text where the article is no article, and where there is more than one."""
+    rows = [r["html"] for r in pages.collect()]
+    same = sum(html.main_text(p.replace("article>", "div>")) == html.main_text(p) for p in rows)
+    assert same >= 0.99 * len(rows)
+    first = f"<article><p>{LINE}</p></article>"
+    assert all(html.main_text(p.replace("<article>", first + "<article>")) == f"{LINE}\n{html.main_text(p)}" for p in rows)
+    for tag in ("button", "svg", "textarea"):
+        assert all(html.main_text(p.replace("</article>", f"<p>{LINE}</p><{tag}><p>{LINE}</p></article>")) == f"{html.main_text(p)}\n{LINE}\n{LINE}" for p in rows[:20])
+    links = "<div><a href=1>All the news of the day and of the week</a></div>"
+    assert all(html.main_text(p.replace("</article>", f"{links}</article>{links}")) == html.main_text(p) for p in rows)
+
+
+def test_long_and_deep_pages():
+    assert html.main_text("<div>" * 20_000 + f"<p>{LINE * 2}</p>") == LINE * 2
+    assert html.main_text(f"<article><p>{(LINE + ' ') * 20_000}</p></article>") == " ".join([LINE] * 20_000)
+
+
+def test_pages_with_clashing_columns(pages):
+    clash = pages.withColumns({c: F.lit(7) for c in ("text", "n_chars", "html_col", "__html")})
+    got, want = (sorted(map(tuple, html.extract(p).collect())) for p in (clash, pages))
+    assert got == want
+
+
 def test_page_without_regions():
     body = "The article is about the way that the water of a river gets to the sea, and it is told for all who want to know of it. " * 2
     page = f"<div><a href=1>Home</a> <a href=2>News</a> <a href=3>All</a></div><p>{body}</p><p>So it goes.</p><p>{body}</p><div><a href=4>More of this</a></div>"
