@@ -228,9 +228,10 @@ def main_text(page: str | None) -> str:
     """The kept blocks. If only links stand outside the regions that go, words of classes, forms and headers count no more, and what they
     surround is judged by its text."""
     blocks = blocks_of(page or "")
-    # A list of links inside the main region is no neighbour of its text either.
-    listed = lambda b: b.region == "main" and not b.heading and b.linked > LIST * len(b.text)
-    candidates = [b for b in blocks if b.region not in GONE and not listed(b)]
+    # On a page with a main region, lists of links in it and what is dropped outside it are no neighbours of its text.
+    has_main = any(b.region == "main" for b in blocks)
+    listed = lambda b: not b.heading and b.linked > LIST * len(b.text) if b.region == "main" else not first_pass(b, True)
+    candidates = [b for b in blocks if b.region not in GONE and not (has_main and listed(b))]
     kept = kept_blocks(candidates)
     if not any(kept) and all(b.linked for b in candidates):
         candidates = [Block(b.text, b.linked, "", b.heading) if b.region == "weak" else b for b in blocks if b.region not in GONE - {"weak"}]
