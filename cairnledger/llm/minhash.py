@@ -4,20 +4,19 @@ A text is the set of its distinct word shingles. Texts with equal sets become on
 minimum for each bin of one permutation; an empty bin borrows from the filled bin that comes first in the bin's own
 random order, so that borrowed minima too agree with the probability of the similarity. Rows of the signature are banded;
 a band's value is a bucket. In each bucket the smallest node is the hub of a star: every other member is compared
-with it, on full sets, after a bound by sizes and by parities of shingle hashes, which is exact, or one-bit sketches if both are large. Texts in buckets whose members still belong to more than one component
-are dealt anew into finer buckets, of two bands' values each, and these again form stars, with another hub in each, that
-compare only members of different components. What is still mixed after that is settled exactly: the texts of all mixed buckets
+with it, on full sets, after a bound by sizes and by parities of shingle hashes, which is exact, or one-bit sketches if both are large.
+What is still mixed after that is settled exactly: the texts of buckets whose members belong to more than one component
 are joined on full sets by prefix filtering, so that no pair of a bucket that could still join two components stays
 uncompared. Shingles of a single component can't be common to two, so they come first in the order of the prefixes, and a family that
 shares a template meets on the shingles of its pairs.
 
-With the defaults a pair at the threshold of 0.8 misses all buckets with probability 3e-7, pairs above it less often. On 47,257
-distinct texts with groups of up to 130 copies, the first stars missed 3 of 3,083 merges that all pairs give, and the
-finer ones none; the exact join doesn't depend on hubs.
+With the defaults a pair at the threshold of 0.8 misses all buckets with probability 3e-7, pairs above it less often; the exact join
+doesn't depend on hubs. Full sets are made once, for the texts that share a bucket, in one shuffle of distinct texts.
 
 Defined results: a text with fewer words than a shingle has its whole word sequence as its one shingle; a null or
 empty text has none and is linked with nothing; equal rows are linked; a null id can't name a component: its row gets
-the smallest id of the others in it, or null if there is none; other columns of the input are not touched.
+the smallest id of the others in it, or null if there is none; very long texts are whole sets; of rows that agree in id and
+text the kept one is the least by its other columns, so reruns agree; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as Over
 
-from .common import as_table, byte_words, text_slices
+from .common import BROADCAST_ROWS, as_table, byte_words, text_slices
 from .components import components
 
 #: Rows of a band and bands; their product is the number of bins. Bits of the sketch, and mismatches beyond which a
@@ -43,8 +42,8 @@ ROWS, BANDS, BITS, MISMATCHES, FILLED = 6, 50, 128, 36, 1000
 BINS = ROWS * BANDS
 #: Bits of the parities: each is that of the number of shingles with its hash, so two sets differ by a shingle for each bit at least.
 PARITIES = 256
-#: How bands are joined into finer buckets in the rounds after the first stars.
-JOINT = ((1, 2, 3, 4), (0, 5, 6))
+#: Parts into which the members of one component are dealt when they learn its smallest id.
+SALTS = 16
 SLICE_BYTES = 8 << 20
 KEPT_WORDS = 400_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -168,17 +167,14 @@ def compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(likely(percent)).select("a", "b", "a_n", "b_n")
 
 
-def joint_keys(steps: tuple[int, ...]) -> Column:
-    """The bands' values joined two by two, each with those that are so many bands further on; step 0 is the band alone."""
-    at = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    return F.flatten(F.array(*(F.transform(at, lambda i, k=k: F.xxhash64(F.get("keys", i), F.get("keys", (i + k) % BANDS), F.lit(k))) for k in steps)))
-
-
 def sets_at_hand(nodes: DataFrame, at_hand: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the nodes at hand, made anew from one text of each."""
-    keys = nodes.join(at_hand, "node", "left_semi").select("node", "text_key")
-    texts = docs.join(keys, "text_key").groupBy("node").agg(F.first("__text").alias("__text"))
-    return as_table(sets_of(texts.select("node", "__text"), width))
+    """(node, shingles) of the nodes at hand, made anew from one text of each. A text that many rows have is one row of each task
+    before it is shuffled; where the keys are few, no other text is."""
+    keys = as_table(nodes.join(at_hand, "node", "left_semi").select("node", "text_key"))
+    if keys.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(keys.select("text_key")), "text_key", "left_semi")
+    once = docs.groupBy("text_key").agg(F.first("__text").alias("__text"))
+    return as_table(sets_of(once.join(keys, "text_key").select("node", "__text"), width))
 
 
 def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,12 +184,6 @@ def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
 
 
-def linked_pairs(near: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of near (a, b, a_n, b_n) whose full sets reach the threshold."""
-    at_hand = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return confirmed(near, sets_at_hand(nodes, at_hand, docs, width), percent)
-
-
 def still_mixed(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct (node, root) of the members of buckets (key, node) whose members belong to more than one component."""
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -231,6 +221,16 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.select(a.alias("x"), b.alias("y")).select("x.a", "y.b", "x.a_n", "y.b_n").distinct()
 
 
+def lowest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(digest, lowest) of all nodes: the first row of each one's component. Members of one component are dealt by a salt, so that
+    those of a great one don't meet in one task; a node without a link is its own component."""
+    linked = as_table(nodes.select("node", "digest", "first").join(roots, "node"))
+    of_root = linked.groupBy("root").agg(F.min("first").alias("lowest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    alone = nodes.join(linked.select("node"), "node", "left_anti").select("digest", F.col("first").alias("lowest"))
+    return alone.unionByName(salted.join(of_root, ["root", "salt"]).select("digest", "lowest"))
+
+
 TEXT_KEY = lambda text: F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
@@ -249,28 +249,13 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
     buckets = as_table(members.join(shared, "key"))
     stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    sets = sets_at_hand(nodes, buckets.select("node").distinct(), texts.select("text_key", "__text"), width)
     checked = as_table(compared(stars, nodes, percent))
-    plain = texts.select("text_key", "__text")
-    edges = as_table(linked_pairs(checked, nodes, plain, width, percent))
-    for steps in JOINT:
-        still = as_table(still_mixed(buckets, edges).join(nodes.select("node", "keys"), "node"))
-        fine = still.select("node", "root", F.explode(joint_keys(steps)).alias("key"))
-        of_key = fine.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("order"), "node", "root")).alias("hub")
-        )
-        hubs = as_table(of_key.where("low <> high").select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")))
-        met = fine.join(hubs, "key").where("root <> hub_root").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        fresh = as_table(compared(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), nodes, percent))
-        checked = checked.unionByName(fresh)
-        edges = as_table(edges.unionByName(linked_pairs(fresh, nodes, plain, width, percent)))
+    edges = as_table(confirmed(checked, sets, percent))
     still = as_table(still_mixed(buckets, edges).join(nodes.select("node", F.col("n_shingles").alias("n")), "node"))
-    sets = sets_at_hand(nodes, still.select("node"), plain, width)
     fresh = as_table(prefix_pairs(still.join(sets, "node"), percent).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     edges = as_table(edges.unionByName(confirmed(fresh, sets, percent)))
-    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_set = named.join(named.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("digest", "lowest")
+    of_set = lowest(nodes, components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     found = rows.select("doc_id", "text_key", "n_shingles", "digest").join(of_set, "digest", "left")
     some = F.col("n_shingles") > 0
     component = F.when(some, F.col("lowest.doc_id")).otherwise(F.col("doc_id"))
@@ -294,5 +279,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     row_key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.hex("text_key"))))
     keep = classes(docs, width, percent, id_col, text_col).where("is_representative").select(row_key.alias("row_key")).distinct()
     named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(id_col).cast("long").alias("doc_id"), TEXT_KEY(F.col(text_col)).alias("text_key"))
-    once = named.withColumn("row_key", row_key).drop("doc_id", "text_key").dropDuplicates(["row_key"])
+    once = named.withColumn("row_key", row_key).drop("doc_id", "text_key")
+    rest = [F.col(f"c{i}") for i, c in enumerate(columns) if c not in (id_col, text_col)]
+    order = F.struct(*(c.cast("string") for c in rest)) if rest else F.lit(0)
+    once = once.groupBy("row_key").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(columns)))), order).alias("row")).select("row_key", "row.*")
     return once.join(as_table(keep), "row_key", "left_semi").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
