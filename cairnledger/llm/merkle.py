@@ -5,23 +5,26 @@ words. A piece's digest is that of its text; the digest of any other node is tha
 exactly if texts are (but for collisions of the digests), and following differing digests downward locates an edit. The fingerprint
 writes the tree: `root/section(paragraph.piece.piece,paragraph.piece);section(...)`, with the digests cut short.
 
+To find each document's next one, only ids and digests are sorted and numbered. Texts are dealt by the key of id and digest,
+rows of one key as one, and of each text as many first characters as the document before it needs travel on to that one's key.
+
 Defined results: a null text is an empty text; equal texts have equal fingerprints, whatever their ids; documents are
-in order of their ids, a null id first, and of the digests of their texts where ids are equal; the document after the
-last is the first, so a single document is its own next; other columns of the input are not touched.
+in order of their ids, a null id first, and of the digests of their texts where ids are equal, so of rows that agree in both all but
+one are followed by their like; the document after the last is the first, so a single document is its own next; texts of any length are
+whole; an empty table gives none; other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_table, numbered
 
 PIECE = r" *(?:[^ ]+ *){1,8}| +"
 ROOT, INNER, LEAF = 32, 8, 6
-#: Buckets of neighbouring ids for each shuffle partition, and the most of them.
-BUCKETS, MOST_BUCKETS = 4, 2000
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -61,41 +64,46 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - half), F.left(following, half))
 
 
-def in_buckets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with `bucket` and `guest`: neighbouring ids share a bucket, and each bucket has as its last row a guest,
-    the first row of the next bucket, so that every row finds the one after it in its own bucket.
-
-    Bucket bounds are quantiles of the ids; only they and the first row's key of each bucket visit the driver.
-    """
-    n = min(MOST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(10 * n))
-    bounds = sorted(set(docs.agg(quantiles).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
-    first = sorted(tuple(r) for r in keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("bucket", "m.doc_id", "m.h").collect())
-    guests = [(first[i - 1][0], d, h) for i, (_, d, h) in enumerate(first)]
-    guest = docs.sparkSession.createDataFrame(guests, "host int, g_id long, g_h long").groupBy("g_id", "g_h").agg(F.collect_list("host").alias("hosts"))
-    seated = keyed.join(F.broadcast(guest), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")
-    seats = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))), F.coalesce(F.transform("hosts", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("guest"))), F.array()))
-    return seated.select("doc_id", "text", "h", F.explode(seats).alias("seat")).select("doc_id", "text", "h", "seat.*")
+def followers(keys: DataFrame) -> DataFrame:
+    """(key, prev_key, need, times) of keys (key, doc_id, h, n_chars, times): the key before each in order, how many characters of
+    this text that one needs, and how many rows it stands for."""
+    placed = numbered(keys, F.col("doc_id").asc_nulls_first(), F.col("h"), name="at")
+    n = F.lit(max(1, placed.count()))
+    before = placed.select(
+        F.pmod(F.col("at") + 1, n).alias("at"), F.col("key").alias("prev_key"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"), F.col("times").alias("prev_times")
+    )
+    return as_table(placed.select("at", "key").join(before, "at").select("key", "prev_key", "need", "prev_times"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "h")
-    paired = in_buckets(named).select("*", F.lead("text", 1, "").over(order).alias("next_text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.md5("text"))
+    rows = named.withColumn("key", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "h"))))
+    keys = rows.select("key", "doc_id", "h", F.length("text").alias("n_chars")).groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("times")
+    )
+    follow = followers(as_table(keys))
+    once = rows.select("key", "doc_id", "text", fingerprint(F.col("text")).alias("fingerprint")).groupBy("key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint")
+    )
+    heads = once.select("key", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")).join(follow, "key").select(
+        F.col("prev_key").alias("key"), F.expr("left(next_text, need)").alias("head"), "next_fingerprint", F.col("prev_times").alias("times")
+    )
+    # Of rows that agree in id and text, all but one are followed by their like.
+    half = F.floor(F.length("text") / 2).cast("int")
+    nexts = F.array(
+        F.struct("head", "next_fingerprint", F.lit(1).cast("long").alias("times")),
+        F.struct(F.left(F.col("text"), half).alias("head"), F.col("fingerprint").alias("next_fingerprint"), (F.col("times") - 1).alias("times")),
+    )
+    paired = once.join(heads, "key").withColumn("next", F.explode(F.filter(nexts, lambda x: x["times"] > 0)))
     printed = paired.select(
-        "doc_id", "h", "bucket", "guest",
-        F.length("text").cast("long").alias("n_chars"),
-        edited(F.col("text"), F.col("next_text")).alias("edited"),
-        fingerprint(F.col("text")).alias("fingerprint"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next.head")).alias("edited"),
+        "fingerprint", F.col("next.next_fingerprint").alias("next_fingerprint"), F.col("next.times").alias("times"),
     )
-    followed = printed.select("*", F.lead("fingerprint").over(order).alias("next_fingerprint")).where(~F.col("guest"))
-    both = followed.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return both.select(
+    both = printed.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    found = both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "times",
     )
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "copy")

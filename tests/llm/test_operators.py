@@ -261,22 +261,44 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == got[60] == 50
 
 
-@INPUTS
-def test_fingerprints(request, name):
-    df = data(request, name)
-    rows = sorted(((i, t or "") for i, t, _, _ in table(df)), key=lambda r: (r[0] is not None, r[0] or 0))
-    got = merkle.fingerprints(df).collect()
-    assert len(got) == len(rows)
-    if name == "docs":  # ids are distinct here, so the next document is certain
-        for (i, t), (_, after), r in zip(rows, rows[1:] + rows[:1], sorted(got, key=lambda r: r["doc_id"])):
-            edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-            assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        by_text = collections.defaultdict(set)
-        for (_, t), r in zip(rows, sorted(got, key=lambda r: r["doc_id"])):
-            by_text[t].add(r["fingerprint"])
-        assert all(len(v) == 1 for v in by_text.values()) and len({f for v in by_text.values() for f in v}) == len(by_text)
-        assert np.mean([r["near_edited"] for r in got]) > 0.3 > 0.05 > np.mean([r["near_next"] for r in got])
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
+def tree(text):
+    """The fingerprint of a text by plain loops, and its distinct pieces."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    sections, leaves = [], set()
+    for section in (text or "").split("\n\n"):
+        paragraphs = []
+        for p in section.split("\n"):
+            pieces = [md5(m.group()) for m in re.finditer(r" *(?:[^ ]+ *){1,8}| +", p)]
+            leaves |= {x[:6] for x in pieces}
+            paragraphs.append((md5("".join(pieces)), "".join("." + x[:6] for x in pieces)))
+        sections.append((md5("".join(d for d, _ in paragraphs)), ",".join(d[:8] + of for d, of in paragraphs)))
+    root = hashlib.sha256("".join(d for d, _ in sections).encode()).hexdigest()[:32]
+    return root + "/" + ";".join(f"{d[:8]}({of})" for d, of in sections), leaves
+
+
+def alike(a, b):
+    (f, x), (g, y) = tree(a), tree(b)
+    return 1.0 if f == g else len(x & y) / max(len(x), len(y), 1)
+
+
+def fingerprint_rows(rows):
+    """The rows that fingerprints gives for (doc_id, text), in the order of ids, then of the texts' digests."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    out = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        out.append(repr((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), tree(t)[0], tree(edited)[0], round(alike(t, edited), 9), round(alike(t, after), 9))))
+    return sorted(out)
+
+
+def test_fingerprints_equal_brute_force(spark, odd, docs, none):
+    crowd = [(n % 3 or None, f"one hot text\n\n{n % 5} of it") for n in range(90)] + [(7, "the same row")] * 60
+    hot = spark.createDataFrame(crowd, "doc_id long, text string")
+    one = spark.createDataFrame([(5, "alone by itself")], "doc_id long, text string")
+    for df in (odd, docs, none, hot, one):
+        got = merkle.fingerprints(df).collect()
+        want = fingerprint_rows([(r["doc_id"], r["text"]) for r in df.collect()])
+        assert sorted(repr((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9))) for r in got) == want
 
 
 def test_tree_tells_texts_and_places(spark):
