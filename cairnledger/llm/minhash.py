@@ -224,7 +224,8 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def lowest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(digest, lowest) of all nodes: the first row of each one's component. Members of one component are dealt by a salt, so that
     those of a great one don't meet in one task; a node without a link is its own component."""
-    linked = as_table(nodes.select("node", "digest", "first").join(roots, "node"))
+    own = roots.select(F.col("root").alias("node"), "root").distinct()
+    linked = as_table(nodes.select("node", "digest", "first").join(roots.unionByName(own), "node"))
     of_root = linked.groupBy("root").agg(F.min("first").alias("lowest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     alone = nodes.join(linked.select("node"), "node", "left_anti").select("digest", F.col("first").alias("lowest"))
