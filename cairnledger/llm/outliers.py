@@ -4,11 +4,12 @@ Everything on the main path is a DataFrame or SQL function. The statistics of a
 so no text is shuffled. The estimates start from medians and median absolute deviations for each language and source, and
 concentration steps then repeat: keep the share of rows nearest by Mahalanobis distance, re-estimate mean and covariance from
 them. Each step is two aggregates with map-side partials over narrow rows; distances use the inverse Cholesky
-factor, computed as columns of the small table of groups.
+factor, computed as columns of the small table of groups. A group's centre and covariance are drawn toward those of all rows by
+the weight of PRIOR_ROWS rows, alike at every size: a great group keeps its own, a group of few rows has nearly those of all.
 
 Defined results: a null or empty text has no words, fails the base rule and is no part of the estimates; a null
-language or source is a value of its own; a group with few rows is judged by the estimate over all rows; equal rows
-get equal verdicts; other columns of the input are not touched.
+language or source is a value of its own; equal rows get equal verdicts; texts of any length count whole; an empty table
+gives none; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from .common import as_table, cut_lineage, small, words_of
 
 #: Base rule: the least number of words, and the percentage of words in repeated windows beyond which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group's rows that a concentration step keeps, the steps, and the rows below which a group is judged by all.
-KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 5, 100
-#: Smallest standard deviation of each feature: differences below it are of no importance to quality.
+#: Share of a group's rows that a concentration step keeps, the steps, and the rows that the estimate over all rows counts for in
+#: that of each group.
+KEPT_SHARE, STEPS, PRIOR_ROWS = 0.75, 5, 50
+#: Standard deviation that is added to each feature's own (as a variance): differences far below it are of no importance to quality.
 FLOORS = {"symbols": 0.05, "lines": 0.05, "repeats": 0.06, "word_length": 0.08}
 #: Median of the chi-square distribution with four degrees of freedom, and the distance that it exceeds in five of a million cases.
 CHI_MEDIAN, CUTOFF = 3.3567, 30.0
@@ -118,13 +120,23 @@ def by_group(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return rows.join(g, on).drop("h_lang", "h_source", "h_all")
 
 
+def drawn_together(raw: DataFrame) -> DataFrame:
+    """The groups' n, m_i and s_ij, each with its share of those of all rows, to keys, m_i and k_ij."""
+    made = [*(f"m_{i}" for i in range(P)), *(f"s_{i}{j}" for i in range(P) for j in range(i + 1))]
+    pooled = raw.where("g_all").select(F.lit(1).alias("one"), *(F.col(c).alias(f"all_{c}") for c in made))
+    own = raw.where("NOT g_all").withColumn("one", F.lit(1)).join(F.broadcast(pooled), "one")
+    share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    mixed = own.select("g_all", "g_lang", "g_source", *((share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in made))
+    return inverse_factor(mixed)
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """Per group (g_all, g_lang, g_source) of rows with features: m_i, k_ij and `scale`, which brings the median distance to its
-    expectation. g_all is true for the one group of all rows."""
+    """Per group (g_all, g_lang, g_source) of rows with features, but for that of all rows, which g_all marks: m_i, k_ij and `scale`,
+    which brings the median distance to its expectation."""
     keys = ["g_all", "g_lang", "g_source"]
     floor = [F.lit(v * v) for v in FLOORS.values()]
     median = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(2000))
-    centre = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(median(f).alias(f"m_{i}") for i, f in enumerate(FEATURES))))
+    centre = cut_lineage(rows.groupBy(*keys).agg(*(median(f).alias(f"m_{i}") for i, f in enumerate(FEATURES))))
     n = centre.count()
     spread = by_group(rows, centre, n).groupBy(*keys, *(f"m_{i}" for i in range(P))).agg(
         *(median(F.abs(F.col(f) - F.col(f"m_{i}"))).alias(f"d_{i}") for i, f in enumerate(FEATURES))
@@ -134,7 +146,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         *((F.pow(F.col(f"d_{i}") * 1.4826, 2) + floor[i] if i == j else F.lit(0.0)).alias(f"s_{i}{j}") for i in range(P) for j in range(i + 1)),
     )
     state = cut_lineage(inverse_factor(state))
-    for _ in range(STEPS):
+    for step in range(STEPS):
         near = by_group(rows, state, n).withColumn("d", distance())
         limit = cut_lineage(near.groupBy(*keys).agg(F.percentile_approx("d", F.lit(KEPT_SHARE), F.lit(2000)).alias("limit")))
         kept = by_group(near.drop(*(c for c in state.columns if c not in keys)), limit, n).where("d <= limit")
@@ -143,26 +155,22 @@ def estimates(rows: DataFrame) -> DataFrame:
             *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)),
             *(F.covar_pop(a, b).alias(f"c_{i}{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES[: i + 1])),
         )
-        state = sums.select(
-            *keys, *(f"m_{i}" for i in range(P)),
+        raw = cut_lineage(sums.select(
+            *keys, "n", *(f"m_{i}" for i in range(P)),
             *((F.col(f"c_{i}{j}") + (floor[i] if i == j else 0.0)).alias(f"s_{i}{j}") for i in range(P) for j in range(i + 1)),
-        )
-        state = cut_lineage(inverse_factor(state))
+        ))
+        state = cut_lineage(inverse_factor(raw.drop("n")) if step < STEPS - 1 else drawn_together(raw))
     middle = by_group(rows, state, n).withColumn("d", distance()).groupBy(*keys).agg(median("d").alias("middle"))
     scale = F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(1.0)).alias("scale")
     return cut_lineage(by_group(state, middle, n).select(*state.columns, scale))
 
 
 def judges(passed: DataFrame) -> DataFrame:
-    """(lang, source) to the estimate that judges its rows (m_i, k_ij, scale): its own if it has rows enough, else that of all."""
-    sizes = cut_lineage(passed.groupBy("lang", "source").agg((F.count(F.lit(1)) < LEAST_ROWS).alias("g_all")))
-    n = sizes.count()
-    alone = lambda c: F.when(~F.col("g_all"), F.col(c))
-    groups = sizes.select("lang", "source", "g_all", alone("lang").alias("g_lang"), alone("source").alias("g_source"))
+    """(lang, source) to the estimate that judges its rows: m_i, k_ij, scale."""
     keys = ["g_all", "g_lang", "g_source"]
-    own = same_group(passed.select("lang", "source", *FEATURES), groups.where(~F.col("g_all")), n).select(*keys, *FEATURES)
+    own = passed.select(F.lit(False).alias("g_all"), F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source"), *FEATURES)
     every = passed.select(F.lit(True).alias("g_all"), *(F.lit(None).cast("string").alias(k) for k in keys[1:]), *FEATURES)
-    return cut_lineage(by_group(groups, estimates(own.unionByName(every)), n).drop(*keys))
+    return estimates(own.unionByName(every)).withColumnsRenamed({"g_lang": "lang", "g_source": "source"}).drop("g_all")
 
 
 def same_group(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
@@ -187,14 +195,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", sourc
 
 
 def kept_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns. Statistics are computed for the estimates and again for the
-    verdicts, which spares a shuffle of the texts."""
+    """The rows of docs that are kept, with their columns. Rows that pass the base rule are written once with their statistics, from
+    which the estimates read the narrow columns and the verdicts the rows."""
     columns = docs.columns
     named = docs.select(
         *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)),
         F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"),
     )
-    passed = lambda rows: text_statistics(rows).where(~base_failed()).select("*", *features())
-    narrow = as_table(passed(named.select("lang", "source", "text")).select("lang", "source", *FEATURES))
-    kept = with_verdict(passed(named), judges(narrow)).where("kept")
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    kept = [*(f"c{i}" for i in range(len(columns))), "lang", "source"]
+    passed = as_table(text_statistics(named).where(~base_failed()).select(*kept, *features()))
+    return with_verdict(passed, judges(passed.select("lang", "source", *FEATURES))).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

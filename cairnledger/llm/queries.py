@@ -49,7 +49,8 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(documents(spark, sf_dir))
+    """Scores rounded to four decimals, so that the order of additions doesn't show."""
+    return backoff.score(documents(spark, sf_dir)).withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +85,24 @@ QUERIES = {
     )
 }
 
+#: Words of a text as a list, A-Z lowered.
+WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"""
+
 #: Links by counting common shingles of all pairs that have one, and components by recursion. The other operators' results hold
-#: hashes, positions, encodings or iterated estimates, which SQL does not state; their tests are by brute force.
+#: hashes, positions, encodings or iterated estimates, which SQL does not state; their tests are by brute force. Scores by counts of words
+#: and of pairs, each less the document's own.
 ORACLE: dict[str, str] = {
+    "op7_backoff": f"""WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
+n AS (SELECT CAST(coalesce(sum(len(ws)), 0) AS DOUBLE) AS n FROM d),
+e AS (SELECT r, len(ws) AS l, i, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+w AS (SELECT b AS word, count(*) AS c FROM e GROUP BY 1), p AS (SELECT a, b, count(*) AS c FROM e WHERE i > 1 GROUP BY 1, 2),
+ow AS (SELECT r, b AS word, count(*) AS c FROM e GROUP BY 1, 2), op AS (SELECT r, a, b, count(*) AS c FROM e WHERE i > 1 GROUP BY 1, 2, 3),
+ww AS (SELECT r, word, w.c - ow.c AS c FROM ow JOIN w USING (word)), pp AS (SELECT r, a, b, p.c - op.c AS c FROM op JOIN p USING (a, b)),
+t AS (SELECT e.r, CASE WHEN pp.c > 0 THEN log10(pp.c / CAST(greatest(1, f.c) AS DOUBLE))
+    ELSE log10(CASE WHEN e.i > 1 THEN 0.4 ELSE 1.0 END * CASE WHEN s.c > 0 THEN s.c ELSE 0.4 END / greatest(1, n.n - e.l)) END AS score
+    FROM e CROSS JOIN n JOIN ww s ON s.r = e.r AND s.word = e.b LEFT JOIN ww f ON f.r = e.r AND f.word = e.a LEFT JOIN pp ON pp.r = e.r AND pp.a = e.a AND pp.b = e.b)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(s, 4) AS log_score, round(s / len(ws), 4) AS mean_log_score FROM d LEFT JOIN (SELECT r, sum(score) AS s FROM t GROUP BY 1) USING (r)""",
     "op5_near_duplicates": r"""WITH RECURSIVE
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS shingle

@@ -115,6 +115,56 @@ def test_outliers_go_and_clean_stay(spark):
     assert {r["doc_id"] for r in outliers.kept_documents(df).collect()} == kept
 
 
+def at_rank(values, share):
+    return sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
+
+
+def verdicts(rows):
+    """(distance, kept) of rows (id, text, lang, source) by plain loops and numpy: the same estimates from exact quantiles."""
+    stats = [statistics(t) for _, t, _, _ in rows]
+    passes = [n >= 50 and not 100 * rep > 50 * n for n, _, _, _, rep in stats]
+    x = [(math.sqrt(sym / c), math.sqrt(dup / n), rep / n, math.log(c / n)) if ok else None for (n, c, sym, dup, rep), ok in zip(stats, passes)]
+    groups = collections.defaultdict(list)
+    for (_, _, lang, source), v in zip(rows, x):
+        if v:
+            groups[(lang, source)].append(v)
+            groups["all"].append(v)
+    floor = np.diag([f * f for f in outliers.FLOORS.values()])
+    far = lambda v, m, s: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m)
+    raw = {}
+    for g, v in groups.items():
+        v = np.array(v)
+        m = np.array([at_rank(c, 0.5) for c in v.T])
+        s = np.diag([(at_rank(np.abs(c - a), 0.5) * 1.4826) ** 2 for c, a in zip(v.T, m)]) + floor
+        for _ in range(outliers.STEPS):
+            d = far(v, m, s)
+            kept = v[d <= at_rank(d, outliers.KEPT_SHARE) + 1e-12]
+            m, s = kept.mean(axis=0), np.cov(kept.T, bias=True) + floor
+        raw[g] = len(kept), m, s
+    fits = {}
+    for g, (n, m, s) in raw.items():
+        w = n / (n + outliers.PRIOR_ROWS)
+        m, s = w * m + (1 - w) * raw["all"][1], w * s + (1 - w) * raw["all"][2]
+        fits[g] = m, s, max(1.0, at_rank(far(np.array(groups[g]), m, s), 0.5) / outliers.CHI_MEDIAN)
+    out = []
+    for (_, _, lang, source), v in zip(rows, x):
+        d = None
+        if v:
+            m, s, scale = fits[(lang, source)]
+            d = float(far(np.array([v]), m, s)[0] / scale)
+        out.append((d, d is not None and d <= outliers.CUTOFF))
+    return out
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_verdicts_equal_brute_force(request, name):
+    """Groups of one row and of many: all are judged by one rule."""
+    df = data(request, name)
+    rows = table(df)
+    want = sorted(repr((i, None if d is None else round(d, 5), k)) for (i, _, _, _), (d, k) in zip(rows, verdicts(rows)))
+    assert sorted(repr((r["doc_id"], None if r["distance"] is None else round(r["distance"], 5), r["kept"])) for r in outliers.judge(df).collect()) == want
+
+
 def test_inverse_factor(spark):
     a = np.random.Generator(np.random.PCG64(1)).normal(size=(outliers.P, 9))
     c = a @ a.T
@@ -401,31 +451,88 @@ def test_bpe_of_odd_strings():
     assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_repeated_passages(spark):
-    rng = random.Random(8)
-    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n)]
-    passage, clean = words(55), [(n, " ".join(words(200))) for n in range(30)]
-    planted = [(100 + n, " ".join([*words(rng.randint(0, 90)), *passage, *words(rng.randint(0, 90))])) for n in range(12)]
-    inserted = [(200, " ".join([*words(10), *passage[:28], "INSERTED", *passage[28:], *words(10)]))]
-    df = spark.createDataFrame(clean + planted + inserted, "doc_id long, text string")
-    got = chunks.repeated_passages(df).collect()
-    assert {r["doc_id"] for r in got} - {200} == {i for i, _ in planted}
-    texts = dict(planted)
-    for r in got:
-        if r["doc_id"] in texts:
-            run = " ".join(texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]])
-            assert run in " ".join(passage) and r["n_words"] >= 24
+def plain(text):
+    return (text or "").encode().lower().split()
+
+
+def runs_of(rows, n):
+    """The rows that hold each run of n words."""
+    held = collections.defaultdict(set)
+    for r, w in enumerate(rows):
+        for i in range(len(w) - n + 1):
+            held[tuple(w[i : i + n])].add(r)
+    return held
+
+
+def covered_words(rows, n, others):
+    """Words (row, place) that lie in a run of n words which a row of others(r, holders) holds too."""
+    held = runs_of(rows, n)
+    return {(r, i + k) for r, w in enumerate(rows) for i in range(len(w) - n + 1) if others(r, held[tuple(w[i : i + n])]) for k in range(n)}
 
 
-def test_passages_of_odd_rows(odd, none):
-    assert chunks.repeated_passages(none).count() == 0
+@pytest.fixture(scope="module")
+def shared(spark):
+    """Texts of long, short and single-letter words with passages of 50 words and more that others hold, moved, cut and inserted into."""
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnop", "ab", "xyz"]
+    words = lambda n, k: ["".join(rng.choices(kinds[k], k=rng.randint(2, 9) if k == 0 else rng.randint(1, 2 * k))) for _ in range(n)]
+    rows = [words(rng.randint(0, 200), 0) for _ in range(20)]
+    for k in range(3):
+        for n in (50, 51, 55, 90, 400):
+            passage = words(n, k)
+            for _ in range(rng.randint(2, 4)):
+                rows.append([*words(rng.randint(0, 90), k), *passage, *words(rng.randint(0, 90), k)])
+            at = rng.randint(0, n)
+            rows.append([*passage[:at], "INSERTED", *passage[at:]])
+    rows += [["same"] * 70, ["same"] * 90, rows[3], rows[3]]
+    texts = [rng.choice([" ", "\n", "  "]).join(r).title() for r in rows]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), [plain(t) for t in texts]
+
+
+def test_repeated_passages_equal_brute_force(shared):
+    df, rows = shared
+    found = {(r["doc_id"], i) for r in chunks.repeated_passages(df).collect() for i in range(r["start_word"], r["end_word"])}
+    assert found <= covered_words(rows, chunks.LEAST_WORDS, lambda r, held: len(held) > 1)
+    for run, held in runs_of(rows, chunks.SURE_WORDS).items():
+        for r in held if len(held) > 1 else ():
+            for i in range(len(rows[r]) - len(run) + 1):
+                if tuple(rows[r][i : i + len(run)]) == run:  # all but its edges
+                    assert {(r, k) for k in range(i + 12, i + len(run) - 15)} <= found
+
+
+def test_later_repeats_are_taken_out(shared):
+    df, rows = shared
+    left = [plain(r["text"]) for r in chunks.deduplicated(df).orderBy("doc_id").collect()]
+    gone = covered_words(rows, chunks.LEAST_WORDS, lambda r, held: min(held) < r)
+    for r, (before, after) in enumerate(zip(rows, left)):
+        rest = iter(before)
+        assert all(w in rest for w in after)  # what stays is in order
+        assert len(before) - len(after) <= sum((r, i) in gone for i in range(len(before)))
+    long = runs_of(rows, 100)
+    assert not any(len({r for r, w in enumerate(left) if run in zip(*(w[k:] for k in range(100)))}) > 1 for run, held in long.items() if len(held) > 1)
+
+
+def test_passages_of_odd_rows(spark, odd, none):
+    assert chunks.repeated_passages(none).count() == 0 and chunks.deduplicated(none).count() == 0
     assert {r["doc_id"] for r in chunks.repeated_passages(odd).collect()} == {1, 2}
+    clean = chunks.deduplicated(odd)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+    assert all(r["n_chars"] == len(r["text"] or "") for r in clean.where("text IS NOT NULL").collect())
+    kept = {r["doc_id"]: r["text"] for r in clean.collect() if r["doc_id"] in (3, 4, 7, 9)}
+    assert kept == {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] in (3, 4, 7, 9)}
 
 
 def test_gear_looks_back_only_so_far():
-    a, b = (np.frombuffer(x + b"the same tail of more than sixteen bytes", np.uint8) for x in (b"one", b"another head"))
+    a, b = (np.frombuffer(x + b"the same tail of more than eight bytes", np.uint8) for x in (b"one", b"another head"))
     bits = np.uint32((1 << chunks.LOOK_BACK) - 1)
-    assert (chunks.gear(a)[-20:] & bits == chunks.gear(b)[-20:] & bits).all()
+    assert (chunks.gear(a)[-20:] == chunks.gear(b)[-20:]).all() and bits
+
+
+def test_no_chunk_is_longer_than_the_window():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for h in (rng.integers(0, 1 << 32, 500).astype(np.uint32), rng.integers(0, 3, 500).astype(np.uint32), np.zeros(60, np.uint32)):
+        at = chunks.cuts(h)
+        assert np.diff(at, prepend=-1).max() <= chunks.WINDOW and len(h) - 1 - at[-1] < chunks.WINDOW
 
 
 @pytest.mark.parametrize(
