@@ -83,24 +83,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("times")
     )
     follow = followers(as_table(keys))
-    once = rows.select("key", "doc_id", "text", fingerprint(F.col("text")).alias("fingerprint")).groupBy("key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint")
-    )
-    heads = once.select("key", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")).join(follow, "key").select(
-        F.col("prev_key").alias("key"), F.expr("left(next_text, need)").alias("head"), "next_fingerprint", F.col("prev_times").alias("times")
+    # One column, so that both uses below read the same exchange of texts.
+    once = rows.groupBy("key").agg(F.first(F.struct("doc_id", "text")).alias("row"))
+    heads = once.join(follow, "key").select(
+        F.col("prev_key").alias("key"), F.left(F.col("row.text"), F.col("need")).alias("head"), fingerprint(F.col("row.text")).alias("next_fingerprint"), F.col("prev_times").alias("times")
     )
+    printed = once.select("key", "row.*").withColumn("fingerprint", fingerprint(F.col("text")))
     # Of rows that agree in id and text, all but one are followed by their like.
     half = F.floor(F.length("text") / 2).cast("int")
     nexts = F.array(
         F.struct("head", "next_fingerprint", F.lit(1).cast("long").alias("times")),
         F.struct(F.left(F.col("text"), half).alias("head"), F.col("fingerprint").alias("next_fingerprint"), (F.col("times") - 1).alias("times")),
     )
-    paired = once.join(heads, "key").withColumn("next", F.explode(F.filter(nexts, lambda x: x["times"] > 0)))
-    printed = paired.select(
+    paired = printed.join(heads, "key").withColumn("next", F.explode(F.filter(nexts, lambda x: x["times"] > 0)))
+    followed = paired.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next.head")).alias("edited"),
         "fingerprint", F.col("next.next_fingerprint").alias("next_fingerprint"), F.col("next.times").alias("times"),
     )
-    both = printed.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    both = followed.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     found = both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
