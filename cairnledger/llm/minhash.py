@@ -42,6 +42,8 @@ ROWS, BANDS, BITS, MISMATCHES, FILLED = 6, 50, 128, 36, 1000
 BINS = ROWS * BANDS
 #: Bits of the parities: each is that of the number of shingles with its hash, so two sets differ by a shingle for each bit at least.
 PARITIES = 256
+#: Members of a shingle that are compared with each other in one group, at most about; a group is a pair of such blocks.
+BLOCK = 1024
 #: Parts into which the members of one component are dealt when they learn its smallest id.
 SALTS = 16
 SLICE_BYTES = 8 << 20
@@ -146,12 +148,15 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
+def mismatches(percent: int) -> int:
+    """They are set for 0.8; a lower threshold allows as many more as the bits that may differ grow."""
+    return MISMATCHES + max(0, 80 - percent) * BITS // 200 * 2
+
+
 def likely(percent: int) -> Column:
     """Whether the sizes and sketches of a pair leave it possible that it reaches the threshold."""
     differing = lambda words: reduce(add, (F.bit_count(F.get("a_sketch", i).bitwiseXOR(F.get("b_sketch", i))) for i in words))
-    # The mismatches are allowed for 0.8; a lower threshold allows as many more as the bits that may differ grow.
-    allowed = MISMATCHES + max(0, 80 - percent) * BITS // 200 * 2
-    by_sketch = differing(range(BITS // 64)) <= allowed
+    by_sketch = differing(range(BITS // 64)) <= mismatches(percent)
     # A pair at the threshold has (1 - t) / (1 + t) of its sizes' sum in one set alone, at most.
     by_parities = differing(range(BITS // 64, (BITS + PARITIES) // 64)) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
     sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
@@ -193,32 +198,87 @@ def still_mixed(buckets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, a_n, b_n), a < b, of sets (node, root, n, shingles): every pair of different roots that reaches the threshold, and others.
+    """(a, b, a_n, b_n), a < b, of sets (node, root, n, shingles, sketch): every pair of different roots that reaches the threshold, and others.
 
     In any one order of all shingles, two such sets have their first common shingle in the first n - least + 1 of each, where
     `least` is what they must have in common. Shingles of one root only come first, then the rare ones. The smaller set of
     a pair needs the shorter prefix, as its share of both sizes is the greater.
     """
     each = sets.select("node", "root", "n", F.explode("shingles").alias("shingle"))
+    sketches = sets.select("node", "sketch")
     of_shingle = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held"))
     common = as_table(each.join(of_shingle.where("low <> high").select("shingle", "held"), "shingle"))
     of_node = Over.partitionBy("node")
     ranked = common.withColumn("before", F.col("n") - F.count(F.lit(1)).over(of_node)).where(F.col("before") * 100 <= F.col("n") * (100 - percent))
     placed = ranked.withColumn("at", F.col("before") + F.row_number().over(of_node.orderBy("held", "shingle")) - 1).where(F.col("at") * 100 <= F.col("n") * (100 - percent))
-    prefixes = as_table(placed.select("shingle", "node", "root", "n", "at"))
-    # Components meet first, so that the members of a great one don't meet each other.
-    of_root = prefixes.groupBy("shingle", "root").agg(F.lit(1).alias("one")).drop("one")
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "at")]
-    short = prefixes.where(F.col("at") * (100 + percent) <= F.col("n") * (100 - percent)).select("shingle", F.col("root").alias("s_root"), *side("s"))
-    facing = short.join(of_root, "shingle").where("s_root <> root").drop("s_root")
-    long = prefixes.select("shingle", "root", *side("l"))
-    sizes = (F.col("s_n") <= F.col("l_n")) & (F.col("s_n") * 100 >= F.col("l_n") * percent)
-    left = F.least(F.col("s_n") - F.col("s_at"), F.col("l_n") - F.col("l_at"))
-    met = facing.join(long, ["shingle", "root"]).where(sizes & (left * (100 + percent) >= (F.col("s_n") + F.col("l_n")) * percent))
-    end = lambda p, name: F.struct(F.col(f"{p}_node").alias(name), F.col(f"{p}_n").alias(f"{name}_n"))
-    first = F.col("s_node") < F.col("l_node")
-    a, b = (F.when(first, end(p, name)).otherwise(end(q, name)) for p, q, name in (("s", "l", "a"), ("l", "s", "b")))
-    return met.select(a.alias("x"), b.alias("y")).select("x.a", "y.b", "x.a_n", "y.b_n").distinct()
+    prefixes = as_table(placed.select("shingle", "node", "root", "n", "at").join(sketches, "node"))
+    held = prefixes.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high")
+    dealt = prefixes.join(held.select("shingle", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "shingle")
+    # The members of a shingle are dealt into blocks of bounded size, and each pair of blocks is a group of its own.
+    block = F.pmod(F.xxhash64("node", "shingle"), F.col("blocks")).cast("int")
+    paired = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    rows = paired.select("shingle", *keys, "block", "node", "root", "n", "at", "sketch").repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    return pairs_in_groups(rows, percent).distinct()
+
+
+def fitting(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows that share a shingle of their prefixes, those that may be linked and join two components."""
+    n, at = r["n"], r["at"]
+    keep = (r["root"][i] != r["root"][j]) & ((r["lo"][i] == r["hi"][i]) | (r["block"][i] != r["block"][j]))
+    i, j = i[keep], j[keep]
+    least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    left = np.minimum(n[i] - at[i], n[j] - at[j])
+    begun = np.where(n[i] <= n[j], at[i], at[j])  # the smaller set needs a shorter prefix
+    begun = np.where(n[i] == n[j], np.minimum(at[i], at[j]), begun)
+    keep = (least * 100 >= most * percent) & (left * (100 + percent) >= (least + most) * percent) & (begun * (100 + percent) <= least * (100 - percent))
+    i, j, least, most = i[keep], j[keep], least[keep], most[keep]
+    differing = np.bitwise_count((r["sketch"][i] ^ r["sketch"][j]).view(np.uint64))
+    bits, parities = differing[:, : BITS // 64].sum(axis=1, dtype=np.int64), differing[:, BITS // 64 :].sum(axis=1, dtype=np.int64)
+    keep = (parities * (100 + percent) <= (least + most) * (100 - percent)) & ((least < FILLED) | (bits <= mismatches(percent)))
+    return i[keep], j[keep]
+
+
+def pairs_in_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, a_n, b_n) of rows that come sorted by shingle, lo and hi, group after group. Pairs are formed as numbers in memory, of bounded
+    groups, and only those that fit become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def put(r: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+            """The pairs of the groups between the bounds."""
+            some, found, waiting = [], [], 0
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                i, j = np.triu_indices(b - a, 1)
+                some.append((i + a, j + a))
+                waiting += len(i)
+                if waiting > 1 << 20:
+                    found.append(fitting(r, *map(np.concatenate, zip(*some, strict=True)), percent))
+                    some, waiting = [], 0
+            if some:
+                found.append(fitting(r, *map(np.concatenate, zip(*some, strict=True)), percent))
+            i, j = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            first = r["node"][i] < r["node"][j]
+            a, b = np.where(first, i, j), np.where(first, j, i)
+            columns = [r["node"][a], r["node"][b], r["n"][a], r["n"][b]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "a_n", "b_n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != "sketch"}
+            r["sketch"] = batch.column("sketch").flatten().to_numpy().reshape(batch.num_rows, -1)
+            if held is not None:
+                r = {c: np.concatenate([held[c], x]) for c, x in r.items()}
+            new = np.flatnonzero((np.diff(r["shingle"]) != 0) | (np.diff(r["lo"]) != 0) | (np.diff(r["hi"]) != 0)) + 1
+            if len(new):
+                yield put(r, np.concatenate([[0], new]))
+            held = {c: x[new[-1] if len(new) else 0 :] for c, x in r.items()}
+        if held is not None:
+            yield put(held, np.array([0, len(held["n"])]))
+
+    return rows.mapInArrow(run, "a long, b long, a_n long, b_n long")
 
 
 def lowest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -254,7 +314,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     checked = as_table(compared(stars, nodes, percent))
     edges = as_table(confirmed(checked, sets, percent))
     still = as_table(still_mixed(buckets, edges).join(nodes.select("node", F.col("n_shingles").alias("n")), "node"))
-    fresh = as_table(prefix_pairs(still.join(sets, "node"), percent).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    fresh = as_table(prefix_pairs(still.join(sets, "node").join(nodes.select("node", "sketch"), "node"), percent).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     edges = as_table(edges.unionByName(confirmed(fresh, sets, percent)))
     of_set = lowest(nodes, components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     found = rows.select("doc_id", "text_key", "n_shingles", "digest").join(of_set, "digest", "left")

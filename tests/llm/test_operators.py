@@ -280,8 +280,12 @@ def test_no_linked_pair_is_bounded_away(spark):
 def test_prefix_pairs_hold_every_linked_pair(spark):
     rng = random.Random(3)
     sets = [sorted(rng.sample(range(24), rng.randint(1, 14))) for _ in range(160)]
-    df = spark.createDataFrame([(n, n % 40, len(s), s) for n, s in enumerate(sets)], "node long, root long, n long, shingles array<long>")
+    sketch = lambda s: (lambda x: minhash.sketch(x, minhash.signature(x)).tolist())(np.array(s, np.uint64))
+    df = spark.createDataFrame([(n, n % 40, len(s), s, sketch(s)) for n, s in enumerate(sets)], "node long, root long, n long, shingles array<long>, sketch array<long>")
     got = {(r["a"], r["b"]) for r in minhash.prefix_pairs(df, 80).collect()}
+    block, minhash.BLOCK = minhash.BLOCK, 7  # any size of block gives the same
+    assert {(r["a"], r["b"]) for r in minhash.prefix_pairs(df, 80).collect()} == got
+    minhash.BLOCK = block
     linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if a % 40 != b % 40 and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len({*sets[a], *sets[b]})}
     assert linked and linked <= got
 
