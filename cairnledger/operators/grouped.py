@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -33,3 +35,14 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
             yield pd.DataFrame(list(work(key, rows)), columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/cairnledger-{os.getpid()}")
+    return df.checkpoint(eager=True)

@@ -154,10 +154,8 @@ def counterparty_counts(ledger: Ledger, names: DataFrame) -> DataFrame:
 
 
 def daily_movement(ledger: Ledger) -> DataFrame:
-    """Movement of each account and day; a row after its statement's end counts on the last day."""
-    start = ledger.balance.select("account_id", "period_start", "period_end")
-    on = (F.datediff("posted_date", "period_start") >= 0) & (F.datediff("posted_date", "period_start") < 7)
-    rows = ledger.txn.join(start, "account_id").where(on)
+    """Movement of each account and day; a row after the end of the statement it was printed on counts on the last day."""
+    rows = ledger.txn.join(ledger.balance.select("document_id", "account_id", "period_end"), ["document_id", "account_id"])
     day = F.least("posted_date", "period_end")
     return rows.groupBy("account_id", day.alias("day")).agg(F.sum("amount_minor").alias("moved_minor"))
 

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import identity
+from ..operators import identity, transfers
+from ..operators.categories import literal_of
 from ..sources.driver_tables import Ledger, events
 
 #: Rules over part names (pattern, category, weight); one is a literal, two tie.
@@ -18,6 +19,16 @@ PART_RULES = (
     (r"\bBLUE\b", "Travel", 0),
     (r"\bRING\b", "Dining", 0),
 )
+#: Rules over shops: two tie on some, one is a literal, one weighs more.
+SHOP_RULES = (
+    (r"\bSHOP [0-9]\b", "Grocery", 0),
+    (r"\bSHOP 1[0-9]\b", "Dining", 0),
+    (r"\bSHOP 1[5-9]\b", "Travel", 0),
+    (r"^ERROR\ SHOP\ 30$", "Fashion", 0),
+    (r"\bPURCHASE\b", "Business services", -1),
+    (r"\bSHOP 2[0-9]\b", "Transport", 2),
+    (r"\bSHOP 2", "Healthcare", 0),
+)
 #: Columns of the placed words, half-open.
 BANDS = [("date", 50.0, 140.0), ("text", 140.0, 360.0), ("amount", 360.0, 600.0)]
 
@@ -27,9 +38,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def part_rules(spark: SparkSession) -> DataFrame:
-    from ..operators.categories import literal_of
+    return rules_of(spark, PART_RULES)
+
 
-    rows = [(p, c, w, literal_of(p)) for p, c, w in PART_RULES]
+def rules_of(spark: SparkSession, rules: tuple[tuple[str, str, int], ...]) -> DataFrame:
+    rows = [(p, c, w, literal_of(p)) for p, c, w in rules]
     return spark.createDataFrame(rows, "pattern string, category string, weight int, literal string")
 
 
@@ -47,12 +60,59 @@ def statement_tables(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
         F.col("document_id").alias("doc"), "account_id", "opening_minor", "closing_minor", null("long").alias("declared_out"), null("long").alias("declared_in"),
         null("long").alias("declared_count"), "period_start", "period_end", F.lit(0).alias("grace_days"),
     )
-    starts = l.balance.select(F.col("document_id").alias("doc"), "account_id", "period_start")
-    week = F.date_add(F.date_trunc("week", "posted_date").cast("date"), 0)  # 2024-01-01 is a Monday, as are the statements' starts
-    rows = l.txn.withColumn("period_start", week).join(starts, ["account_id", "period_start"])
-    return declared, rows.select(
-        "doc", "account_id", F.col("txn_id").alias("pos"), "posted_date", null("date").alias("value_date"), "amount_minor", null("int").alias("column_sign"), F.lit("").alias("section")
+    return declared, l.txn.select(
+        F.col("document_id").alias("doc"), "account_id", F.col("txn_id").alias("pos"), "posted_date", null("date").alias("value_date"), "amount_minor", null("int").alias("column_sign"), F.lit("").alias("section")
+    )
+
+
+def combined_statements(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    """Documents of four accounts over all of the ledger's time, without balances. Every ninth account's declared total is one unit off, and
+    the declared count is even."""
+    null = lambda t: F.lit(None).cast(t)
+    doc = F.floor(F.col("account_id") / 4).cast("long")
+    rows = l.txn.select(
+        doc.alias("doc"), "account_id", F.col("txn_id").alias("pos"), F.lit("2024-01-01").cast("date").alias("posted_date"), null("date").alias("value_date"), "amount_minor", null("int").alias("column_sign"), F.lit("").alias("section")
     )
+    sums = rows.groupBy("doc", "account_id").agg(
+        (-F.sum(F.least("amount_minor", F.lit(0))) + F.when(F.col("account_id") % 9 == 0, 1).otherwise(0)).alias("declared_out"), F.sum(F.greatest("amount_minor", F.lit(0))).alias("declared_in"), F.count(F.lit(1)).alias("n")
+    )
+    count = rows.groupBy("doc").agg((F.floor((F.count(F.lit(1)) + 1) / 2) * 2).cast("long").alias("declared_count"))
+    day = lambda c: F.lit("2024-01-01").cast("date").alias(c)
+    return sums.join(count, "doc").select("doc", "account_id", null("long").alias("opening_minor"), null("long").alias("closing_minor"), "declared_out", "declared_in", "declared_count", day("period_start"), day("period_end"), F.lit(0).alias("grace_days")), rows
+
+
+def sure_links(l: Ledger) -> DataFrame:  # noqa: E741
+    """Links of legs that have one candidate each: whatever the order, these are settled."""
+    pairs = transfers.candidates(transfers.legs_of(l))
+    alone = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(c)
+    sure = pairs.join(alone("out_txn_id"), "out_txn_id").join(alone("in_txn_id"), "in_txn_id")
+    return sure.select("out_txn_id", "in_txn_id", F.element_at(F.array(*map(F.lit, transfers.EVIDENCE)), F.array_position("passes", True).cast("int")).alias("evidence"), F.col("amount").alias("amount_minor"))
+
+
+def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as printed lines: each third row has a line above it, each second one below, and all have stray ones further off."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    line = lambda n, when, off, words: F.when(when, F.struct(F.lit(n).alias("n"), (F.col("l_linenumber") * 100.0 + off).alias("top"), F.concat(F.lit(words), F.col("l_linenumber").cast("string")).alias("text"), F.lit(n == 2).alias("value")))
+    always, number = F.lit(True), F.col("l_linenumber")
+    printed = F.array_compact(F.array(line(0, always, -30, "far above "), line(1, number % 3 == 0, -8, "lead "), line(2, always, 0, "row "), line(3, number % 2 == 0, 9, "more "), line(4, always, 19, "far below ")))
+    each = items.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), "l_linenumber", F.explode(printed).alias("x"))
+    return each.select("doc", "page", (F.col("l_linenumber") * 5 + F.col("x.n")).cast("int").alias("line"), "x.top", "x.text", "x.value")
+
+
+def printed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages with a title, a header and a row whose amount is right-aligned under one of two headings; all is shifted by order."""
+    o = read(spark, sf_dir, "orders")
+    shift = F.pmod("o_orderkey", F.lit(40)).cast("double")
+    word = lambda x0, x1, t: F.struct((F.lit(float(x0)) + shift).alias("x0"), (F.lit(float(x1)) + shift).alias("x1"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    amount = F.format_number("o_totalprice", 2)
+    under = F.when(F.col("o_orderstatus") == "O", word(310, 352, amount)).otherwise(word(385, 427, amount))
+    lines = F.array(
+        F.struct(F.lit(0).alias("line"), F.lit(10.0).alias("top"), F.array(word(50, 80, "ACME"), word(90, 120, "Bank")).alias("words")),
+        F.struct(F.lit(1).alias("line"), F.lit(30.0).alias("top"), F.array(word(50, 75, "Date"), word(120, 180, "Details"), word(300, 350, "Withdrawal"), word(380, 425, "Deposit"), word(460, 510, "Balance")).alias("words")),
+        F.struct(F.lit(2).alias("line"), F.lit(50.0).alias("top"), F.array(word(50, 75, "01/06"), word(120, 150, "ORDER"), word(155, 290, F.col("o_orderkey").cast("string")), under).alias("words")),
+        F.struct(F.lit(3).alias("line"), F.lit(90.0).alias("top"), F.array(word(50, 75, "Page"), word(80, 90, "1")).alias("words")),
+    )
+    return o.select(F.col("o_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.explode(lines).alias("l")).select("doc", "page", "l.*")
 
 
 def keyed_rows(l: Ledger) -> DataFrame:  # noqa: E741

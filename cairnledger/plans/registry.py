@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..operators import categories, geometry, identity, recurrence, spending, statements, transfers
+from ..operators import categories, geometry, identity, layout, recurrence, spending, statements, transfers
 from ..sources.driver_tables import CTES, Ledger, ledger
 from . import derived
 
@@ -126,7 +126,7 @@ def agg_09_counts(l: Ledger) -> DataFrame:  # noqa: E741
 
 
 MOVEMENT = """SELECT account_id, least(posted_date, period_end) AS day, CAST(sum(amount_minor) AS BIGINT) AS moved_minor FROM txn
-    JOIN balance USING (account_id) WHERE posted_date BETWEEN period_start AND period_start + 6 GROUP BY 1, 2"""
+    JOIN balance USING (document_id, account_id) GROUP BY 1, 2"""
 
 
 @over_ledger(MOVEMENT)
@@ -192,10 +192,15 @@ def trf_04_find_transfers(l: Ledger) -> DataFrame:  # noqa: E741
     return transfers.find_transfers(transfers.legs_of(l))
 
 
-@over_ledger()
-def agg_13_links_by_evidence(l: Ledger) -> DataFrame:  # noqa: E741
-    found = transfers.find_transfers(transfers.legs_of(l))
-    return found.groupBy("evidence").agg(F.count(F.lit(1)).alias("n_links"), F.sum("amount_minor").alias("value_minor"))
+SURE = f"""sure AS (SELECT out_txn_id, in_txn_id, amount, CASE WHEN pays_card AND days_apart <= 21 THEN 'pays a card' ELSE 'amount and date' END AS evidence FROM
+    (SELECT *, count(*) OVER (PARTITION BY out_txn_id) AS of_out, count(*) OVER (PARTITION BY in_txn_id) AS of_in FROM ({PAIRS}) WHERE days_apart <= 4 OR (pays_card AND days_apart <= 21))
+    WHERE of_out = 1 AND of_in = 1)"""
+
+
+@query("SELECT evidence, count(*) AS n_links, CAST(sum(amount) AS BIGINT) AS value_minor FROM sure GROUP BY 1", CTES, SURE)
+def agg_13_links_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the links of legs that have one candidate each, which any order of settling makes."""
+    return transfers.by_evidence(derived.sure_links(ledger(spark, sf_dir)))
 
 
 @over_ledger()
@@ -204,9 +209,12 @@ def trf_05_ambiguous(l: Ledger) -> DataFrame:  # noqa: E741
     return transfers.ambiguous(legs, transfers.find_transfers(legs))
 
 
-@over_ledger()
-def set_02_rerun_diff(l: Ledger) -> DataFrame:  # noqa: E741
-    return transfers.rerun_diff(transfers.find_transfers(transfers.legs_of(l)), l.transfer_link)
+@query("""SELECT out_txn_id, in_txn_id, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT out_txn_id, in_txn_id, 1 AS now FROM sure)
+    FULL JOIN (SELECT out_txn_id, in_txn_id, 1 AS was FROM transfer_link WHERE origin = 'auto' AND in_txn_id IS NOT NULL) USING (out_txn_id, in_txn_id)""", CTES, SURE)
+def set_02_rerun_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the links of legs that have one candidate each, against those stored."""
+    l = ledger(spark, sf_dir)  # noqa: E741
+    return transfers.rerun_diff(derived.sure_links(l), l.transfer_link)
 
 
 WORTH = """SELECT "on", CAST(sum(sum(change)) OVER (ORDER BY "on") AS BIGINT) AS worth_minor, CAST(sum(sum(new)) OVER (ORDER BY "on") AS BIGINT) AS accounts_known FROM
@@ -230,17 +238,25 @@ def nw_03_change(l: Ledger) -> DataFrame:  # noqa: E741
     return statements.worth_change(statements.net_worth(l.balance))
 
 
-@over_ledger(f"""SELECT account_id, 'continuity' AS kind, period_end AS until, prev_closing AS expected_minor, opening_minor AS actual_minor
+DRIFTS = f"""SELECT account_id, 'continuity' AS kind, period_end AS until, prev_closing AS expected_minor, opening_minor AS actual_minor
     FROM (SELECT *, lag(closing_minor) OVER w AS prev_closing FROM balance WINDOW w AS (PARTITION BY account_id ORDER BY period_end)) WHERE opening_minor <> prev_closing
     UNION ALL SELECT account_id, 'movement', period_end, closing_minor - prev_closing, coalesce((SELECT CAST(sum(moved_minor) AS BIGINT) FROM ({MOVEMENT}) m
         WHERE m.account_id = s.account_id AND m.day > s.prev_end AND m.day <= s.period_end), 0) AS actual
     FROM (SELECT *, lag(closing_minor) OVER w AS prev_closing, lag(period_end) OVER w AS prev_end FROM balance WINDOW w AS (PARTITION BY account_id ORDER BY period_end)) s
     WHERE prev_closing IS NOT NULL AND closing_minor - prev_closing <> coalesce((SELECT CAST(sum(moved_minor) AS BIGINT) FROM ({MOVEMENT}) m
-        WHERE m.account_id = s.account_id AND m.day > s.prev_end AND m.day <= s.period_end), 0)""")
+        WHERE m.account_id = s.account_id AND m.day > s.prev_end AND m.day <= s.period_end), 0)"""
+
+
+@over_ledger(DRIFTS)
 def rec_01_drifts(l: Ledger) -> DataFrame:  # noqa: E741
     return statements.drifts(l.balance, spending.daily_movement(l))
 
 
+@over_ledger(f"SELECT count(*) = 0 AS is_clean, count(*) FILTER (kind = 'continuity') AS n_continuity, count(*) FILTER (kind = 'movement') AS n_movement FROM ({DRIFTS})")
+def rec_05_clean(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.clean(statements.drifts(l.balance, spending.daily_movement(l)))
+
+
 @over_ledger("""SELECT b.document_id AS doc, b.account_id, CASE WHEN b.opening_minor + coalesce(r.total, 0) = b.closing_minor THEN 'imported' ELSE 'quarantined' END AS status,
     b.opening_minor + coalesce(r.total, 0) - b.closing_minor AS difference FROM balance b LEFT JOIN (SELECT b.document_id, CAST(sum(t.amount_minor) AS BIGINT) AS total FROM txn t
     JOIN balance b ON b.account_id = t.account_id AND t.posted_date BETWEEN b.period_start AND b.period_end GROUP BY 1) r USING (document_id)""")
@@ -249,10 +265,33 @@ def val_01_validate(l: Ledger) -> DataFrame:  # noqa: E741
     return checked.select("doc", "account_id", "status", "difference")
 
 
-@over_ledger()
+@over_ledger("""SELECT CAST(t.document_id AS BIGINT) AS doc, t.account_id, t.txn_id AS pos, t.amount_minor,
+    CASE WHEN abs(t.amount_minor) = abs(d) THEN 'row equals difference' ELSE 'row equals half of it' END AS hint FROM txn t JOIN
+    (SELECT b.document_id, arg_min(t.amount_minor, t.txn_id) * CASE WHEN b.account_id % 2 = 0 THEN 1 ELSE 2 END + CASE WHEN b.account_id % 17 = 0 AND b.document_id % 1000 = 2 THEN 100 ELSE 0 END AS d
+     FROM balance b JOIN txn t USING (document_id) GROUP BY b.document_id, b.account_id) USING (document_id)
+    WHERE d <> 0 AND (abs(t.amount_minor) = abs(d) OR abs(t.amount_minor) * 2 = abs(d))""")
 def val_09_hints(l: Ledger) -> DataFrame:  # noqa: E741
+    """Statements that fail: their closings are off by their first row, or by twice that."""
     declared, rows = derived.statement_tables(l)
-    return statements.difference_hints(statements.validate(declared, rows), rows)
+    first = rows.groupBy("doc").agg((F.min_by("amount_minor", "pos") * F.when(F.min("account_id") % 2 == 0, 1).otherwise(2)).alias("off"))
+    off = declared.join(first, "doc").withColumn("closing_minor", F.col("closing_minor") + F.col("off")).drop("off")
+    return statements.difference_hints(statements.validate(off, rows), rows)
+
+
+@over_ledger("""SELECT doc, account_id, CASE WHEN max(off) OVER w = 1 OR any_value(declared) OVER w <> sum(n) OVER w THEN 'quarantined' ELSE 'imported_unverified' END AS status, off = 1 AS has_wrong_total FROM
+    (SELECT b.account_id // 4 AS doc, b.account_id, count(*) AS n, CASE WHEN b.account_id % 9 = 0 THEN 1 ELSE 0 END AS off, 2 * ((sum(count(*)) OVER (PARTITION BY b.account_id // 4) + 1) // 2) AS declared
+     FROM txn b GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc)""")
+def val_07_whole_documents(l: Ledger) -> DataFrame:  # noqa: E741
+    """Documents of four accounts without balances: totals that are declared wrongly for some, and a count that is off where it is odd."""
+    declared, rows = derived.combined_statements(l)
+    checked = statements.validate(declared, rows)
+    return checked.select("doc", "account_id", "status", F.array_contains("failed", "declared_totals").alias("has_wrong_total"))
+
+
+@over_ledger(f"""SELECT month, "on", worth_minor, worth_minor - lag(worth_minor) OVER (ORDER BY month) AS change_minor FROM
+    (SELECT strftime("on", '%Y-%m') AS month, max("on") AS "on", arg_max(worth_minor, "on") AS worth_minor FROM ({WORTH}) GROUP BY 1) WHERE "on" >= DATE '2024-01-02'""")
+def nw_04_growth(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.growth(l.balance, dt.date(2024, 1, 2))
 
 
 KEYED = """keyed AS (SELECT *, row_number() OVER (PARTITION BY doc, account_key, posted_date, amount_minor, description_norm ORDER BY txn_id) - 1 AS seq FROM
@@ -293,9 +332,8 @@ def mny_01_parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed.select("o_orderkey", money.parse_amount(F.col("printed"), F.lit("SGD")).alias("a")).select("o_orderkey", "a.*")
 
 
-@query("""SELECT o_orderkey, CASE WHEN d = 1 THEN 100 WHEN d = 2 THEN 500 END AS x FROM (SELECT o_orderkey, 1 AS d FROM orders) WHERE false
-    UNION ALL SELECT o_orderkey, (SELECT g FROM (VALUES (100), (500), (1000), (2000), (5000), (10000), (30000), (50000), (100000), (1000000), (5000000)) t(g)
-    ORDER BY abs(g - abs(CAST(round(o_totalprice) AS BIGINT))), g DESC LIMIT 1) FROM orders""")
+@query("""SELECT o_orderkey, (SELECT g FROM (VALUES (100), (500), (1000), (2000), (5000), (10000), (30000), (50000), (100000), (1000000), (5000000)) t(g)
+    ORDER BY abs(g - abs(CAST(round(o_totalprice) AS BIGINT))), g DESC LIMIT 1) AS x FROM orders""")
 def mny_05_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select("o_orderkey", money.gate(F.round("o_totalprice").cast("long")).alias("x"))
@@ -377,10 +415,18 @@ def cat_11_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.consolidate(derived.model_votes(spark, sf_dir)).drop("dissent")
 
 
-@over_ledger()
-def cat_04_apply_rules(l: Ledger) -> DataFrame:  # noqa: E741
+SHOPS = ", ".join(f"('{p}', '{c}', {w})" for p, c, w in derived.SHOP_RULES)
+
+
+@query(f"""SELECT txn_id, category, 'human' AS source FROM enrichment WHERE source = 'human' UNION ALL SELECT txn_id, lo, 'rule' FROM
+    (SELECT txn_id, min(category) AS lo, max(category) AS hi FROM (SELECT txn_id, category, rank() OVER (PARTITION BY txn_id ORDER BY weight DESC, length(pattern) DESC) AS rk FROM txn
+     JOIN (VALUES {SHOPS}) r(pattern, category, weight) ON regexp_matches(counterparty_norm, '(?i)' || pattern)
+     WHERE amount_minor < 0 AND txn_id NOT IN (SELECT out_txn_id FROM transfer_link) AND txn_id NOT IN (SELECT in_txn_id FROM transfer_link WHERE in_txn_id IS NOT NULL)
+     AND txn_id NOT IN (SELECT txn_id FROM enrichment WHERE source = 'human')) WHERE rk = 1 GROUP BY 1) WHERE lo = hi""", CTES)
+def cat_04_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = ledger(spark, sf_dir)  # noqa: E741
     names = spending.targets(l).select("txn_id", F.col("counterparty_norm").alias("name"))
-    return categories.apply_rules(names, l.enrichment, derived.part_rules(l.txn.sparkSession))
+    return categories.apply_rules(names, l.enrichment, derived.rules_of(spark, derived.SHOP_RULES))
 
 
 @over_ledger("""SELECT category, CAST(sum(r) AS BIGINT) AS n_rules, CAST(sum(t) AS BIGINT) AS n_txns FROM (SELECT category, 0 AS r, count(*) AS t FROM enrichment GROUP BY 1
@@ -394,11 +440,14 @@ OCC = """occ AS (SELECT c_custkey * 100 + i AS txn_id, 'PAYEE ' || CAST(c_custke
     -CAST(1000 + c_custkey % 500 + CASE WHEN i >= 6 AND c_custkey % 4 = 0 THEN 900 ELSE 0 END AS BIGINT) AS amount_minor FROM customer, range(10) t(i))"""
 
 
-@query("""SELECT merchant, -amount_minor AS centre_minor, n_rows, label AS period_label, first_seen, last_seen FROM (SELECT *, CASE WHEN abs(s - n * 7) <= n THEN 'weekly' WHEN abs(s - n * 14) <= 2 * n THEN 'fortnightly'
+REGULAR = """SELECT merchant, -amount_minor AS centre_minor, n_rows, label AS period_label, first_seen, last_seen FROM (SELECT *, CASE WHEN abs(s - n * 7) <= n THEN 'weekly' WHEN abs(s - n * 14) <= 2 * n THEN 'fortnightly'
     WHEN abs(s - n * 30) <= 3 * n THEN 'monthly' WHEN abs(s - n * 91) <= 5 * n THEN 'quarterly' WHEN abs(s - n * 365) <= 7 * n THEN 'yearly' END AS label FROM
     (SELECT merchant, amount_minor, count(*) AS n_rows, count(gap) AS n, sum(gap) AS s, sum(gap * gap) AS q, min(gap) AS least, min(posted_date) AS first_seen, max(posted_date) AS last_seen FROM
     (SELECT *, date_diff('day', lag(posted_date) OVER (PARTITION BY merchant, amount_minor ORDER BY posted_date, txn_id), posted_date) AS gap FROM occ) GROUP BY 1, 2)
-    WHERE n_rows >= 3 AND least > 0 AND (n * q - s * s) * 10000 < s * s * 225) WHERE label IS NOT NULL""", OCC)
+    WHERE n_rows >= 3 AND least > 0 AND (n * q - s * s) * 10000 < s * s * 225) WHERE label IS NOT NULL"""
+
+
+@query(REGULAR, OCC)
 def rcr_04_regular_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrence.regular_groups(derived.occurrences(spark, sf_dir))
 
@@ -409,18 +458,43 @@ def rcr_01_find_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrence.find_series(derived.occurrences(spark, sf_dir))
 
 
-@query()
+STATUS = f"""SELECT merchant, centre_minor, period_label, overdue, lapsed, due, monthly_minor FROM (SELECT *, late > slack AND late <= 2 * days AS overdue, late > 2 * days AS lapsed,
+    late <= 0 AND late >= -7 AS due, CAST(round_even(centre_minor * CASE period_label WHEN 'weekly' THEN 52 / 12.0 WHEN 'fortnightly' THEN 26 / 12.0 WHEN 'monthly' THEN 1.0 WHEN 'quarterly' THEN 1 / 3.0 ELSE 1 / 12.0 END, 0) AS BIGINT) AS monthly_minor
+    FROM (SELECT r.*, days, slack, date_diff('day', last_seen + days, DATE '2021-01-01') AS late FROM ({REGULAR}) r
+    JOIN (VALUES ('weekly', 7, 1), ('fortnightly', 14, 2), ('monthly', 30, 3), ('quarterly', 91, 5), ('yearly', 365, 7)) p(period_label, days, slack) USING (period_label)))"""
+
+
+@query(STATUS, OCC)
 def rcr_09_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence.status(recurrence.find_series(derived.occurrences(spark, sf_dir)), dt.date(2021, 1, 1)).drop("txn_ids")
+    """Of the series that stand in windows alone."""
+    series = recurrence.with_expected(recurrence.regular_groups(derived.occurrences(spark, sf_dir)))
+    return recurrence.status(series, dt.date(2021, 1, 1)).select("merchant", "centre_minor", "period_label", "overdue", "lapsed", "due", "monthly_minor")
+
+
+@query(f"SELECT count(*) AS n_series, CAST(coalesce(sum(monthly_minor), 0) AS BIGINT) AS monthly_minor FROM ({STATUS}) WHERE NOT lapsed", OCC)
+def rcr_13_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = recurrence.with_expected(recurrence.regular_groups(derived.occurrences(spark, sf_dir)))
+    return recurrence.commitment(recurrence.status(series, dt.date(2021, 1, 1)))
 
 
 @query()
+def rcr_12_price_rises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential as rcr_01_find_series is."""
+    return recurrence.price_rises(recurrence.find_series(derived.occurrences(spark, sf_dir)))
+
+
+PLACED = """placed AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 1 AS page, l_linenumber, 100.0 + l_linenumber * 28 + l_partkey % 3 AS top, unnest([
+    {'x0': 53.0, 'text': strftime(l_shipdate, '%d/%m/%Y')}, {'x0': 146.0, 'text': l_returnflag}, {'x0': 170.0, 'text': l_linestatus}, {'x0': 475.0, 'text': format('{:,.2f}', l_extendedprice)}]) AS w FROM lineitem)"""
+
+
+@query("""SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc ORDER BY l_linenumber) - 1 AS INTEGER) AS line, top, text FROM (SELECT doc, page, l_linenumber, min(top) AS top,
+    string_agg(w.text, ' ' ORDER BY w.x0, w.text) AS text FROM placed GROUP BY 1, 2, 3)""", PLACED)
 def src_04_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words placed on pages, read as lines."""
     return geometry.lines(derived.placed_words(spark, sf_dir))
 
 
-@query()
+@query("""SELECT doc, page, top, CASE WHEN w.x0 < 140 THEN 'date' WHEN w.x0 < 360 THEN 'text' ELSE 'amount' END AS "column", string_agg(w.text, ' ' ORDER BY w.x0, w.text) AS text FROM placed GROUP BY 1, 2, 3, 4""", PLACED)
 def src_08_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of those lines by half-open bands."""
     return geometry.cells(derived.placed_words(spark, sf_dir), derived.BANDS)
@@ -430,3 +504,19 @@ def src_08_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT page_id, regexp_replace(lower(unnest(string_split(url, '/'))), '[0-9]+', '#', 'g') AS label FROM pages) WHERE label <> '' GROUP BY 1)""")
 def src_18_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.label_fingerprints(derived.page_labels(spark, sf_dir))
+
+
+@query("""SELECT doc, CAST(pos AS BIGINT) AS pos, page, description FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 1 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos,
+    CASE WHEN l_linenumber % 3 = 0 THEN 'lead ' || CAST(l_linenumber AS VARCHAR) || ' ' ELSE '' END || 'row ' || CAST(l_linenumber AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ' more ' || CAST(l_linenumber AS VARCHAR) ELSE '' END AS description
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))""")
+def src_09_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rows that lines above lead into and lines below go on with; lines too far off belong to none."""
+    return layout.rows_of(derived.printed_lines(spark, sf_dir), gap=9.0).select("doc", "pos", "page", "description")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc, 1 AS pos, '01/06 ORDER ' || CAST(o_orderkey AS VARCHAR) AS description, format('{:,.2f}', o_totalprice) AS printed,
+    CASE WHEN o_orderstatus = 'O' THEN -1 ELSE 1 END AS sign FROM orders""")
+def src_07_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders printed as statements of one row under a header whose columns are elsewhere on each, read by a layout."""
+    rows = layout.statement_rows(derived.printed_statements(spark, sf_dir), layout.DEPOSIT)
+    return layout.signed_amounts(rows, layout.DEPOSIT).select("doc", F.col("pos").cast("int").alias("pos"), "description", "printed", "sign")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,7 +19,7 @@ EPOCH = "2024-01-01"
 @dataclass(frozen=True)
 class Ledger:
     account: DataFrame  # account_id, institution, account_ref, currency, kind
-    txn: DataFrame  # txn_id, account_id, posted_date, amount_minor, currency, description_raw, counterparty_norm
+    txn: DataFrame  # txn_id, document_id, account_id, posted_date, amount_minor, currency, description_raw, counterparty_norm
     enrichment: DataFrame  # txn_id, category, source
     hidden: DataFrame  # txn_id
     transfer_link: DataFrame  # out_txn_id, in_txn_id (null: one-sided), origin
@@ -41,6 +41,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("amount_minor <> 0")
 
 
+def week_of(day: str) -> Column:
+    return F.floor(F.datediff(day, F.lit(EPOCH)) / 7).cast("int")
+
+
+def document() -> Column:
+    """The statement that a row was printed on: that of its account and week."""
+    return (F.col("account_id") * 1000 + week_of("posted_date")).alias("document_id")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     e = events(spark, sf_dir)
     card = F.col("account_id") % 3 == 0
@@ -53,7 +62,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     )
     name = F.concat(F.upper("event_type"), F.lit(" SHOP "), F.col("k").cast("string"))
     raw = F.concat(F.lit("Advice "), "event_type", F.lit(" shop "), F.col("k").cast("string"), F.lit(" ref "), (F.col("txn_id") + 100000).cast("string"))
-    txn = e.select("txn_id", "account_id", "posted_date", "amount_minor", "currency", raw.alias("description_raw"), name.alias("counterparty_norm"))
+    txn = e.select("txn_id", document(), "account_id", "posted_date", "amount_minor", "currency", raw.alias("description_raw"), name.alias("counterparty_norm"))
     category = F.when(F.col("k") < 20, "Grocery").when(F.col("k") < 40, "Dining").when(F.col("k") < 60, "Transport").otherwise("Travel")
     enrichment = e.where("k < 80").select("txn_id", category.alias("category"), F.when(F.col("k") % 2 == 0, "rule").otherwise("human").alias("source"))
     hidden = e.where("k = 13").select("txn_id")
@@ -67,8 +76,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
 
 def balances(txn: DataFrame) -> DataFrame:
     """Weekly statements of each account whose closings follow its movement, but for an error in some accounts."""
-    week = (F.datediff("posted_date", F.lit(EPOCH)) / 7).cast("int")
-    moved = txn.groupBy("account_id", week.alias("week")).agg(F.sum("amount_minor").alias("moved"))
+    moved = txn.groupBy("account_id", week_of("posted_date").alias("week")).agg(F.sum("amount_minor").alias("moved"))
     to_date = Window.partitionBy("account_id").orderBy("week")
     error = F.when((F.col("account_id") % 17 == 0) & (F.col("week") == 2), 100).otherwise(0)
     closing = F.sum("moved").over(to_date) + error
@@ -89,7 +97,7 @@ ev AS (SELECT * FROM (SELECT event_id AS txn_id, user_id AS account_id, CAST(ts
     'SGD' AS currency, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE amount_minor <> 0),
 account AS (SELECT DISTINCT account_id, 'BANK' || CAST(account_id % 5 AS VARCHAR) AS institution, lpad(CAST(account_id AS VARCHAR), 10, '0') AS account_ref,
     'SGD' AS currency, CASE WHEN account_id % 3 = 0 THEN 'card' ELSE 'deposit' END AS kind FROM ev),
-txn AS (SELECT txn_id, account_id, posted_date, amount_minor, currency,
+txn AS (SELECT txn_id, account_id * 1000 + CAST(floor(date_diff('day', DATE '{EPOCH}', posted_date) / 7.0) AS BIGINT) AS document_id, account_id, posted_date, amount_minor, currency,
     'Advice ' || event_type || ' shop ' || CAST(k AS VARCHAR) || ' ref ' || CAST(txn_id + 100000 AS VARCHAR) AS description_raw,
     upper(event_type) || ' SHOP ' || CAST(k AS VARCHAR) AS counterparty_norm FROM ev),
 enrichment AS (SELECT txn_id, CASE WHEN k < 20 THEN 'Grocery' WHEN k < 40 THEN 'Dining' WHEN k < 60 THEN 'Transport' ELSE 'Travel' END AS category,
