@@ -34,8 +34,9 @@ def byte_words(text: str | None) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set on the context, or in local
+    mode a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     master = spark.sparkContext.master
@@ -53,9 +54,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application puts its intermediate tables."""
+    return f"{shared_folder(spark)}/cairnledger/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables that operators of this application have written. Results that have not been read or written to
+    their end can't be after this; call it when they have."""
+    remove(spark, own_folder(spark))
+
+
 def as_table(df: DataFrame) -> DataFrame:
-    """The same rows written as Parquet in the shared folder and read back: columnar, with statistics for the planner."""
-    path = f"{shared_folder(df.sparkSession)}/cairnledger/{uuid.uuid4().hex}"
+    """The same rows written as Parquet in the shared folder and read back: columnar, with statistics for the planner. They stay until
+    clean() is called."""
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, bpe, chunks, html, merkle, minhash, mixing, outliers, secrets, token_cache
-from .common import shared_folder
+from .common import own_folder
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 #: Tokens beyond which a text does not fit a context window.
@@ -35,7 +35,7 @@ def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so each run counts every distinct text once."""
-    cache = f"{shared_folder(spark)}/cairnledger/token_counts/{uuid.uuid4().hex}"
+    cache = f"{own_folder(spark)}/token_counts-{uuid.uuid4().hex}"
     counted = token_cache.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECES), cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -425,6 +427,49 @@ def test_copies_inside_one_source_are_examples_and_long_values_count(spark):
     assert got[50] == (f"quoted:5:{5 + len(own)}", 1, 0) and got[51] == (f"url_login:79:{80 + len(own)}", 1, 0)
 
 
+def owned_spans(rows):
+    """(spans, n_live, n_example) of rows (id, text, source) by counting owners and repositories one after another."""
+    found = [(base := secrets.base_spans(t or ""), secrets.further_spans(t or "", base)) for _, t, _ in rows]
+    owners, repositories = collections.defaultdict(set), collections.defaultdict(set)
+    for n, ((i, _, source), (base, more)) in enumerate(zip(rows, found)):
+        for *_, v in [*base, *more]:
+            owners[v].add(source)
+            repositories[v].add(n if i is None else ("id", i))
+    example = lambda v: len(owners[v]) >= 4 or len(repositories[v]) >= 8
+    live = lambda v: not example(v) and secrets.entropy(v) >= 2.8
+    out = []
+    for base, more in found:
+        spans = sorted([(s, k, e) for s, k, e, _ in base] + [(s, k, e) for s, k, e, v in more if live(v)])
+        values = [v for *_, v in [*base, *more]]
+        out.append((",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans), sum(map(live, values)), sum(map(example, values))))
+    return out
+
+
+def test_added_spans_equal_brute_force(spark, odd, docs):
+    rng = random.Random(7)
+    value = lambda n: "ghp_" + "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=n))
+    pool = [value(20) for _ in range(12)] + [f'"{value(30)}"' for _ in range(4)] + ["https://u:" + value(9) + "@h/", "token=aaaaaaaaaaaaaaaaaaaa", "Bearer " + value(25)]
+    crowd = [(rng.choice([n, n, n % 9, None]), " and ".join(rng.choices(pool, k=rng.randint(0, 3))), rng.choice(["a", "b", "c", "d", "e", None])) for n in range(60)]
+    made = spark.createDataFrame(crowd, "doc_id long, text string, source string")
+    for df in (made, odd, docs):
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()]
+        got = secrets.find_secrets(df).withColumn("spans", secrets.span_names(F.col("spans"))).collect()
+        want = sorted(repr((i, *o)) for (i, _, _), o in zip(rows, owned_spans(rows)))
+        assert sorted(repr((r["doc_id"], r["spans"], r["n_live"], r["n_example"])) for r in got) == want
+    assert secrets.redacted(made.limit(0)).count() == 0
+
+
+def test_intermediate_tables_are_cleaned(spark):
+    from cairnledger.llm import common
+
+    assert common.as_table(spark.range(3)).count() == 3
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.own_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(folder)
+    common.clean(spark)
+    assert not files.exists(folder)
+
+
 def test_redaction(odd):
     clean = secrets.redacted(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count()
@@ -636,6 +681,16 @@ def test_pages(spark, pages):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    from compare import connection, rows
+
+    sf = "/root/testdata/sf0.001"
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), connection(sf).sql(queries.ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 def test_stage_names_and_queries(spark):
     import corpus_pipeline
 
