@@ -40,11 +40,11 @@ def operator_rule(name: str, category: str) -> tuple[str, str, int, str]:
 
 def matches(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(name, category, weight, pattern) of all rules that match distinct names. rules: pattern, category, weight, literal?."""
-    n = rules.count()
-    hint = F.broadcast if n <= MOST_RULES else lambda df: df
     exact = rules.where("literal IS NOT NULL").select(F.upper("literal").alias("key"), "category", "weight", "pattern")
-    by_literal = names.withColumn("key", F.upper("name")).join(hint(exact), "key").drop("key")
+    by_literal = names.withColumn("key", F.upper("name")).join(exact, "key").drop("key")
     general = rules.where("literal IS NULL").select("pattern", "category", "weight")
+    # Patterns are tried on every name, so they are dealt to tasks by name where there are too many of them to send.
+    hint = F.broadcast if general.count() <= MOST_RULES else lambda df: df
     by_pattern = names.join(hint(general), F.regexp_like("name", F.concat(F.lit("(?i)"), F.col("pattern"))))
     columns = ["name", "category", "weight", "pattern"]
     return by_literal.select(*columns).unionByName(by_pattern.select(*columns))
@@ -93,12 +93,6 @@ def gaps(rows: DataFrame, rules: DataFrame, top: int = 20) -> DataFrame:
     return counted.join(open_, "name").orderBy(F.col("n_rows").desc(), "name").limit(top)
 
 
-def upper_median(value: Column) -> Column:
-    """The middle value, or the larger of two."""
-    values = F.sort_array(F.collect_list(value))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
 def upper_median_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, median) with the larger of two middles, by row numbers, so that a frequent key is no array in memory."""
     order = Window.partitionBy(key).orderBy(value)
@@ -106,8 +100,9 @@ def upper_median_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.withColumn("at", F.row_number().over(order) - 1).join(n, key).where("at = middle").select(key, F.col(value).alias("median"))
 
 
-def propose(rows: DataFrame, rules: DataFrame, suggest: DataFrame, fold: bool = True) -> DataFrame:
-    """Names worth asking about: no person, no conduit, no settled name; with rows, typical gate, value, and a hint.
+def propose(rows: DataFrame, rules: DataFrame, suggest: DataFrame, fold: bool = True, by: str = "value_minor") -> DataFrame:
+    """Names worth asking about: no person, no conduit, no settled name; with rows, typical gate, value, and a hint; most first by value_minor or
+    n_rows. Of sample lines that are as frequent the first by text is shown.
 
     rows: name, amount_minor, description.
     """
@@ -123,7 +118,7 @@ def propose(rows: DataFrame, rules: DataFrame, suggest: DataFrame, fold: bool =
     told = F.coalesce(F.col("sample"), F.lit(""))
     shown = F.when(letters(told).startswith(letters(F.col("name"))), "").otherwise(told)
     kept = asked.join(settled, "name", "left_anti").join(hints, "name", "left").join(typical, "name").join(sample, "name", "left")
-    return kept.select("name", "n_rows", "typical_minor", "value_minor", "suggested", shown.alias("sample"))
+    return kept.select("name", "n_rows", "typical_minor", "value_minor", "suggested", shown.alias("sample")).orderBy(F.col(by).desc(), "name")
 
 
 def consolidate(votes: DataFrame, valid: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -154,3 +149,33 @@ def apply_rules(targets: DataFrame, stored: DataFrame, rules: DataFrame) -> Data
     decided = categorise(names, rules).where("decided").select("name", "category")
     made = open_.join(decided, "name").select("txn_id", "category", F.lit("rule").alias("source"))
     return human.unionByName(made)
+
+
+def named_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rules (rule_id, pattern, category_id, weight, literal, note) with the present names of their categories (category_id, name), so that a
+    renamed category keeps its rules; heaviest first, then by id."""
+    names = categories.select("category_id", F.col("name").alias("category"))
+    return rules.join(names, "category_id").select("rule_id", "pattern", "category", "weight", "literal", "note").orderBy(F.col("weight").desc(), "rule_id")
+
+
+def without_decision(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """rules but those by which a person settled the given names."""
+    own = names.select(F.upper("name").alias("key")).distinct().withColumn("note", F.lit("operator"))
+    return rules.withColumn("key", F.upper("literal")).join(own, ["key", "note"], "left_anti").select(rules.columns)
+
+
+def decide(rules: DataFrame, decided: DataFrame) -> DataFrame:
+    """rules with those of a person's decisions (name, category_id) in place of earlier ones on the same names. Ids go on from the highest."""
+    escaped = F.concat(F.lit("^"), F.regexp_replace("name", r"([^A-Za-z0-9_])", r"\\$1"), F.lit("$"))
+    highest = rules.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("m")).first()["m"]
+    order = Window.partitionBy(F.lit(1)).orderBy("name")  # a batch is what a person decided at once
+    made = decided.select(
+        (F.row_number().over(order) + highest).cast("long").alias("rule_id"), escaped.alias("pattern"), "category_id", F.lit(OPERATOR_WEIGHT).alias("weight"),
+        F.col("name").alias("literal"), F.lit("operator").alias("note"),
+    )
+    return without_decision(rules, decided).unionByName(made.select(rules.columns))
+
+
+def seed(defaults: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The defaults that the store lacks: what seeding appends. Seeding twice appends nothing."""
+    return defaults.join(stored.select(key), key, "left_anti").select(defaults.columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .identity import latest
+from .identity import carried_over, latest
 from .spending import link_legs, paid_back
 from ..sources.driver_tables import Ledger
 
@@ -113,7 +113,15 @@ def without_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str
 
 def reapplied(decisions: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(restored, dropped) decisions after a document was read anew, by dedupe key."""
-    from .identity import carried_over
-
     moved = carried_over(decisions, old, new)
     return moved.where("txn_id IS NOT NULL"), moved.where("txn_id IS NULL")
+
+
+def marked_series(marks: DataFrame, at) -> DataFrame:
+    """Entries (merchant, centre_minor, period_label) of series that a person declares."""
+    return marks.select("merchant", "centre_minor", "period_label", F.lit(at).cast("timestamp").alias("at"), F.lit(False).alias("deleted"))
+
+
+def dismissed_series(series: DataFrame, at, restore: bool = False) -> DataFrame:
+    """Entries (merchant, centre_minor) of series that a person dismisses, or takes back."""
+    return series.select("merchant", "centre_minor", F.lit(at).cast("timestamp").alias("at"), F.lit(restore).alias("deleted"))

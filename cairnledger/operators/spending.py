@@ -209,8 +209,15 @@ def payback_pairs(ledger: Ledger) -> DataFrame:
     return ledger.payback.join(leg("expense"), "expense_txn_id").join(leg("income"), "income_txn_id").select("expense_txn_id", "expense_minor", "income_txn_id", "income_minor")
 
 
-def payback_candidates(ledger: Ledger, days: int) -> DataFrame:
-    """For each charge that has been paid back: other inflows on its account within so many days, nearest first.
+def distinct_counts(ledger: Ledger) -> DataFrame:
+    """How many merchants and accounts the spending has."""
+    rows = spending_base(ledger, "out")
+    return rows.agg(F.count_distinct("counterparty_norm").alias("n_merchants"), F.count_distinct("account_id").alias("n_accounts"))
+
+
+def payback_candidates(ledger: Ledger, days: int, text: str | None = None, limit: int | None = None) -> DataFrame:
+    """For each charge that has been paid back: other inflows on its account within so many days, nearest first; those whose name or line has a
+    text, and so many for each charge, if given.
 
     The window is a range join on the account; days are bucketed so that both sides meet by an equality.
     """
@@ -219,6 +226,9 @@ def payback_candidates(ledger: Ledger, days: int) -> DataFrame:
     )
     slot = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (days + 1))
     near = charges.withColumn("slot", F.explode(F.array(slot("charged") - 1, slot("charged"), slot("charged") + 1)))
-    income = spending_base(ledger, "in").select("txn_id", "account_id", "posted_date", "amount_minor").withColumn("slot", slot("posted_date"))
+    income = filtered(spending_base(ledger, "in"), text=text).select("txn_id", "account_id", "posted_date", "amount_minor").withColumn("slot", slot("posted_date"))
     apart = F.abs(F.datediff("posted_date", "charged"))
-    return near.join(income, ["account_id", "slot"]).withColumn("days_apart", apart).where(F.col("days_apart") <= days).select("charge_id", "txn_id", "amount_minor", "days_apart")
+    found = near.join(income, ["account_id", "slot"]).withColumn("days_apart", apart).where(F.col("days_apart") <= days)
+    if limit is not None:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("charge_id").orderBy("days_apart", "txn_id"))).where(F.col("n") <= limit)
+    return found.select("charge_id", "txn_id", "amount_minor", "days_apart").orderBy("charge_id", "days_apart", "txn_id")

@@ -520,3 +520,38 @@ def src_07_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders printed as statements of one row under a header whose columns are elsewhere on each, read by a layout."""
     rows = layout.statement_rows(derived.printed_statements(spark, sf_dir), layout.DEPOSIT)
     return layout.signed_amounts(rows, layout.DEPOSIT).select("doc", F.col("pos").cast("int").alias("pos"), "description", "printed", "sign")
+
+
+@over_ledger(f"SELECT count(DISTINCT counterparty_norm) AS n_merchants, count(DISTINCT account_id) AS n_accounts FROM base WHERE {OUT}")
+def agg_18_distinct_counts(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.distinct_counts(l)
+
+
+@over_ledger(f"""SELECT charge_id, txn_id, amount_minor, days_apart FROM (SELECT *, row_number() OVER (PARTITION BY charge_id ORDER BY days_apart, txn_id) AS n FROM
+    (SELECT charge_id, txn_id, amount_minor, abs(date_diff('day', charged, posted_date)) AS days_apart
+    FROM (SELECT DISTINCT expense_txn_id AS charge_id, account_id AS acc, posted_date AS charged FROM payback JOIN txn ON txn_id = expense_txn_id)
+    JOIN (SELECT * FROM base WHERE {IN} AND (contains(upper(counterparty_norm), 'SIGNUP') OR contains(upper(description_raw), 'SIGNUP'))) ON account_id = acc AND abs(date_diff('day', charged, posted_date)) <= 20)) WHERE n <= 2""")
+def pbk_02_search(l: Ledger) -> DataFrame:  # noqa: E741
+    """The two nearest inflows of a name for each charge."""
+    return spending.payback_candidates(l, 20, text="signup", limit=2).withColumn("days_apart", F.col("days_apart").cast("long"))
+
+
+@query("""SELECT o_custkey AS account_id, 'XXXX-XXXX-XXXX-' || right(lpad(CAST(o_orderkey AS VARCHAR), 16, '4'), 4) AS number, min(CAST(o_orderdate AS DATE)) AS first_seen, max(CAST(o_orderdate AS DATE)) AS last_seen
+    FROM orders GROUP BY 1, 2""")
+def win_12_card_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards that customers' orders name, and since and until when; odd orders were stored before."""
+    lines = derived.printed_cards(spark, sf_dir).join(derived.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("seen")), "o_orderkey")
+    rows = lines.select(F.col("o_custkey").alias("account_id"), F.explode(text.card_numbers(F.col("line"))).alias("number"), "seen", "o_orderkey")
+    return identity.card_sightings(rows.where("o_orderkey % 2 = 0"), identity.card_sightings(rows.where("o_orderkey % 2 = 1")))
+
+
+@query("""SELECT p_partkey AS rule_id, '^' || p_name AS pattern, 'Renamed ' || split_part(p_type, ' ', 1) AS category, p_size AS weight FROM part""")
+def jn_03_rules_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rules whose categories, kinds of part, have been renamed since."""
+    part = derived.read(spark, sf_dir, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    kinds = part.select("kind").distinct().select(F.xxhash64("kind").alias("category_id"), F.concat(F.lit("Renamed "), "kind").alias("name"))
+    rules = part.select(
+        F.col("p_partkey").alias("rule_id"), F.concat(F.lit("^"), "p_name").alias("pattern"), F.xxhash64("kind").alias("category_id"), F.col("p_size").alias("weight"),
+        F.lit(None).cast("string").alias("literal"), F.lit("seed").alias("note"),
+    )
+    return categories.named_rules(rules, kinds).select("rule_id", "pattern", "category", "weight")

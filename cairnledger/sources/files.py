@@ -64,3 +64,8 @@ def model_votes(spark: SparkSession, folder: str) -> DataFrame:
     stem = F.regexp_replace("file", r"\.json$", "")
     answers = lines.select(F.regexp_replace(stem, r"-\d+$", "").alias("model"), "file", F.explode(F.from_json("value", "map<string,string>")).alias("name", "category"))
     return answers.groupBy("model", "name").agg(F.max_by("category", "file").alias("category"))
+
+
+def listing(found: DataFrame, limit: int = 500) -> DataFrame:
+    """The first documents by path, and in n_all how many there are in all."""
+    return found.select("path", "sha256", "format", "length").orderBy("path").limit(limit).withColumn("n_all", F.lit(found.count()))

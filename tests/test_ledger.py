@@ -420,3 +420,73 @@ def test_stream_inserts_once(spark, tmp_path):
     for n in (1, 2):
         intake.stream_rows(spark, inbox, rows.schema, table, str(tmp_path / f"state{n}"), lambda b: b).awaitTermination()
     assert spark.read.parquet(table).count() == rows.count()
+
+
+def test_decisions_by_category_id(spark):
+    schema = "rule_id long, pattern string, category_id long, weight int, literal string, note string"
+    rules = spark.createDataFrame([(1, "KIOSK", 1, 0, None, "seed"), (2, "^A B$", 1, 100, "A B", "operator")], schema)
+    after = categories.decide(rules, spark.createDataFrame([("A B", 2), ("C.D", 1)], "name string, category_id long"))
+    names = spark.createDataFrame([(1, "Eating"), (2, "Moving")], "category_id long, name string")
+    listed = [tuple(r)[:4] for r in categories.named_rules(after, names).collect()]
+    assert listed == [(3, "^A\\ B$", "Moving", 100), (4, "^C\\.D$", "Eating", 100), (1, "KIOSK", "Eating", 0)]
+    assert categories.without_decision(after, spark.createDataFrame([("a b",)], "name string")).count() == 2
+    assert categories.seed(names, names.where("category_id = 1"), "category_id").collect()[0]["name"] == "Moving"
+    judged = categories.categorise(spark.createDataFrame([("A B",), ("C.D",), ("CXD",)], "name string"), categories.named_rules(after, names))
+    assert {r["name"]: r["category"] for r in judged.collect()} == {"A B": "Moving", "C.D": "Eating", "CXD": "Others"}
+
+
+def test_first_appearances_accounts_and_cards(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 3), ("b", 1), ("a", 4)], "k string, n int")
+    assert [tuple(r) for r in identity.first_of_each(rows, ["k"], "n").collect()] == [("b", 1), ("a", 3)]
+    stored = spark.createDataFrame([("x", "BANK", "card")], "account_key string, institution string, kind string")
+    more = spark.createDataFrame([("x", "OTHER", "card"), ("y", "BANK", "deposit"), ("y", "BANK", "deposit")], stored.schema)
+    assert [tuple(r) for r in identity.new_accounts(more, stored).collect()] == [("y", "BANK", "deposit")]
+    l = tiny(spark, [(1, 1, day(0), -5), (2, 2, day(1), 5)])  # noqa: E741
+    cards = spark.createDataFrame([(2, "4000000000001234")], "account_id long, number string")
+    assert {r["account_id"]: r["card_numbers"] for r in transfers.legs_of(l, cards).collect()} == {1: [], 2: ["4000000000001234"]}
+
+
+def test_reports_and_series_logs(spark):
+    checked = spark.createDataFrame([("d", 77771234, "quarantined", ["balance", "order"], -10), ("d", 5, "quarantined", [], 0)], "doc string, account_id long, status string, failed array<string>, difference long")
+    rows = spark.createDataFrame([("d", 77771234, 3, 10), ("d", 77771234, 4, 5)], "doc string, account_id long, pos long, amount_minor long")
+    assert [tuple(r) for r in statements.failure_report(checked, rows).collect()] == [("d", "account 1234: balance, order by -10 (row 3: row equals difference; row 4: row equals half of it)")]
+    series = spark.createDataFrame([("ACME", 500)], "merchant string, centre_minor long")
+    log = judgements.dismissed_series(series, "2026-01-01").unionByName(judgements.dismissed_series(series, "2026-01-02", restore=True))
+    keys = ["merchant", "centre_minor"]
+    assert judgements.current(log, keys).count() == 0 and judgements.current(log.where("NOT deleted"), keys).count() == 1
+    marks = judgements.marked_series(spark.createDataFrame([("ACME", 500, "monthly")], "merchant string, centre_minor long, period_label string"), "2026-01-01")
+    seen = occurrences(spark, [(day(0), -500, "ACME", ""), (day(31), -520, "ACME", ""), (day(40), -900, "ACME", "")])
+    got = recurrence.declared_series(seen, judgements.current(marks, keys)).first()
+    assert (got["n_rows"], got["total_minor"], got["expected_next"]) == (2, 1020, day(61))
+    assert recurrence.without_dismissed(series, judgements.current(log.where("NOT deleted"), keys)).count() == 0
+    found = recurrence.find_series(occurrences(spark, [(day(30 * i), -500, "ACME", "") for i in range(4)]))
+    marked = found.limit(1).withColumn("txn_ids", F.array(F.lit(0).cast("long")))
+    assert recurrence.with_marks(found, marked).count() == 1
+
+
+def test_judgement_entries(spark):
+    l = tiny(spark, [(1, 1, day(0), -300), (2, 1, day(1), 200)], paybacks=[(1, 2)])  # noqa: E741
+    ids = spark.createDataFrame([(1,)], "txn_id long")
+    log = judgements.hide(ids, "2026-01-01").unionByName(judgements.unhide(ids, "2026-01-02"))
+    assert judgements.current(log, ["txn_id"]).count() == 0
+    assert [tuple(r)[:2] for r in judgements.unlink_paybacks(l, 1, "2026-01-01").collect()] == [(1, 2)]
+    assert judgements.unlink_paybacks(l, 1, "2026-01-01", income_txn_id=9).count() == 0
+    marks = spark.createDataFrame([(1, None)], "out_txn_id long, in_txn_id long")
+    assert judgements.mark_transfers(l, marks, "2026-01-01").first()["origin"] == "manual"
+    with pytest.raises(judgements.Refused):
+        judgements.mark_transfers(l, spark.createDataFrame([(1, 1)], marks.schema), "2026-01-01")
+    chosen = judgements.set_categories(spark.createDataFrame([(1, "Dining"), (2, None)], "txn_id long, category string"), "2026-01-01")
+    assert {r["txn_id"]: r["deleted"] for r in chosen.collect()} == {1: False, 2: True}
+    kept = judgements.save_settings(spark.createDataFrame([("max_days", "4"), ("card_days", "9")], "key string, value string"), spark.createDataFrame([("max_days", "4")], "key string, value string"), "2026-01-01")
+    assert {r["key"]: r["deleted"] for r in kept.collect()} == {"max_days": True, "card_days": False}
+
+
+def test_letters_and_lists_of_files(spark, tmp_path):
+    bad = spark.createDataFrame([("f1", "parse_failed", ("x",)), ("f2", "parse_failed", ("y",))], "sha256 string, reason string, detail struct<a:string>")
+    letters = files.dead_letters(bad)
+    assert [tuple(r) for r in files.queue_depth(letters, letters.where("sha256 = 'f1'")).collect()] == [("parse_failed", 1)]
+    for name, told in (("ada-1.json", '{"X": "Dining"}'), ("ada-2.json", '{"X": "Travel"}'), ("bo.json", '{"X": "Dining"}')):
+        (tmp_path / name).write_text(told)
+    assert {(r["model"], r["category"]) for r in files.model_votes(spark, str(tmp_path)).collect()} == {("ada", "Travel"), ("bo", "Dining")}
+    found = spark.createDataFrame([(f"p{i}", "s", "pdf", i) for i in range(5)], "path string, sha256 string, format string, length long")
+    assert [(r["path"], r["n_all"]) for r in files.listing(found, 2).collect()] == [("p0", 5), ("p1", 5)]
