@@ -6,8 +6,9 @@ and adds the pairs that it creates to the lists of their ranks. Positions that h
 their list is read. Words (white space and what follows it) are stored once per slice, as their ids do not
 depend on their neighbours.
 
-Defined results: a null text is an empty text; an empty text has no ids; repeated rows are encoded alike; other
-columns of the input are kept and may have any names but those of the output columns.
+Defined results: a null text is an empty text; an empty text has no ids; repeated rows are encoded alike; a text longer than a
+slice is a slice of its own and stays whole; an empty table gives none; other columns of the input are kept and may have any names but
+those of the output columns. A vocabulary file with settings that this encoder doesn't follow is refused.
 """
 
 from __future__ import annotations
@@ -43,6 +44,17 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_other_settings(spec: dict) -> None:
+    """Raises ValueError if a tokenizer file asks for anything but plain byte-level BPE."""
+    model, split, decoder = spec["model"], spec["pre_tokenizer"] or {}, spec["decoder"] or {}
+    plain = model.get("type", "BPE") == "BPE" and split.get("type") == decoder.get("type") == "ByteLevel"
+    unused = [spec.get("normalizer"), split.get("add_prefix_space"), not split.get("use_regex", True)]
+    unused += [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    unused += [t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")]
+    if not plain or any(unused):
+        raise ValueError("the tokenizer file has settings that this encoder does not follow")
+
+
 def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs named by `which`, one after another, of `flat`, which holds runs of these lengths in a row."""
     starts, chosen = np.cumsum(lengths) - lengths, lengths[which]
@@ -56,6 +68,7 @@ class PairIndexBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_settings(spec)
         model, chars = spec["model"], printable_bytes()
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

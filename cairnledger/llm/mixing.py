@@ -8,7 +8,8 @@ threshold, so the documents of a lower budget are always among those of a higher
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; documents of size 0 are
 taken as often as their hash says and add nothing; rows that agree in id, source and text share a hash and are taken
-together; with no documents or no words, all targets are 0. The hash depends on the row alone, so reruns agree.
+together; with no documents or no words, all targets are 0; texts of any length count whole; other columns of the input are not touched.
+The hash depends on the row alone, so reruns agree.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ many owners or many repositories hold is an example that was copied; one that fe
 Base spans are always reported; the method adds the further spans whose value is live.
 
 Defined results: a null or empty text has no spans; offsets count code points, the end is exclusive; a null owner
-is an owner of its own; rows with equal ids are scanned one by one; other columns of the input are not touched.
+is an owner of its own; rows with equal ids are scanned one by one, and are one repository; a very long text is scanned whole; equal
+values count once for each repository and owner; an empty table gives none; other columns of the input are not touched.
 """
 
 from __future__ import annotations

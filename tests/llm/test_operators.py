@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import math
 import os
 import random
@@ -491,6 +492,19 @@ def test_bpe(request, name):
     assert sorted(repr((r["doc_id"], r["ids"], r["decoded"])) for r in got) == sorted(want)
 
 
+def test_files_with_other_settings_are_refused(tmp_path):
+    for path, value in ((("normalizer",), {"type": "NFC"}), (("pre_tokenizer", "add_prefix_space"), True), (("model", "ignore_merges"), True), (("added_tokens", 0, "lstrip"), True), (("model", "dropout"), 0.1)):
+        with open(BYTES, encoding="utf-8") as f:
+            spec = json.load(f)
+        at = spec
+        for key in path[:-1]:
+            at = at[key]
+        at[path[-1]] = value
+        (tmp_path / "other.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError):
+            bpe.Encoder(str(tmp_path / "other.json"))
+
+
 def test_bpe_of_odd_strings():
     tok, enc, rng = Tokenizer.from_file(BYTES), bpe.Encoder(BYTES), random.Random(1)
     parts = [*"aaab   \n\t'srel123é漢\x1c\x85🙂.,!", "<|endoftext|>", "'ll", "'s", "  ", "aaaaaa"]
