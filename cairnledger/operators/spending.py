@@ -177,6 +177,13 @@ def hidden_total(ledger: Ledger) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("total_minor"))
 
 
+def marked_total(ledger: Ledger) -> DataFrame:
+    """Rows and total of the outflows that a person marked as transfers."""
+    marked = ledger.transfer_link.where("origin = 'manual'").select(F.col("out_txn_id").alias("txn_id")).distinct()
+    rows = ledger.txn.join(marked, "txn_id", "left_semi")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("total_minor"))
+
+
 def payback_total(ledger: Ledger) -> DataFrame:
     return paid_back(ledger).agg(F.count(F.lit(1)).alias("n_charges"), F.sum("paid").alias("total_minor"))
 

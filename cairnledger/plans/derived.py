@@ -65,6 +65,22 @@ def statement_tables(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
     )
 
 
+def account_statements(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    """A document for each account with rows in two sections: every third has no balances, every eleventh is one unit off, odd ones have their
+    rows in a scattered order; the period ends on the 25th of January, with three days of grace."""
+    null = lambda t: F.lit(None).cast(t)
+    pos = F.when(F.col("account_id") % 2 == 0, F.col("txn_id")).otherwise((F.col("txn_id") * 7919) % 10007 * 100_000_000 + F.col("txn_id"))
+    rows = l.txn.select(
+        F.col("account_id").alias("doc"), "account_id", pos.alias("pos"), "posted_date", null("date").alias("value_date"), "amount_minor", null("int").alias("column_sign"), (F.col("txn_id") % 2).cast("string").alias("section")
+    )
+    stated, off = F.col("account_id") % 3 != 0, F.when(F.col("account_id") % 11 == 0, 1).otherwise(0)
+    declared = rows.groupBy("doc", "account_id").agg(F.sum("amount_minor").alias("total")).select(
+        "doc", "account_id", F.when(stated, F.lit(0).cast("long")).alias("opening_minor"), F.when(stated, F.col("total") + off).alias("closing_minor"), null("long").alias("declared_out"), null("long").alias("declared_in"),
+        null("long").alias("declared_count"), F.lit("2024-01-01").cast("date").alias("period_start"), F.lit("2024-01-25").cast("date").alias("period_end"), F.lit(3).alias("grace_days"),
+    )
+    return declared, rows
+
+
 def combined_statements(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
     """Documents of four accounts over all of the ledger's time, without balances. Every ninth account's declared total is one unit off, and
     the declared count is even."""

@@ -555,3 +555,40 @@ def jn_03_rules_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("literal"), F.lit("seed").alias("note"),
     )
     return categories.named_rules(rules, kinds).select("rule_id", "pattern", "category", "weight")
+
+
+@query("""SELECT account_id AS doc, account_id, CASE WHEN failed <> '' THEN 'quarantined' WHEN account_id % 3 = 0 THEN 'imported_unverified' ELSE 'imported' END AS status, failed FROM
+    (SELECT a.account_id, concat_ws(',', CASE WHEN a.account_id % 3 <> 0 AND a.account_id % 11 = 0 THEN 'balance' END, CASE WHEN last > DATE '2024-01-28' THEN 'dates' END,
+        CASE WHEN NOT in_order THEN 'order' END, CASE WHEN big > 20000 THEN 'ceiling' END) AS failed FROM
+        (SELECT account_id, max(abs(amount_minor)) AS big, max(posted_date) AS last FROM txn GROUP BY 1) a JOIN
+        (SELECT account_id, bool_and(ok) AS in_order FROM (SELECT account_id, section, coalesce(NOT (max(step) > 0 AND min(step) < 0), true) AS ok FROM
+            (SELECT account_id, section, sign(date_diff('day', lag(posted_date) OVER (PARTITION BY account_id, section ORDER BY pos), posted_date)) AS step FROM
+                (SELECT *, txn_id % 2 AS section, CASE WHEN account_id % 2 = 0 THEN txn_id ELSE (txn_id * 7919) % 10007 * 100000000 + txn_id END AS pos FROM txn)) GROUP BY 1, 2) GROUP BY 1) o USING (account_id))""", CTES)
+def val_02_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each account: some without balances, some off by one, some with rows out of order, late or too large."""
+    declared, rows = derived.account_statements(ledger(spark, sf_dir))
+    checked = statements.validate(declared, rows, ceiling=20_000)
+    return checked.select("doc", "account_id", "status", F.array_join("failed", ",").alias("failed"))
+
+
+@over_ledger("SELECT b.document_id, b.account_id, institution, right(account_ref, 4) AS ref_tail, kind, period_end, closing_minor FROM balance b JOIN account USING (account_id)")
+def jn_08_balances(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.balance_listing(l.balance, l.account)
+
+
+@query("SELECT dedupe_key, CASE WHEN txn_id % 3 <> 0 THEN 'only_here' ELSE 'only_there' END AS side FROM hashed WHERE (txn_id % 3 <> 0) <> (txn_id % 5 <> 0)", CTES, KEYED)
+def set_03_content_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of one ledger, each of which lacks some rows."""
+    rows = derived.keyed_rows(ledger(spark, sf_dir))
+    return identity.content_compare(rows.where("txn_id % 3 <> 0"), rows.where("txn_id % 5 <> 0"))
+
+
+@over_ledger("SELECT account_id, institution || ' ' || account_ref || CASE WHEN kind = 'card' THEN '/card' ELSE '' END AS label FROM account")
+def str_15_labels(l: Ledger) -> DataFrame:  # noqa: E741
+    label = F.when(F.col("kind") == "card", "card").otherwise("")
+    return l.account.select("account_id", text.account_label(F.col("institution"), F.col("account_ref"), label).alias("label"))
+
+
+@over_ledger("SELECT count(*) AS n_rows, CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS total_minor FROM txn WHERE txn_id IN (SELECT out_txn_id FROM transfer_link WHERE origin = 'manual')")
+def agg_12_marked_total(l: Ledger) -> DataFrame:  # noqa: E741
+    return spending.marked_total(l)
