@@ -490,3 +490,46 @@ def test_letters_and_lists_of_files(spark, tmp_path):
     assert {(r["model"], r["category"]) for r in files.model_votes(spark, str(tmp_path)).collect()} == {("ada", "Travel"), ("bo", "Dining")}
     found = spark.createDataFrame([(f"p{i}", "s", "pdf", i) for i in range(5)], "path string, sha256 string, format string, length long")
     assert [(r["path"], r["n_all"]) for r in files.listing(found, 2).collect()] == [("p0", 5), ("p1", 5)]
+
+
+def test_documents_and_windows_of_streams(spark, tmp_path):
+    inbox, table = tmp_path / "inbox", str(tmp_path / "documents")
+    inbox.mkdir()
+    for name, data in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2"), ("c.pdf", b"%PDF-1")):
+        (inbox / name).write_bytes(data)
+    for _ in range(2):
+        intake.stream_documents(spark, str(inbox), table, str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(table).count() == 2
+    at = lambda m: dt.datetime(2026, 6, 1, 10, m)
+    events = spark.createDataFrame([(at(1), "x", 1.0), (at(59), "x", 2.0), (at(30), "y", 4.0)], "ts timestamp, event_type string, value double")
+    assert sorted((r["event_type"], r["n"], r["total"]) for r in intake.windowed_totals(events).collect()) == [("x", 2, 3.0), ("y", 1, 4.0)]
+
+
+def test_widths_and_currencies(spark):
+    assert [spending.bucket_width(day(0), day(n)) for n in (0, 13, 14, 363, 364)] == ["day", "day", "week", "week", "month"] and spending.bucket_width(None, day(1)) == "month"
+    l = tiny(spark, [(1, 1, day(0), -5), (2, 1, day(1), 5)])  # noqa: E741
+    assert spending.single_currency(l) == "SGD"
+    mixed = l.txn.withColumn("currency", F.when(F.col("txn_id") == 1, "USD").otherwise("SGD"))
+    with pytest.raises(ValueError):
+        spending.single_currency(dataclasses.replace(l, txn=mixed))
+
+
+def test_consensus_and_money_columns(spark):
+    verdicts = spark.createDataFrame([("A.B", "Dining", False), ("C", "Others", False), ("D", "Travel", True)], "name string, category string, needs_review boolean")
+    rules = categories.consensus_rules(verdicts)
+    assert [tuple(r) for r in rules.collect()] == [("^A\\.B$", "Dining", 0, "A.B")]
+    words = spark.createDataFrame([(352.0,), (420.0,), (600.0,)], "x1 double")
+    assert [r["column"] for r in geometry.money_cell(words, [("out", 350.0), ("in", 425.0)]).orderBy("x1").collect()] == ["out", "in", None]
+
+
+def test_rows_of_removed_and_reread_documents(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "txn": frame([(1, 8), (2, 9)], "txn_id long, document_id long"), "balance": frame([(8,), (9,)], "document_id long"), "hidden": frame([(1,), (2,)], "txn_id long"),
+        "transfer_link": frame([(1, 2), (2, None)], "out_txn_id long, in_txn_id long"), "payback": frame([(1, 2)], "expense_txn_id long, income_txn_id long"), "rule": frame([("x",)], "pattern string"),
+    }
+    left = judgements.without_documents(tables, frame([(8,)], "document_id long"))
+    assert {n: df.count() for n, df in left.items()} == {"txn": 1, "balance": 1, "hidden": 1, "transfer_link": 1, "payback": 0, "rule": 1}
+    keyed = "txn_id long, dedupe_key string"
+    restored, dropped = judgements.reapplied(frame([(1, "Dining"), (2, "Travel")], "old_id long, category string"), frame([(1, "k1"), (2, "k2")], keyed), frame([(7, "k1")], keyed))
+    assert [(r["txn_id"], r["category"]) for r in restored.collect()] == [(7, "Dining")] and [r["category"] for r in dropped.collect()] == ["Travel"]
