@@ -278,9 +278,12 @@ def val_09_hints(l: Ledger) -> DataFrame:  # noqa: E741
     return statements.difference_hints(statements.validate(off, rows), rows)
 
 
-@over_ledger("""SELECT doc, account_id, CASE WHEN max(off) OVER w = 1 OR any_value(declared) OVER w <> sum(n) OVER w THEN 'quarantined' ELSE 'imported_unverified' END AS status, off = 1 AS has_wrong_total FROM
+WHOLE = """SELECT doc, account_id, CASE WHEN max(off) OVER w = 1 OR any_value(declared) OVER w <> sum(n) OVER w THEN 'quarantined' ELSE 'imported_unverified' END AS status, off = 1 AS has_wrong_total FROM
     (SELECT b.account_id // 4 AS doc, b.account_id, count(*) AS n, CASE WHEN b.account_id % 9 = 0 THEN 1 ELSE 0 END AS off, 2 * ((sum(count(*)) OVER (PARTITION BY b.account_id // 4) + 1) // 2) AS declared
-     FROM txn b GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc)""")
+     FROM txn b GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc)"""
+
+
+@over_ledger(WHOLE)
 def val_07_whole_documents(l: Ledger) -> DataFrame:  # noqa: E741
     """Documents of four accounts without balances: totals that are declared wrongly for some, and a count that is off where it is odd."""
     declared, rows = derived.combined_statements(l)
@@ -592,3 +595,9 @@ def str_15_labels(l: Ledger) -> DataFrame:  # noqa: E741
 @over_ledger("SELECT count(*) AS n_rows, CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS total_minor FROM txn WHERE txn_id IN (SELECT out_txn_id FROM transfer_link WHERE origin = 'manual')")
 def agg_12_marked_total(l: Ledger) -> DataFrame:  # noqa: E741
     return spending.marked_total(l)
+
+
+@over_ledger(f"""SELECT institution, count(*) AS n_documents, count(*) FILTER (status = 'quarantined') AS n_quarantined FROM
+    (SELECT DISTINCT institution, doc, status FROM ({WHOLE}) JOIN account USING (account_id)) GROUP BY 1""")
+def agg_09_documents(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.status_counts(statements.validate(*derived.combined_statements(l)), l.account)

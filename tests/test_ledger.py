@@ -395,6 +395,32 @@ def test_routing(spark):
     assert {r["doc"]: (r["layout"], r["fate"]) for r in geometry.routed(docs, sig).collect()} == {"a": ("one", "routed"), "b": (None, "ambiguous"), "c": (None, "unknown"), "e": ("bare", "routed")}
 
 
+def test_renamed_vendors_are_learned(spark):
+    schema = "doc string, labels array<string>, tokens array<string>, width double, height double"
+    docs = spark.createDataFrame([("old", ["x"], ["p"], 600.0, 800.0), ("new", ["x", "y"], ["q"], 600.0, 800.0), ("odd", ["z"], ["q"], 600.0, 800.0)], schema)
+    sig = spark.createDataFrame([("one", ["x"], ["p"], 600.0, 800.0), ("two", ["x", "y"], ["p"], 600.0, 800.0)], "layout string, requires array<string>, producer array<string>, width double, height double")
+    maybe = geometry.rename_candidates(docs, sig)
+    assert sorted(map(tuple, maybe.collect())) == [("new", "one"), ("new", "two")]
+    read = lambda *rows: spark.createDataFrame(list(rows), "doc string, layout string, status string")
+    assert geometry.healed(maybe, read(("new", "one", "imported"), ("new", "two", "imported"))).count() == 0
+    won = geometry.healed(maybe, read(("new", "one", "quarantined"), ("new", "two", "imported")))
+    assert [tuple(r) for r in won.collect()] == [("new", "two")]
+    assert {r["doc"]: r["layout"] for r in geometry.routed(docs, geometry.learned(won, docs, sig)).collect()} == {"old": "one", "new": "two", "odd": None}
+
+
+def test_rates_belong_to_the_row_above(spark):
+    w = lambda x0, x1, t: (float(x0), float(x1), t)
+    head = [w(50, 75, "Date"), w(120, 180, "Transaction"), w(300, 350, "Foreign"), w(400, 450, "Amount")]
+    page = [
+        (30.0, head), (50.0, [w(120, 180, "NOODLE BAR")]), (58.0, [w(50, 75, "01/06"), w(300, 345, "USD9.00"), w(410, 450, "12.10")]), (66.0, [w(120, 200, "1 USD = SGD 1.3444")]),
+        (90.0, [w(50, 75, "02/06"), w(120, 160, "TEA"), w(420, 450, "3.00")]), (98.0, [w(120, 160, "HOUSE")]),
+    ]
+    rows = [("d", 1, n, top, words) for n, (top, words) in enumerate(page)]
+    lines = spark.createDataFrame(rows, "doc string, page int, line int, top double, words array<struct<x0:double,x1:double,text:string>>")
+    got = layout.statement_rows(lines, layout.SAVINGS).orderBy("pos").collect()
+    assert [(r["description"], r["rate_currency"], None if r["rate"] is None else str(r["rate"])) for r in got] == [("NOODLE BAR 01/06 USD9.00", "USD", "1.34440000"), ("02/06 TEA HOUSE", None, None)]
+
+
 def test_files_and_archive(spark, tmp_path):
     (tmp_path / "in/deep").mkdir(parents=True)
     for name, data in (("in/a.pdf", b"%PDF-1"), ("in/deep/b.PDF", b"%PDF-2"), ("in/c.pdf", b"%PDF-1"), ("in/d.exe", b"MZ")):
