@@ -421,6 +421,14 @@ def test_rates_belong_to_the_row_above(spark):
     assert [(r["description"], r["rate_currency"], None if r["rate"] is None else str(r["rate"])) for r in got] == [("NOODLE BAR 01/06 USD9.00", "USD", "1.34440000"), ("02/06 TEA HOUSE", None, None)]
 
 
+def test_fingerprints_of_layouts(spark):
+    docs = spark.createDataFrame([("a", "Maker 1.2", 595.2, 842.0), ("b", "maker 3", 595.0, 841.9), ("c", "Other", 595.0, 842.0), ("d", "Maker", 595.0, 842.0)], "doc string, producer string, width double, height double")
+    rows = [(d, 1, 0, 20.0, "Statement  of Account") for d in "abc"] + [(d, 1, 1, 40.0, f"No {n}") for n, d in enumerate("abcd")] + [("a", 1, 2, 800.0, "Footer")]
+    keys = {r["doc"]: r["layout_key"] for r in geometry.layout_fingerprints(spark.createDataFrame(rows, "doc string, page int, line int, top double, text string"), docs).collect()}
+    assert keys["a"] == keys["b"] and len(set(keys.values())) == 3
+    assert [value(spark, text.safe_file_name(F.col("a")), a=n) for n in ("../x/My file?.pdf", "...", "C:\\tmp\\a b.csv")] == ["My_file_.pdf", "file", "a_b.csv"]
+
+
 def test_files_and_archive(spark, tmp_path):
     (tmp_path / "in/deep").mkdir(parents=True)
     for name, data in (("in/a.pdf", b"%PDF-1"), ("in/deep/b.PDF", b"%PDF-2"), ("in/c.pdf", b"%PDF-1"), ("in/d.exe", b"MZ")):
