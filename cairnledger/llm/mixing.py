@@ -25,7 +25,10 @@ BITS, LEVELS = 10, 6
 
 
 def row_hash(id_col: str, source_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    """The first 60 bits of a digest of the row's values, as the upper bits of a long; a digest that any SQL engine has."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    digest = F.md5(F.concat_ws("\u001f", told(id_col), told(source_col), told(text_col)))
+    return F.shiftleft(F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long"), 64 - BITS * LEVELS)
 
 
 def prefix(level: int) -> Column:

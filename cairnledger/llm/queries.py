@@ -88,10 +88,22 @@ QUERIES = {
 #: Words of a text as a list, A-Z lowered.
 WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"""
 
-#: Links by counting common shingles of all pairs that have one, and components by recursion. The other operators' results hold
-#: hashes, positions, encodings or iterated estimates, which SQL does not state; their tests are by brute force. Scores by counts of words
+#: Mixing by running sums over the hashes in order; links by counting common shingles of all pairs that have one, and components by recursion.
+#: The other operators' results hold hashes, positions, encodings or iterated estimates, which SQL does not state; their tests are by brute force. Scores by counts of words
 #: and of pairs, each less the document's own.
 ORACLE: dict[str, str] = {
+    "op1_mixing": r"""WITH
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(concat_ws(chr(31), coalesce('=' || CAST(doc_id AS VARCHAR), '-'), coalesce('=' || source, '-'), coalesce('=' || text, '-'))), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS nth FROM s),
+v AS (SELECT nth, (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, cap / w AS full_at FROM o),
+t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, nth) FROM v WHERE level <= full_at)) AS target FROM o),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS before FROM d GROUP BY source, h),
+k AS (SELECT g.source, h, CASE WHEN before + words <= target - whole * source_size OR (before <= target - whole * source_size AND 2 * (target - whole * source_size - before) >= words) THEN 1 ELSE 0 END AS once
+    FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + once) AS BIGINT) AS taken FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h""",
     "op7_backoff": f"""WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
 n AS (SELECT CAST(coalesce(sum(len(ws)), 0) AS DOUBLE) AS n FROM d),
