@@ -104,6 +104,22 @@ g AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY so
 k AS (SELECT g.source, h, CASE WHEN before + words <= target - whole * source_size OR (before <= target - whole * source_size AND 2 * (target - whole * source_size - before) >= words) THEN 1 ELSE 0 END AS once
     FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + once) AS BIGINT) AS taken FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h""",
+    "op6_merkle": r"""WITH
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS at_row FROM documents),
+e AS (SELECT at_row, doc_id, text, coalesce(lead(text) OVER (ORDER BY at_row), first_value(text) OVER (ORDER BY at_row)) AS following FROM d),
+x AS (SELECT *, left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) AS edited FROM e),
+t AS (SELECT at_row, 'own' AS kind, text FROM x UNION ALL SELECT at_row, 'edited', edited FROM x UNION ALL SELECT at_row, 'next', following FROM x),
+leaves AS (SELECT at_row, kind, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+    lambda p: list_transform(regexp_extract_all(p, ' *(?:[^ ]+ *){1,8}| +'), lambda w: md5(w)))) AS ss FROM t),
+inner_ AS (SELECT at_row, kind, list_transform(ss, lambda s: list_transform(s, lambda p: struct_pack(d := md5(coalesce(array_to_string(p, ''), '')), o := p))) AS ss FROM leaves),
+tops AS (SELECT at_row, kind, list_transform(ss, lambda s: struct_pack(d := md5(array_to_string(list_transform(s, lambda p: p.d), '')), o := s)) AS ss FROM inner_),
+f AS (SELECT at_row, kind, left(sha256(array_to_string(list_transform(ss, lambda s: s.d), '')), 32) || '/' || array_to_string(list_transform(ss, lambda s: left(s.d, 8) || '(' ||
+    array_to_string(list_transform(s.o, lambda p: left(p.d, 8) || coalesce(array_to_string(list_transform(p.o, lambda l: '.' || left(l, 6)), ''), '')), ',') || ')'), ';') AS f FROM tops),
+w AS (SELECT at_row, max(f) FILTER (kind = 'own') AS a, max(f) FILTER (kind = 'edited') AS b, max(f) FILTER (kind = 'next') AS c FROM f GROUP BY at_row),
+l AS (SELECT *, list_distinct(regexp_extract_all(a, '\.([0-9a-f]{6})', 1)) AS la, list_distinct(regexp_extract_all(b, '\.([0-9a-f]{6})', 1)) AS lb, list_distinct(regexp_extract_all(c, '\.([0-9a-f]{6})', 1)) AS lc FROM w)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+    CASE WHEN a = b THEN 1.0::DOUBLE ELSE len(list_intersect(la, lb)) / CAST(greatest(len(la), len(lb), 1) AS DOUBLE) END AS near_edited,
+    CASE WHEN a = c THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc)) / CAST(greatest(len(la), len(lc), 1) AS DOUBLE) END AS near_next FROM x JOIN l USING (at_row)""",
     "op7_backoff": f"""WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
 n AS (SELECT CAST(coalesce(sum(len(ws)), 0) AS DOUBLE) AS n FROM d),
