@@ -87,7 +87,8 @@ def matched(rows: DataFrame) -> DataFrame:
     """(row, doc_id, start, end, is_first) of every match of rows (row, doc_id, digests, spans) whose digest another row has too."""
     # The first and last row that hold a digest tell whether two do; a digest of any frequency has one partial a task.
     held = rows.select(F.explode(F.array_distinct("digests")).alias("digest"), "row").groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-    repeated = held.where("low < high").select("digest", "low")
+    # As a table, so that the rows of a digest that very many texts have can be split in the join.
+    repeated = as_table(held.where("low < high").select("digest", "low"))
     each = rows.select("row", "doc_id", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("spans").alias("span"))).alias("m")).select("row", "doc_id", "m.*")
     found = each.join(repeated, "digest").select("row", "doc_id", "span", (F.col("low") == F.col("row")).alias("is_first"))
     return as_table(found.select("row", "doc_id", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"), "is_first"))
