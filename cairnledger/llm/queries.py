@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bpe, chunks, html, merkle, minhash, mixing, outliers, secrets, token_cache
+from . import alignment, backoff, bpe, chunks, html, merkle, minhash, mixing, outliers, secrets, token_cache, warc, whitening
 from .common import own_folder
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -77,11 +77,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives stay in the application's folder until clean() is called."""
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_substrings, op3_outliers, op4_token_counts, op5_near_duplicates,
-        op6_merkle, op7_backoff, op8_secrets, op9_bpe, op10_html,
+        op6_merkle, op7_backoff, op8_secrets, op9_bpe, op10_html, op11_warc, op12_alignment, op13_whitening,
     )
 }
 
