@@ -17,12 +17,14 @@ whole; an empty table gives none; other columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import printable_bytes
+from .bpe import WHITE, printable_bytes, refuse_other_settings
 from .common import as_table, text_slices
 
 #: Bytes of text that are aligned at once, and that share one list of pairs.
 PART_BYTES, SLICE_BYTES = 2 << 20, 16 << 20
+#: Words that a worker remembers, up to this length.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 60
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def plain_byte_bpe(path: str) -> bool:
+    """Whether the ids of a word with the white space before it do not depend on its neighbours, as in plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        try:
+            refuse_other_settings(json.load(f))
+        except ValueError:
+            return False
+    return True
+
+
+def by_words(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[list[int]]]:
+    """encode, but for words that this worker has met before."""
+    chunk, known = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"), {}
+
+    def run(texts: list[str]) -> list[list[int]]:
+        split = [chunk.findall(t) for t in texts]
+        new = list(set().union(*map(set, split)).difference(known)) if split else []
+        known.update(zip(new, encode(new), strict=True))
+        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del known[word]
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        return out
+
+    return run
+
+
 class Side:
     """One tokenizer: the ids of texts with a space before them, special tokens being plain text, and the bytes of every id."""
 
@@ -61,7 +94,9 @@ class Side:
             token_bytes = [b""] * (max(known.get_vocab().values()) + 1)
             for token, i in vocab.items():
                 token_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-            self.encode = lambda texts: [e.ids for e in known.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+            whole = lambda texts: [e.ids for e in known.encode_batch_fast(texts, add_special_tokens=False)]
+            in_words = by_words(whole) if plain_byte_bpe(path) else whole
+            self.encode = lambda texts: in_words([" " + t for t in texts])
         self.size = len(token_bytes)
         self.bytes = np.array(token_bytes, object)
         self.lengths = np.array([len(b) for b in token_bytes], np.int64)
