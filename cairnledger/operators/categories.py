@@ -67,29 +67,37 @@ def tallied(rows: DataFrame) -> DataFrame:
     return rows.where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.abs("amount_minor")).alias("value_minor"))
 
 
-def review_queue(rows: DataFrame, rules: DataFrame, limit: int = 500) -> DataFrame:
-    """Names that no rule decides, by value; contested ones are marked."""
-    counted = tallied(rows)
-    open_ = categorise(counted.select("name"), rules).where("NOT decided").select("name", "contested")
-    return counted.join(open_, "name").orderBy(F.col("value_minor").desc(), "name").limit(limit)
+def review_queue(rows: DataFrame, rules: DataFrame, limit: int | None = 500, verdicts: DataFrame | None = None) -> DataFrame:
+    """Names that no rule decides and a person could place, by value; contested ones are marked. Names are without white space around them;
+    persons, accounts and conduits are nobody's to classify. With verdicts (name, category, needs_review) also what models said of
+    each name, and whether they disagreed."""
+    counted = tallied(rows.withColumn("name", text.strip(F.col("name"))))
+    asked = counted.where(~text.is_personal(F.col("name")) & ~text.is_conduit(F.col("name")))
+    open_ = categorise(asked.select("name"), rules).where("NOT decided").select("name", "contested")
+    queue = asked.join(open_, "name")
+    if verdicts is not None:
+        told = verdicts.select("name", F.col("category").alias("model_verdict"), F.col("needs_review").alias("disputed"))
+        queue = queue.join(told, "name", "left").withColumn("disputed", F.coalesce("disputed", F.lit(False)))
+    queue = queue.orderBy(F.col("value_minor").desc(), "name")
+    return queue if limit is None else queue.limit(limit)
 
 
 def coverage(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows decided, contested and unmatched, and the decided share."""
-    counted = tallied(rows)
+    """Rows decided, contested and unmatched, and the decided share; rows without a name are among the unmatched."""
+    counted = rows.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
     judged = counted.join(categorise(counted.select("name"), rules), "name")
     some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_rows"))), F.lit(0))
     sums = judged.agg(
         some(F.col("decided")).alias("decided"), some(F.col("contested")).alias("contested"),
-        some(~F.col("decided") & ~F.col("contested")).alias("unmatched"), F.sum("n_rows").alias("n_rows"),
+        some(~F.col("decided") & ~F.col("contested")).alias("unmatched"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
     )
-    return sums.withColumn("share", F.bround(F.col("decided") / F.col("n_rows"), 4))
+    return sums.withColumn("share", F.when(F.col("n_rows") == 0, 0.0).otherwise(F.bround(F.col("decided") / F.greatest("n_rows", F.lit(1)), 4)))
 
 
 def gaps(rows: DataFrame, rules: DataFrame, top: int = 20) -> DataFrame:
-    """The names of most rows that no rule decides."""
-    counted = tallied(rows)
-    open_ = categorise(counted.select("name"), rules).where("NOT decided").select("name")
+    """The names of most rows that no rule matches; what rules contest is no gap."""
+    counted = rows.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.abs("amount_minor")).alias("value_minor"))
+    open_ = categorise(counted.select("name"), rules).where("NOT decided AND NOT contested").select("name")
     return counted.join(open_, "name").orderBy(F.col("n_rows").desc(), "name").limit(top)
 
 

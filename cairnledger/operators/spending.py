@@ -16,6 +16,8 @@ from ..sources.driver_tables import Ledger
 DAILY_UP_TO, WEEKLY_BELOW = 14, 365
 #: Buckets that a trailing average spans.
 ROLLING = {"day": 7, "week": 4, "month": 3}
+#: A search without a bound in days looks as far as two to this power.
+MOST_DOUBLINGS = 18
 
 
 def link_legs(ledger: Ledger) -> DataFrame:
@@ -222,20 +224,44 @@ def distinct_counts(ledger: Ledger) -> DataFrame:
     return rows.agg(F.count_distinct("counterparty_norm").alias("n_merchants"), F.count_distinct("account_id").alias("n_accounts"))
 
 
-def payback_candidates(ledger: Ledger, days: int, text: str | None = None, limit: int | None = None) -> DataFrame:
-    """For each charge that has been paid back: other inflows on its account within so many days, nearest first; those whose name or line has a
-    text, and so many for each charge, if given.
+def payback_candidates(ledger: Ledger, charges: DataFrame, days: int | None = None, text: str | None = None, limit: int | None = 100) -> DataFrame:
+    """For each charge (charges: txn_id): the inflows of any account that could settle it, nearest first by days, of as near ones the
+    latest id; within so many days, and so many for each charge, if given. A search narrows the inflows by name or line. What settles
+    a charge already, is a leg of a transfer or hidden is not offered; charges that are not in the ledger give none.
 
-    The window is a range join on the account; days are bucketed so that both sides meet by an equality.
+    Both sides meet by an equality of slots of days. Without a bound in days, each charge gets one: the least power of two of days
+    within which the limit is reached, read from the running number of inflows by day.
     """
-    charges = ledger.payback.select(F.col("expense_txn_id").alias("charge_id")).distinct().join(
-        ledger.txn.select(F.col("txn_id").alias("charge_id"), "account_id", F.col("posted_date").alias("charged")), "charge_id"
-    )
-    slot = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (days + 1))
-    near = charges.withColumn("slot", F.explode(F.array(slot("charged") - 1, slot("charged"), slot("charged") + 1)))
-    income = filtered(spending_base(ledger, "in"), text=text).select("txn_id", "account_id", "posted_date", "amount_minor").withColumn("slot", slot("posted_date"))
+    if days is None and limit is None:
+        raise ValueError("every inflow for every charge: give days or a limit")
+    dated = ledger.txn.join(charges.select("txn_id").distinct(), "txn_id", "left_semi").select(F.col("txn_id").alias("charge_id"), "account_id", F.col("posted_date").alias("charged"))
+    income = filtered(spending_base(ledger, "in"), text=text).select("txn_id", "account_id", "posted_date", "amount_minor")
+    near = dated.drop("account_id")
+    near = near.withColumn("reach", F.lit(days)) if days is not None else near.join(reaches(near, income, limit), "charged")
+    slot = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / (F.col("reach") + 1))
+    near = near.withColumn("slot", F.explode(F.array(slot("charged") - 1, slot("charged"), slot("charged") + 1)))
+    # The reaches in use are one, or at most the powers of two that are tried.
+    used = [days] if days is not None else [r["reach"] for r in near.select("reach").distinct().collect()]
+    dealt = income.withColumn("reach", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
     apart = F.abs(F.datediff("posted_date", "charged"))
-    found = near.join(income, ["account_id", "slot"]).withColumn("days_apart", apart).where(F.col("days_apart") <= days)
+    found = near.join(dealt.withColumn("slot", slot("posted_date")), ["reach", "slot"]).withColumn("days_apart", apart).where("days_apart <= reach")
     if limit is not None:
-        found = found.withColumn("n", F.row_number().over(Window.partitionBy("charge_id").orderBy("days_apart", "txn_id"))).where(F.col("n") <= limit)
-    return found.select("charge_id", "txn_id", "amount_minor", "days_apart").orderBy("charge_id", "days_apart", "txn_id")
+        order = Window.partitionBy("charge_id").orderBy("days_apart", F.col("txn_id").desc())
+        found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+    return found.select("charge_id", "txn_id", "account_id", "amount_minor", "days_apart").orderBy("charge_id", "days_apart", F.col("txn_id").desc())
+
+
+def reaches(charges: DataFrame, income: DataFrame, limit: int) -> DataFrame:
+    """(charged, reach) of each day of a charge: the least power of two of days that has `limit` inflows on either side, or that has all."""
+    daily = income.groupBy("posted_date").agg(F.count(F.lit(1)).alias("n"))
+    all_ = daily.agg(F.min("posted_date").alias("a"), F.max("posted_date").alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    first, last, total = F.lit(all_["a"]).cast("date"), F.lit(all_["b"]).cast("date"), all_["total"]
+    # Only days are put in order; those without inflows have the number of the last that has some.
+    calendar = charges.sparkSession.range(1 if total else 0).select(F.explode(F.sequence(first, last)).alias("day"))
+    counted = calendar.join(daily.withColumnRenamed("posted_date", "day"), "day", "left").select("day", F.coalesce(F.sum("n").over(Window.orderBy("day")), F.lit(0)).alias("so_far"))
+    tried = charges.select("charged").distinct().withColumn("reach", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOST_DOUBLINGS)), lambda i: F.call_function("shiftleft", F.lit(1), i))))
+    within = lambda day, name: counted.select(F.col("day").alias(day), F.col("so_far").alias(name))
+    ends = tried.withColumns({"until": F.least(F.date_add("charged", F.col("reach")), last), "before": F.date_sub("charged", F.col("reach") + 1)})
+    met = ends.join(within("until", "upper"), "until", "left").join(within("before", "lower"), "before", "left")
+    n = F.coalesce("upper", F.lit(0)) - F.when(F.col("before") >= last, total).otherwise(F.coalesce("lower", F.lit(0)))
+    return met.where((n >= limit) | (n >= total)).groupBy("charged").agg(F.min("reach").cast("int").alias("reach"))

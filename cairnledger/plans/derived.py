@@ -53,6 +53,18 @@ def spent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(part, "l_partkey").select("name", "amount_minor")
 
 
+def counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with what else is found among counterparties: persons, accounts, conduits, names with white space around them, and none."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("part"))
+    items = read(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    kind, own = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(11)), F.col("part")
+    name = (
+        F.when(kind == 0, F.concat(F.lit("PayNow to "), own)).when(kind == 1, F.concat(F.lit("atm "), own)).when(kind == 2, F.concat(F.lit(" \t"), own, F.lit("  ")))
+        .when(kind == 3, F.concat(own, F.lit(" 123-4567890"))).when(kind == 4, F.when(F.col("l_linenumber") % 2 == 0, F.lit("  "))).when(kind == 5, F.lit("Cash Withdrawal"))
+    )
+    return items.select(F.when(kind < 6, name).otherwise(own).alias("name"), (-F.round(F.col("l_extendedprice") * 100).cast("long")).alias("amount_minor"))
+
+
 def statement_tables(l: Ledger) -> tuple[DataFrame, DataFrame]:  # noqa: E741
     """Weekly statements and their rows in order of time; a row falls on its statement by account and week."""
     null = lambda t: F.lit(None).cast(t)
@@ -105,6 +117,11 @@ def sure_links(l: Ledger) -> DataFrame:  # noqa: E741
     return sure.select("out_txn_id", "in_txn_id", F.element_at(F.array(*map(F.lit, transfers.EVIDENCE)), F.array_position("passes", True).cast("int")).alias("evidence"), F.col("amount").alias("amount_minor"))
 
 
+def closing_early(balance: DataFrame) -> DataFrame:
+    """Balances of which every third account has none after the second week."""
+    return balance.where("NOT (account_id % 3 = 0 AND period_end > DATE '2024-01-14')")
+
+
 def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as printed lines: each third row has a line above it, each second one below, and all have stray ones further off."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()

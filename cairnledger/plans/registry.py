@@ -166,11 +166,21 @@ def jn_07_payback_pairs(l: Ledger) -> DataFrame:  # noqa: E741
     return spending.payback_pairs(l)
 
 
-@over_ledger(f"""SELECT charge_id, txn_id, amount_minor, abs(date_diff('day', charged, posted_date)) AS days_apart
-    FROM (SELECT DISTINCT expense_txn_id AS charge_id, account_id AS acc, posted_date AS charged FROM payback JOIN txn ON txn_id = expense_txn_id)
-    JOIN (SELECT * FROM base WHERE {IN}) ON account_id = acc AND abs(date_diff('day', charged, posted_date)) <= 5""")
+def nearest_inflows(within: str, which: str, limit: int) -> str:
+    """Inflows of any account for each purchase in one shop, nearest first by days, of as near ones the latest id."""
+    return f"""SELECT charge_id, txn_id, account_id, amount_minor, days_apart FROM (SELECT *, row_number() OVER (PARTITION BY charge_id ORDER BY days_apart, txn_id DESC) AS n FROM
+        (SELECT c.txn_id AS charge_id, i.txn_id, i.account_id, i.amount_minor, abs(date_diff('day', c.posted_date, i.posted_date)) AS days_apart
+        FROM (SELECT txn_id, posted_date FROM txn WHERE counterparty_norm = 'PURCHASE SHOP 97') c CROSS JOIN (SELECT * FROM base WHERE {IN} AND {which}) i) WHERE {within}) WHERE n <= {limit}"""
+
+
+def some_charges(l: Ledger) -> DataFrame:  # noqa: E741
+    return l.txn.where("counterparty_norm = 'PURCHASE SHOP 97'").select("txn_id")
+
+
+@over_ledger(nearest_inflows("days_apart <= 1", "true", 100))
 def top_04_payback_candidates(l: Ledger) -> DataFrame:  # noqa: E741
-    r = spending.payback_candidates(l, 5)
+    """Of purchases on any account, cards among them, of which hardly any has been paid back."""
+    r = spending.payback_candidates(l, some_charges(l), days=1)
     return r.withColumn("days_apart", F.col("days_apart").cast("long"))
 
 
@@ -291,10 +301,20 @@ def val_07_whole_documents(l: Ledger) -> DataFrame:  # noqa: E741
     return checked.select("doc", "account_id", "status", F.array_contains("failed", "declared_totals").alias("has_wrong_total"))
 
 
-@over_ledger(f"""SELECT month, "on", worth_minor, worth_minor - lag(worth_minor) OVER (ORDER BY month) AS change_minor FROM
-    (SELECT strftime("on", '%Y-%m') AS month, max("on") AS "on", arg_max(worth_minor, "on") AS worth_minor FROM ({WORTH}) GROUP BY 1) WHERE "on" >= DATE '2024-01-02'""")
+OPENS = dt.date(2024, 1, 17)
+#: Net worth of a window: only balances that end in it are known.
+IN_WINDOW = WORTH.replace("FROM balance WINDOW", f"FROM balance WHERE NOT (account_id % 3 = 0 AND period_end > DATE '2024-01-14') AND period_end >= DATE '{OPENS}' AND closing_minor IS NOT NULL WINDOW")
+
+
+@over_ledger(f"""SELECT max("on") AS "on", arg_max(worth_minor, "on") AS worth_minor, arg_max(accounts_known, "on") AS accounts_known FROM ({IN_WINDOW}) GROUP BY date_trunc('month', "on")""")
 def nw_04_growth(l: Ledger) -> DataFrame:  # noqa: E741
-    return statements.growth(l.balance, dt.date(2024, 1, 2))
+    """By month over a window that opens when statements have been known for weeks; the first third of accounts has its last before it."""
+    return statements.growth(derived.closing_early(l.balance), OPENS)
+
+
+@over_ledger(IN_WINDOW)
+def nw_04_growth_by_statement(l: Ledger) -> DataFrame:  # noqa: E741
+    return statements.growth(derived.closing_early(l.balance), OPENS, every="statement")
 
 
 KEYED = """keyed AS (SELECT *, row_number() OVER (PARTITION BY doc, account_key, posted_date, amount_minor, description_norm ORDER BY txn_id) - 1 AS seq FROM
@@ -379,21 +399,34 @@ def cat_01_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.categorise(names, derived.part_rules(spark))
 
 
-@query("""SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor, any_value(contested) AS contested FROM spent JOIN judged USING (name)
-    WHERE NOT decided GROUP BY 1 ORDER BY value_minor DESC, name LIMIT 500""", SPENT, JUDGED)
+COUNTERPARTIES = """spent AS (SELECT CASE (l_orderkey + l_linenumber) % 11 WHEN 0 THEN 'PayNow to ' || part WHEN 1 THEN 'atm ' || part WHEN 2 THEN chr(32) || chr(9) || part || '  ' WHEN 3 THEN part || ' 123-4567890'
+    WHEN 4 THEN CASE WHEN l_linenumber % 2 = 0 THEN '  ' END WHEN 5 THEN 'Cash Withdrawal' ELSE part END AS name, -CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_minor
+    FROM lineitem JOIN (SELECT p_partkey, upper(p_name) AS part FROM part) ON p_partkey = l_partkey)"""
+#: The same without white space around names, or with an empty name for none.
+STRIPPED = COUNTERPARTIES.replace("spent AS (SELECT", "raw AS (SELECT") + r", spent AS (SELECT regexp_replace(name, '^\s+|\s+$', '', 'g') AS name, amount_minor FROM raw)"
+NAMED = COUNTERPARTIES.replace("spent AS (SELECT", "raw AS (SELECT") + ", spent AS (SELECT coalesce(name, '') AS name, amount_minor FROM raw)"
+#: Whom nobody is asked about. Persons and accounts by what their names hold, conduits by the first word or the whole name.
+NOBODY = r"""(name = '' OR regexp_matches(name, '(?i)\b(PAYNOW|PAYLAH|FAST\s+PAYMENT|FUNDS?\s+TRANSFER|TRANSFER\s+(TO|FROM)|INCOMING|OUTGOING|TO:|FROM:|MR|MRS|MS|MDM)\b')
+    OR regexp_matches(name, '\b\d[\d\s-]{5,}\d\b') OR list_contains(conduits, split_part(upper(name), ' ', 1)) OR list_contains(conduits, upper(name)))"""
+CONDUITS = """(SELECT ['PAYLAH', 'PAYNOW', 'GRABPAY', 'SHOPEEPAY', 'FAVEPAY', 'ALIPAY', 'WECHATPAY', 'LAZADA', 'SHOPEE', 'AMAZON', 'QOO10', 'CAROUSELL', 'ATM', 'CASH WITHDRAWAL', 'CASH', 'NETS', 'EZ-LINK', 'EZLINK'] AS conduits)"""
+
+
+@query(f"""SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor, any_value(contested) AS contested FROM spent JOIN judged USING (name) CROSS JOIN {CONDUITS}
+    WHERE NOT decided AND NOT {NOBODY} GROUP BY 1 ORDER BY value_minor DESC, name LIMIT 500""", STRIPPED, JUDGED)
 def cat_09_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.review_queue(derived.spent(spark, sf_dir), derived.part_rules(spark))
+    """Of names among which are persons, accounts, conduits and none."""
+    return categories.review_queue(derived.counterparties(spark, sf_dir), derived.part_rules(spark))
 
 
 @query("""SELECT d AS decided, c AS contested, n - d - c AS unmatched, n AS n_rows, round_even(d / CAST(n AS DOUBLE), 4) AS share FROM
-    (SELECT count(*) FILTER (decided) AS d, count(*) FILTER (contested) AS c, count(*) AS n FROM spent JOIN judged USING (name))""", SPENT, JUDGED)
+    (SELECT count(*) FILTER (decided) AS d, count(*) FILTER (contested) AS c, count(*) AS n FROM spent JOIN judged USING (name))""", NAMED, JUDGED)
 def agg_15_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.coverage(derived.spent(spark, sf_dir), derived.part_rules(spark))
+    return categories.coverage(derived.counterparties(spark, sf_dir), derived.part_rules(spark))
 
 
-@query("SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor FROM spent JOIN judged USING (name) WHERE NOT decided GROUP BY 1 ORDER BY n_rows DESC, name LIMIT 20", SPENT, JUDGED)
+@query("SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor FROM spent JOIN judged USING (name) WHERE NOT decided AND NOT contested GROUP BY 1 ORDER BY n_rows DESC, name LIMIT 20", NAMED, JUDGED)
 def top_06_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.gaps(derived.spent(spark, sf_dir), derived.part_rules(spark))
+    return categories.gaps(derived.counterparties(spark, sf_dir), derived.part_rules(spark))
 
 
 @query("SELECT name, m AS median FROM (SELECT name, abs(amount_minor) AS m, row_number() OVER (PARTITION BY name ORDER BY abs(amount_minor)) - 1 AS pos, count(*) OVER (PARTITION BY name) // 2 AS middle FROM spent) WHERE pos = middle", SPENT)
@@ -402,11 +435,16 @@ def agg_16_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.upper_median_by(rows, "name", "m")
 
 
-@query()
+@query(f"""SELECT name, n_rows, (SELECT g FROM (VALUES (100), (500), (1000), (2000), (5000), (10000), (30000), (50000), (100000), (1000000), (5000000)) t(g) ORDER BY abs(g - m), g DESC LIMIT 1) AS typical_minor,
+    value_minor, suggested, left('POS ' || upper(name) || ' TERMINAL #', 120) AS sample FROM
+    (SELECT name, count(*) AS n_rows, CAST(sum(abs(amount_minor)) AS BIGINT) AS value_minor, list_sort(list(abs(amount_minor)))[count(*) // 2 + 1] AS m FROM spent CROSS JOIN {CONDUITS} WHERE trim(name) = name AND NOT {NOBODY} GROUP BY 1)
+    LEFT JOIN (SELECT name, CASE WHEN decided THEN category END AS suggested FROM judged) USING (name)
+    WHERE name NOT IN (SELECT name FROM spent WHERE regexp_matches(name, '(?i)\\bSMALL\\b'))""", COUNTERPARTIES, JUDGED)
 def cat_10_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.spent(spark, sf_dir).withColumn("description", F.concat(F.lit("pos "), "name", F.lit(" terminal 7781")))
+    """The rules of a weight settle; all suggest. Names have one line each."""
+    rows = derived.counterparties(spark, sf_dir).withColumn("description", F.concat(F.lit("pos "), "name", F.lit(" terminal 7781")))
     rules = derived.part_rules(spark)
-    return categories.propose(rows, rules.where("weight > 0"), rules, fold=False)
+    return categories.propose(rows.where("trim(name) = name"), rules.where("weight > 0"), rules, fold=False)
 
 
 VOTES = "votes AS (SELECT DISTINCT event_type AS model, 'SHOP ' || CAST(k AS VARCHAR) AS name, CASE WHEN amount_minor % 3 = 0 THEN 'Dining' WHEN amount_minor % 3 = 1 OR amount_minor % 3 = -2 THEN 'Grocery' ELSE 'Nonsense' END AS category FROM (SELECT event_type, k, min(amount_minor) AS amount_minor FROM ev GROUP BY 1, 2))"
@@ -530,13 +568,10 @@ def agg_18_distinct_counts(l: Ledger) -> DataFrame:  # noqa: E741
     return spending.distinct_counts(l)
 
 
-@over_ledger(f"""SELECT charge_id, txn_id, amount_minor, days_apart FROM (SELECT *, row_number() OVER (PARTITION BY charge_id ORDER BY days_apart, txn_id) AS n FROM
-    (SELECT charge_id, txn_id, amount_minor, abs(date_diff('day', charged, posted_date)) AS days_apart
-    FROM (SELECT DISTINCT expense_txn_id AS charge_id, account_id AS acc, posted_date AS charged FROM payback JOIN txn ON txn_id = expense_txn_id)
-    JOIN (SELECT * FROM base WHERE {IN} AND (contains(upper(counterparty_norm), 'SIGNUP') OR contains(upper(description_raw), 'SIGNUP'))) ON account_id = acc AND abs(date_diff('day', charged, posted_date)) <= 20)) WHERE n <= 2""")
+@over_ledger(nearest_inflows("true", "(contains(upper(counterparty_norm), 'SIGNUP SHOP 4') OR contains(upper(description_raw), 'SIGNUP SHOP 4'))", 3))
 def pbk_02_search(l: Ledger) -> DataFrame:  # noqa: E741
-    """The two nearest inflows of a name for each charge."""
-    return spending.payback_candidates(l, 20, text="signup", limit=2).withColumn("days_apart", F.col("days_apart").cast("long"))
+    """The three nearest inflows of a name for each charge, however many days away."""
+    return spending.payback_candidates(l, some_charges(l), text="signup shop 4", limit=3).withColumn("days_apart", F.col("days_apart").cast("long"))
 
 
 @query("""SELECT o_custkey AS account_id, 'XXXX-XXXX-XXXX-' || right(lpad(CAST(o_orderkey AS VARCHAR), 16, '4'), 4) AS number, min(CAST(o_orderdate AS DATE)) AS first_seen, max(CAST(o_orderdate AS DATE)) AS last_seen
