@@ -21,7 +21,7 @@ import json
 import os
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -29,47 +29,32 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WHITE, printable_bytes, refuse_other_settings
+from .bpe import PRETOKEN, printable_bytes, refuse_other_settings
 from .common import as_table, text_slices
 
 #: Bytes of text that are aligned at once, and that share one list of pairs.
 PART_BYTES, SLICE_BYTES = 2 << 20, 16 << 20
-#: Words that a worker remembers, up to this length.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 60
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def plain_byte_bpe(path: str) -> bool:
-    """Whether the ids of a word with the white space before it do not depend on its neighbours, as in plain byte-level BPE."""
+def ranked(path: str) -> dict[bytes, int] | None:
+    """The tokens of a plain byte-level BPE file as ranks, if its ids are these: bytes first, then what the merge rules make, in their order."""
     with open(path, encoding="utf-8") as f:
-        try:
-            refuse_other_settings(json.load(f))
-        except ValueError:
-            return False
-    return True
-
-
-def by_words(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[list[int]]]:
-    """encode, but for words that this worker has met before."""
-    chunk, known = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"), {}
-
-    def run(texts: list[str]) -> list[list[int]]:
-        split = [chunk.findall(t) for t in texts]
-        new = list(set().union(*map(set, split)).difference(known)) if split else []
-        known.update(zip(new, encode(new), strict=True))
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del known[word]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        return out
-
-    return run
+        spec = json.load(f)
+    try:
+        refuse_other_settings(spec)
+    except ValueError:
+        return None
+    vocab, chars = spec["model"]["vocab"], printable_bytes()
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+    if sorted(vocab[c] for c in chars) != list(range(256)) or [vocab[m] for m in made] != list(range(256, 256 + len(made))):
+        return None
+    return {bytes(chars[c] for c in t): vocab[t] for t in [*chars, *made]}
 
 
 class Side:
@@ -94,11 +79,14 @@ class Side:
             token_bytes = [b""] * (max(known.get_vocab().values()) + 1)
             for token, i in vocab.items():
                 token_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-            whole = lambda texts: [e.ids for e in known.encode_batch_fast(texts, add_special_tokens=False)]
-            in_words = by_words(whole) if plain_byte_bpe(path) else whole
-            self.encode = lambda texts: in_words([" " + t for t in texts])
+            if ranks := ranked(path):
+                # The same ids, from a library that needs a quarter of the time, as it keeps no offsets.
+                fast = tiktoken.Encoding("ranked", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+                self.encode = lambda texts: fast.encode_ordinary_batch([" " + t for t in texts], num_threads=1)
+            else:
+                self.encode = lambda texts: [e.ids for e in known.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         self.size = len(token_bytes)
-        self.bytes = np.array(token_bytes, object)
+        self.bytes = token_bytes
         self.lengths = np.array([len(b) for b in token_bytes], np.int64)
 
 
@@ -131,7 +119,7 @@ def tokens_of(texts: list[str | None], path_a: str, path_b: str) -> tuple[list[l
     out_a, out_b, sizes = [], [], []
     for text, x, y in zip(some, a.encode(some), b.encode(some), strict=True):
         whole = b" " + text.encode()
-        same = text != "" and all(b"".join(s.bytes[ids].tolist()) == whole for s, ids in ((a, x), (b, y)))
+        same = text != "" and all(b"".join(map(s.bytes.__getitem__, ids)) == whole for s, ids in ((a, x), (b, y)))
         out_a.append(x if same else [])
         out_b.append(y if same else [])
         sizes.append(len(whole) if same else 0)
@@ -141,7 +129,7 @@ def tokens_of(texts: list[str | None], path_a: str, path_b: str) -> tuple[list[l
 def coalesce(texts: list[str | None], path_a: str, path_b: str) -> Aligned:
     """Groups and links of the tokens of texts."""
     ids_a, ids_b, sizes = tokens_of(texts, path_a, path_b)
-    flat = lambda ids: np.fromiter((i for x in ids for i in x), np.int64)
+    flat = lambda ids: np.array(list(chain.from_iterable(ids)), np.int64)
     of = lambda ids: np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     a, b = flat(ids_a), flat(ids_b)
     base = np.cumsum([0, *sizes])

@@ -8,6 +8,8 @@ import re
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cairnledger.llm import alignment, queries
@@ -130,3 +132,15 @@ def test_query_covers_the_table(spark, docs):
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all((r["n_a"] > 0) == bool(texts[r["doc_id"]]) for r in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("aab \n\t'sre12漢é"))), max_size=80))
+def test_ids_are_those_of_the_library(text):
+    assert alignment.ranked(A)
+    assert list(alignment.side(A).encode([text])[0]) == loaded()[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_texts(docs):
+    texts = [r["text"] or "" for r in docs.collect()] + ["a" * 50_000, " " * 3000, "<|endoftext|>x"]
+    assert [list(x) for x in alignment.side(A).encode(texts)] == [e.ids for e in loaded()[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
