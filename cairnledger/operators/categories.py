@@ -1,18 +1,22 @@
 """Categorisation by rules, over distinct names.
 
-Rules that are anchored literals meet names by a hash join; only the others are tried as patterns, against distinct
-names. The table of rules is of a checked size.
+Rules that are anchored literals meet names by a hash join, and many patterns by an index of the texts that they require; only the others are
+tried on every distinct name.
 """
 
 from __future__ import annotations
 
 import re
+from re import _parser as regex_parts
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import money, text
+from .grouped import settled
 
 OTHERS = "Others"
 #: The categories that a ledger starts with.
@@ -22,7 +26,10 @@ CATEGORIES = (
 )
 #: Rules beyond which they are no longer sent to every executor.
 MOST_RULES = 20_000
-OPERATOR_WEIGHT = 100
+#: Patterns up to which each is tried on every name, and the characters by which more of them meet names.
+FEW_PATTERNS, GRAM = 200, 3
+#: Weight and note of a person's decision.
+OPERATOR_WEIGHT, OPERATOR_NOTE = 100, "decided by operator"
 
 
 def literal_of(pattern: str) -> str | None:
@@ -35,19 +42,85 @@ def literal_of(pattern: str) -> str | None:
 
 def operator_rule(name: str, category: str) -> tuple[str, str, int, str]:
     """The rule (pattern, category, weight, note) that settles one name."""
-    return f"^{re.escape(name)}$", category, OPERATOR_WEIGHT, "operator"
+    return f"^{re.escape(name)}$", category, OPERATOR_WEIGHT, OPERATOR_NOTE
 
 
-def matches(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """(name, category, weight, pattern) of all rules that match distinct names. rules: pattern, category, weight, literal?."""
+def required_literal(pattern: str) -> str | None:
+    """The longest text that whatever the pattern matches must hold, in lower case; None if it has none or can't be read.
+
+    Runs of plain ASCII characters count, also inside groups and repetitions that occur at least once; branches, classes and looks ahead break them.
+    """
+    best, run = "", ""
+
+    def walk(parts) -> None:
+        nonlocal best, run
+        for kind, value in parts:
+            name = str(kind)
+            if name == "LITERAL" and value < 128:
+                run += chr(value).lower()
+                continue
+            if name == "AT":  # no text is between what stands before and after it
+                continue
+            best, run = max(best, run, key=len), ""
+            if name == "SUBPATTERN":
+                walk(value[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                walk(value[2])
+            best, run = max(best, run, key=len), ""
+
+    try:
+        walk(regex_parts.parse(pattern))
+    except (re.error, OverflowError, RecursionError):
+        return None
+    return max(best, run, key=len) or None
+
+
+@F.pandas_udf(StringType())
+def required_literals(patterns: pd.Series) -> pd.Series:
+    return patterns.map(required_literal)
+
+
+def grams(text_: Column) -> Column:
+    """The distinct runs of GRAM characters of a text."""
+    starts = F.when(F.length(text_) >= GRAM, F.sequence(F.lit(1), F.length(text_) - GRAM + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text_, i, F.lit(GRAM))))
+
+
+def matches_by_index(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(name, category, weight, pattern) of the patterns that match, each tried on the names that hold its required literal only.
+
+    Names meet rules by one run of GRAM characters: of those that a rule's literal has, the one that the fewest names hold. A rule with a run that no name
+    holds matches none.
+    """
+    held = names.select("name", F.explode(grams(F.lower("name"))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    cut = rules.select("pattern", "category", "weight", "needs").distinct().withColumn("n_grams", F.size(grams(F.col("needs"))))
+    each = cut.withColumn("gram", F.explode(grams(F.col("needs")))).join(counts, "gram")
+    keyed = each.groupBy("pattern", "category", "weight", "needs", "n_grams").agg(F.count(F.lit(1)).alias("present"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("present = n_grams")
+    met = held.join(keyed, "gram").where(F.contains(F.lower("name"), F.col("needs")) & F.regexp_like("name", F.concat(F.lit("(?i)"), F.col("pattern"))))
+    return met.select("name", "category", "weight", "pattern")
+
+
+def matches(names: DataFrame, rules: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:
+    """(name, category, weight, pattern) of all rules that match distinct names. rules: pattern, category, weight, literal?.
+
+    Anchored literals are a hash join. Of other patterns up to `few` are tried on every name; where there are more, those with a required literal meet only
+    the names that hold it.
+    """
     exact = rules.where("literal IS NOT NULL").select(F.upper("literal").alias("key"), "category", "weight", "pattern")
     by_literal = names.withColumn("key", F.upper("name")).join(exact, "key").drop("key")
     general = rules.where("literal IS NULL").select("pattern", "category", "weight")
-    # Patterns are tried on every name, so they are dealt to tasks by name where there are too many of them to send.
+    columns = ["name", "category", "weight", "pattern"]
+    found = by_literal.select(*columns)
+    if general.count() > few:
+        needed = settled(general.withColumn("needs", required_literals("pattern")))
+        indexed = F.length("needs") >= GRAM
+        found = found.unionByName(matches_by_index(names, needed.where(indexed)))
+        general = needed.where(~F.coalesce(indexed, F.lit(False)))
+    # Patterns without a literal are tried on every name; names are dealt to tasks where there are too many patterns to send.
     hint = F.broadcast if general.count() <= MOST_RULES else lambda df: df
     by_pattern = names.join(hint(general), F.regexp_like("name", F.concat(F.lit("(?i)"), F.col("pattern"))))
-    columns = ["name", "category", "weight", "pattern"]
-    return by_literal.select(*columns).unionByName(by_pattern.select(*columns))
+    return found.unionByName(by_pattern.select(*columns))
 
 
 def categorise(names: DataFrame, rules: DataFrame) -> DataFrame:
@@ -168,7 +241,7 @@ def named_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
 
 def without_decision(rules: DataFrame, names: DataFrame) -> DataFrame:
     """rules but those by which a person settled the given names."""
-    own = names.select(F.upper("name").alias("key")).distinct().withColumn("note", F.lit("operator"))
+    own = names.select(F.upper("name").alias("key")).distinct().withColumn("note", F.lit(OPERATOR_NOTE))
     return rules.withColumn("key", F.upper("literal")).join(own, ["key", "note"], "left_anti").select(rules.columns)
 
 
@@ -179,7 +252,7 @@ def decide(rules: DataFrame, decided: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lit(1)).orderBy("name")  # a batch is what a person decided at once
     made = decided.select(
         (F.row_number().over(order) + highest).cast("long").alias("rule_id"), escaped.alias("pattern"), "category_id", F.lit(OPERATOR_WEIGHT).alias("weight"),
-        F.col("name").alias("literal"), F.lit("operator").alias("note"),
+        F.col("name").alias("literal"), F.lit(OPERATOR_NOTE).alias("note"),
     )
     return without_decision(rules, decided).unionByName(made.select(rules.columns))
 
@@ -187,3 +260,63 @@ def decide(rules: DataFrame, decided: DataFrame) -> DataFrame:
 def seed(defaults: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """The defaults that the store lacks: what seeding appends. Seeding twice appends nothing."""
     return defaults.join(stored.select(key), key, "left_anti").select(defaults.columns)
+
+
+def rule_origin(weight: Column, note: Column) -> Column:
+    """Who put a rule there: a person, by both weight and note of a decision, or an import."""
+    return F.when((weight == OPERATOR_WEIGHT) & (note == OPERATOR_NOTE), "operator").otherwise("imported")
+
+
+def added_rules(rules: DataFrame, more: DataFrame) -> DataFrame:
+    """rules with more (pattern, category_id, weight, note), numbered on from the highest by pattern; a pattern that can't be read is refused."""
+    patterns = [r["pattern"] for r in more.select("pattern").collect()]  # what a person adds at once
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error as e:
+            raise ValueError(f"not a pattern: {p}") from e
+    literal = F.pandas_udf(lambda s: s.map(literal_of), StringType())
+    highest = rules.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("m")).first()["m"]
+    order = Window.partitionBy(F.lit(1)).orderBy("pattern", "category_id")
+    made = more.select((F.row_number().over(order) + highest).cast("long").alias("rule_id"), "pattern", "category_id", "weight", literal("pattern").alias("literal"), "note")
+    return rules.unionByName(made.select(rules.columns))
+
+
+def deleted_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """rules without those named (rule_id)."""
+    return rules.join(gone.select("rule_id"), "rule_id", "left_anti").select(rules.columns)
+
+
+def decided_and_applied(rules: DataFrame, decided: DataFrame, categories: DataFrame, targets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, enrichment) after a person has settled names (name, category_id): the rules with these decisions, and what they make of all targets."""
+    after = decide(rules, decided)
+    return after, apply_rules(targets, stored, named_rules(after, categories))
+
+
+def undecided_and_applied(rules: DataFrame, names: DataFrame, categories: DataFrame, targets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, enrichment) after a person has taken decisions on names back; rules that came in otherwise stay."""
+    after = without_decision(rules, names)
+    return after, apply_rules(targets, stored, named_rules(after, categories))
+
+
+def added_category(categories: DataFrame, name: str) -> DataFrame:
+    """categories (category_id, name) with one more; a name that is there already, in whatever case, is refused."""
+    cleaned = " ".join(name.split())
+    if not cleaned:
+        raise ValueError("a category needs a name")
+    if not categories.where(F.lower("name") == cleaned.lower()).isEmpty():
+        raise ValueError(f"there is a category {cleaned}")
+    highest = categories.agg(F.coalesce(F.max("category_id"), F.lit(0)).alias("m")).first()["m"]
+    return categories.unionByName(categories.sparkSession.createDataFrame([(highest + 1, cleaned)], "category_id long, name string"))
+
+
+def deleted_category(categories: DataFrame, name: str, rules: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """categories without one that nothing uses; refused while a rule (category_id) or a transaction (category) does."""
+    own = categories.where(F.col("name") == name)
+    if own.isEmpty():
+        raise LookupError(f"no category {name}")
+    n_rules = rules.join(own.select("category_id"), "category_id", "left_semi").count()
+    n_rows = enrichment.where(F.col("category") == name).count()
+    if n_rules or n_rows:
+        raise ValueError(f"{name} is in use: {n_rules} rules and {n_rows} transactions")
+    return categories.where(F.col("name") != name)

@@ -3,11 +3,13 @@ statements and their rows, occurrences, placed words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import identity, transfers
+from ..operators import identity, ingest, transfers
 from ..operators.categories import literal_of
+from ..operators.grouped import settled
+from ..sources import statement_forms
 from ..sources.driver_tables import Ledger, events
 
 #: Rules over part names (pattern, category, weight); one is a literal, two tie.
@@ -227,3 +229,59 @@ def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(F.split("url", "/")).alias("label"))
+
+
+def printed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as statements of two forms: (lines, documents). Every seventh does not add up, every eleventh has labels that no form has,
+    and every thirteenth has a row whose day is none."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.trunc(F.to_date("o_orderdate"), "month").alias("start"))
+    item = F.struct("l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("minor"), (F.col("l_returnflag") == "R").alias("is_out"))
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    key = F.col("o_orderkey")
+    signed = F.transform("items", lambda i: F.when(i["is_out"], -i["minor"]).otherwise(i["minor"]))
+    total = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+    d = o.join(items, "o_orderkey").withColumns({"total": total, "end": F.last_day("start"), "sectioned": key % 2 == 0, "no_day": key % 13 == 0})
+    amount = lambda minor: F.concat(F.when(minor < 0, "-").otherwise(""), F.format_number((F.abs(minor) / 100).cast("decimal(18,2)"), 2))
+    word = lambda x, t: F.struct(F.lit(float(x)).alias("x0"), (F.lit(float(x)) + 5.0 * F.length(t)).alias("x1"), t.alias("text"))
+    right = lambda x, t: F.struct((F.lit(float(x)) - 5.0 * F.length(t)).alias("x0"), F.lit(float(x)).alias("x1"), t.alias("text"))
+    # Words that stand side by side are one here, with spaces in it, where their places don't matter.
+    line = lambda top, *words: F.struct(F.lit(float(top)).alias("top"), F.array(*words).alias("words"))
+    said = lambda top, t: line(top, word(40, t))
+    closing = 10_000_000 + F.col("total") + F.when(key % 7 == 0, 100).otherwise(0)
+    number = F.concat(F.lit("500-"), F.lpad(key.cast("string"), 8, "0"))
+    heads = [(130, "Description"), (300, "Withdrawal"), (380, "Deposit"), (460, "Balance")]
+
+    def row(i: Column) -> Column:
+        top = 100.0 + 30.0 * i["l_linenumber"]
+        day = F.date_add("start", i["l_linenumber"])
+        shown = F.when(F.col("no_day") & (i["l_linenumber"] == 1), F.lit("99")).otherwise(F.date_format(day, "dd"))
+        date = F.when(F.col("sectioned"), F.concat(shown, F.date_format(day, "/MM/yyyy"))).otherwise(F.concat(shown, F.date_format(day, " MMM")))
+        money = F.when(i["is_out"], right(350, amount(i["minor"]))).otherwise(right(415, amount(i["minor"])))
+        return F.array(
+            F.struct(top.alias("top"), F.array(word(40, date), word(130, F.concat(F.lit("PART "), i["l_partkey"].cast("string"))), money).alias("words")),
+            F.struct((top + 9).alias("top"), F.array(word(130, F.concat(F.lit("line "), i["l_linenumber"].cast("string")))).alias("words")),
+        )
+
+    rows = F.flatten(F.transform("items", row))
+    end = F.date_format("end", "d MMM yyyy")
+    first = F.array(
+        said(10, F.concat(F.lit("Account Summary as at "), end)), said(20, F.concat(F.lit("Account No. "), number)), line(60, word(40, F.lit("Date")), *(word(x, F.lit(t)) for x, t in heads)),
+        line(70, word(130, F.lit("Balance Brought Forward")), right(495, F.lit("100,000.00"))),
+    )
+    second = F.array(
+        said(10, F.concat(F.date_format("start", "d MMM yyyy"), F.lit(" TO "), end)), said(20, F.concat(F.lit("Account No. "), number)),
+        line(60, word(40, F.lit("Date")), word(90, F.lit("Date")), word(130, F.lit("Description")), word(250, F.lit("Cheque")), *(word(x, F.lit(t)) for x, t in heads[1:])), line(70, word(130, F.lit("BALANCE B/F")), right(495, F.lit("100,000.00"))),
+    )
+    last = line(900, word(130, F.when(F.col("sectioned"), "Balance Carried Forward").otherwise("BALANCE C/F")), right(495, amount(closing)))
+    pages = d.select(key.cast("string").alias("doc"), F.posexplode(F.concat(F.when(F.col("sectioned"), first).otherwise(second), rows, F.array(last))).alias("line", "l"))
+    lines = pages.select("doc", F.lit(1).alias("page"), "line", "l.top", "l.words")
+    label = F.when(key % 11 == 0, "a letter").when(F.col("sectioned"), "account summary").otherwise("statement of account")
+    made = F.when(F.col("sectioned"), F.array(F.lit("quadient"), F.lit("inspire"))).otherwise(F.array(F.lit("streamline"), F.lit("pdfgen")))
+    return lines, d.select(key.cast("string").alias("doc"), F.array(label).alias("labels"), made.alias("tokens"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+
+
+def assessed(spark: SparkSession, sf_dir: str) -> ingest.Assessed:
+    """What those documents come to, beside a ledger without any."""
+    lines, documents = printed_documents(spark, sf_dir)
+    none = {n: spark.createDataFrame([], k.schema) for n, k in ingest.KINDS.items()}
+    return ingest.assess(settled(lines), documents, statement_forms.signatures(spark), statement_forms.FORMS, none, fold=False)

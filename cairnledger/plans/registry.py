@@ -636,3 +636,21 @@ def agg_12_marked_total(l: Ledger) -> DataFrame:  # noqa: E741
     (SELECT DISTINCT institution, doc, status FROM ({WHOLE}) JOIN account USING (account_id)) GROUP BY 1""")
 def agg_09_documents(l: Ledger) -> DataFrame:  # noqa: E741
     return statements.status_counts(statements.validate(*derived.combined_statements(l)), l.account)
+
+
+#: What printed orders are worth: of each, whether it is known, can be read, adds up, or is a statement that an earlier one was already.
+PRINTED = """printed AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc, CASE WHEN o_orderkey % 11 = 0 THEN 'unknown_layout' WHEN o_orderkey % 13 = 0 THEN 'parse_failed' WHEN o_orderkey % 7 = 0 THEN 'validation_failed' ELSE 'imported' END AS fate,
+    '500-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS ref, date_trunc('month', CAST(o_orderdate AS DATE)) AS start FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+
+
+@query("SELECT doc, fate FROM printed", PRINTED)
+def rtr_05_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders printed as statements of two forms: routed, read, checked and compared with what is held."""
+    return derived.assessed(spark, sf_dir).fates.select("doc", "fate")
+
+
+@query("""SELECT doc, ref || '||SGD' AS account_key, CAST(start AS DATE) + CAST(l_linenumber AS INTEGER) AS posted_date, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_minor,
+    'PART ' || CAST(l_partkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) AS description_norm FROM printed JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag FROM lineitem) ON CAST(l_orderkey AS VARCHAR) = doc WHERE fate = 'imported'""", PRINTED)
+def snk_01_imported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions that those documents bring to a ledger."""
+    return derived.assessed(spark, sf_dir).tables["txn"].select("doc", "account_key", "posted_date", "amount_minor", "description_norm")

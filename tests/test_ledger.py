@@ -299,8 +299,10 @@ def test_drift_and_worth(spark):
     m = spark.createDataFrame([(1, day(3), 100), (1, day(8), 20), (1, day(13), 20), (1, day(14), 5)], "account_id long, day date, moved_minor long")
     assert sorted((r["kind"], r["expected_minor"], r["actual_minor"]) for r in statements.drifts(b, m).collect()) == [("continuity", 100, 90), ("movement", 50, 40)]
     assert tuple(statements.clean(statements.drifts(b, m)).first()) == (False, 1, 1)
-    assert [tuple(r) for r in statements.growth(b, day(0)).collect()] == [("2026-06", day(13), 120, None)]
-    assert statements.growth_since(dt.date(2026, 6, 1)) == dt.date(2026, 6, 1) - dt.timedelta(days=961)
+    assert [tuple(r) for r in statements.growth(b, day(0)).collect()] == [(day(13), 120, 2)]
+    assert [tuple(r) for r in statements.growth(b, day(0), every="statement").orderBy("on").collect()] == [(day(6), 70, 2), (day(13), 120, 2)]
+    assert [tuple(r) for r in statements.growth(b, day(7)).collect()] == [(day(13), 150, 1)]  # what ended before the window is not known in it
+    assert statements.growth_since(dt.date(2026, 6, 1), 31) == dt.date(2026, 6, 1) - dt.timedelta(days=961)
     assert [tuple(r) for r in statements.net_worth(b).orderBy("on").collect()] == [(day(6), 70, 2), (day(13), 120, 2)]
 
 
@@ -458,7 +460,7 @@ def test_stream_inserts_once(spark, tmp_path):
 
 def test_decisions_by_category_id(spark):
     schema = "rule_id long, pattern string, category_id long, weight int, literal string, note string"
-    rules = spark.createDataFrame([(1, "KIOSK", 1, 0, None, "seed"), (2, "^A B$", 1, 100, "A B", "operator")], schema)
+    rules = spark.createDataFrame([(1, "KIOSK", 1, 0, None, "seed"), (2, "^A B$", 1, 100, "A B", "decided by operator")], schema)
     after = categories.decide(rules, spark.createDataFrame([("A B", 2), ("C.D", 1)], "name string, category_id long"))
     names = spark.createDataFrame([(1, "Eating"), (2, "Moving")], "category_id long, name string")
     listed = [tuple(r)[:4] for r in categories.named_rules(after, names).collect()]
