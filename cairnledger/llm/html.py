@@ -7,8 +7,12 @@ open block takes the label of the nearest decided neighbours: of both if they ag
 and the kept one if they are as near. A heading belongs to what follows it, so the neighbour before it counts as twice as far.
 On a page where no block is decided to be kept, the open blocks of a main region are, or else those that end as a sentence does.
 
+Words of a class are a feature where they are but part of a name: inside a main region, what stands in a `legal-analysis` or `side-by-side` is judged as
+what surrounds it if it holds a full paragraph, and goes if it does not. A title right before a main region is open, as are items of a list in it that are
+links, unless these are a list of nothing else.
+
 Defined results: a null or empty page has an empty text; markup that is cut off or never closed is read to its end;
-an unclosed button, menu, drawing or frame ends
+a table of pages without rows gives none; an unclosed button, menu, drawing or frame ends
 at the next block; pages are independent, so repeated rows give repeated results; nothing is dropped or cut inside a kept block,
 however long it is; deep nesting needs no recursion; other columns of the input are not touched.
 """
@@ -16,8 +20,9 @@ however long it is; deep nesting needs no recursion; other columns of the input
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pandas as pd
@@ -46,6 +51,12 @@ ASIDE_WORDS = frozenset(
 WEAK = frozenset("form header".split())
 STATES = frozenset("no not has have with without is".split())
 MAIN_WORDS = frozenset("article post entry story content".split())
+#: Of the aside words, those that decide wherever they stand in a name; and words that say nothing but where or in what an element is.
+HARD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments commentlist disqus respond reply "
+    "replies related recommended recommendations newsletter subscribe subscription signup login".split()
+)
+PLACE_WORDS = frozenset("site page global main top bottom left right primary secondary mobile sticky bar box wrap wrapper container inner outer section block area list item items link links row col column text".split())
 #: Frequent words of the languages at hand.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with you not but his her "
@@ -54,6 +65,9 @@ STOP_WORDS = frozenset(
     "el los las y que en una por con para su al lo como más pero sus esta es del se o".split()
 )
 SHORT, LONG, STOPS, LINKED, LIST = 40, 140, 0.25, 0.4, 0.9
+#: Links of a paragraph at most, and items that make a list of links.
+PARAGRAPH_LINKED, LIST_ITEMS = 0.25, 3
+TITLES = frozenset("h1 h2".split())
 HEADINGS, GONE = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("aside weak hidden".split())
 ENDS = (".", "!", "?", ":", '"', "'", "\u201d", "\xbb")
 
@@ -67,8 +81,11 @@ SPACE = re.compile(r"\s+")
 class Block:
     text: str
     linked: int
-    region: str  # "main", "aside", "weak" (aside by class words, form or header), "hidden" or "" for none
+    region: str  # "main", "aside", "weak" (aside by class words, form or header), "mixed" (such words in a name with others), "hidden" or "" for none
     heading: bool = False
+    title: bool = False
+    item: bool = False  # of a list
+    group: int = 0  # of the mixed region that it is in
 
 
 def words_of(names: str) -> set[str]:
@@ -102,7 +119,9 @@ def region_of(tag: str, attributes: str, around: str) -> str:
     if around == "weak" or tag in WEAK - ({"header"} if inside else set()):
         return "weak"
     if words & ASIDE_WORDS and tag not in ("html", "body") and not (inside and words & ASIDE_WORDS <= {"header"}):
-        return "weak"
+        return "mixed" if inside and not words & HARD_WORDS and words - ASIDE_WORDS - PLACE_WORDS else "weak"
+    if around == "mixed":
+        return around
     return "main" if words & MAIN_WORDS and tag in ("div", "section", "td") else around
 
 
@@ -121,15 +140,17 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with the number of linked characters and the region of each."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # open elements and the regions inside them
+    counts: Counter[str] = Counter()  # of the open elements by name, so that an end tag without a begin costs nothing
     held: list[str] = []
-    linked = links = 0
+    linked = links = groups = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = SPACE.sub(" ", unescape("".join(held))).strip()
             if text:
-                out.append(Block(text, min(linked, len(text)), stack[-1][1] if stack else "", any(t in HEADINGS for t, _ in stack[-3:])))
+                near = [t for t, _ in stack[-3:]]
+                out.append(Block(text, min(linked, len(text)), stack[-1][1] if stack else "", any(t in HEADINGS for t in near), any(t in TITLES for t in near), "li" in near, groups))
             held.clear()
         linked = 0
 
@@ -154,9 +175,11 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            while counts[tag]:  # each element is closed once, by its own end or by that of one around it
+                closed, _ = stack.pop()
+                counts[closed] -= 1
+                if closed == tag:
+                    break
             continue
         if tag in SILENT:
             if not m[3].rstrip().endswith("/"):
@@ -167,9 +190,14 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             links += 1
         if tag not in VOID and tag != "p" and not m[3].rstrip().endswith("/"):
-            stack.append((tag, region_of(tag, m[3], stack[-1][1] if stack else "")))
-        elif tag == "p" and m[3] and (region := region_of(tag, m[3], stack[-1][1] if stack else "")) in ("aside", "weak", "hidden"):
+            around = stack[-1][1] if stack else ""
+            stack.append((tag, region_of(tag, m[3], around)))
+            counts[tag] += 1
+            groups += stack[-1][1] == "mixed" != around
+        elif tag == "p" and m[3] and (region := region_of(tag, m[3], stack[-1][1] if stack else "")) in ("aside", "weak", "hidden", "mixed"):
+            groups += region == "mixed" != (stack[-1][1] if stack else "")
             stack.append((tag, region))
+            counts[tag] += 1
     flush()
     return out
 
@@ -179,11 +207,16 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
+def full_paragraph(b: Block) -> bool:
+    return not b.heading and len(b.text) >= LONG and b.linked <= PARAGRAPH_LINKED * len(b.text) and stop_density(b.text) >= STOPS
+
+
 def first_pass(b: Block, has_main: bool = False) -> bool | None:
     """Kept, dropped, or None if the block is too short or too mixed to tell. In a main region fewer stop words and more links
-    will do; outside it, on a page that has one, only a long block with many stop words is kept."""
+    will do; outside it, on a page that has one, only a long block with many stop words is kept. A note of copyright is dropped, but in a main
+    region only if it is no sentence."""
     density, main = b.linked / len(b.text), b.region == "main"
-    if b.text[0] == "\xa9":
+    if b.text[0] == "\xa9" and not (main and (len(b.text) >= LONG or b.text.endswith(ENDS))):
         return False
     if density > LINKED:
         return None if main else False
@@ -214,10 +247,35 @@ def second_pass(labels: list[bool | None], headings: list[bool] | None = None) -
     return out
 
 
+def settled_regions(blocks: list[Block]) -> list[Block]:
+    """Blocks whose mixed regions are main if they hold a full paragraph, and else weak."""
+    full = {b.group for b in blocks if b.region == "mixed" and full_paragraph(b)}
+    return [replace(b, region="main" if b.group in full else "weak") if b.region == "mixed" else b for b in blocks]
+
+
+def candidates_of(blocks: list[Block]) -> list[Block]:
+    """The blocks of a page that may be main text. On a page with a main region, lists of links in it, blocks of links that are no list's items, and what is
+    dropped outside it are not even neighbours of its text."""
+    inside = [b for b in blocks if b.region not in GONE]
+    if not any(b.region == "main" for b in inside):
+        return inside
+    links = [b.region == "main" and not b.heading and b.linked > LIST * len(b.text) for b in inside]
+    in_list, n = set(), 0
+    for i in range(len(inside) + 1):
+        if i < len(inside) and links[i]:
+            n += 1
+            continue
+        if n >= LIST_ITEMS or n and not any(b.item for b in inside[i - n : i]):
+            in_list.update(range(i - n, i))
+        n = 0
+    begins = lambda i: inside[i].title and i + 1 < len(inside) and inside[i + 1].region == "main"
+    return [b for i, b in enumerate(inside) if i not in in_list and (b.region == "main" or begins(i) or first_pass(b, True))]
+
+
 def kept_blocks(blocks: list[Block]) -> list[bool]:
     """Whether each block of a page, none of which is in a region that goes, is main text."""
     has_main = any(b.region == "main" for b in blocks)
-    labels = [first_pass(b, has_main) for b in blocks]
+    labels = [None if b.title and has_main and b.region != "main" else first_pass(b, has_main) for b in blocks]
     if True not in labels:
         sure = (lambda b: b.region == "main") if has_main else (lambda b: b.text.endswith(ENDS))
         labels = [True if label is None and sure(b) else label for label, b in zip(labels, blocks, strict=True)]
@@ -227,14 +285,11 @@ def kept_blocks(blocks: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The kept blocks. If only links stand outside the regions that go, words of classes, forms and headers count no more, and what they
     surround is judged by its text."""
-    blocks = blocks_of(page or "")
-    # On a page with a main region, lists of links in it and what is dropped outside it are no neighbours of its text.
-    has_main = any(b.region == "main" for b in blocks)
-    listed = lambda b: not b.heading and b.linked > LIST * len(b.text) if b.region == "main" else not first_pass(b, True)
-    candidates = [b for b in blocks if b.region not in GONE and not (has_main and listed(b))]
+    blocks = settled_regions(blocks_of(page or ""))
+    candidates = candidates_of(blocks)
     kept = kept_blocks(candidates)
     if not any(kept) and all(b.linked for b in candidates):
-        candidates = [Block(b.text, b.linked, "", b.heading) if b.region == "weak" else b for b in blocks if b.region not in GONE - {"weak"}]
+        candidates = [replace(b, region="") if b.region == "weak" else b for b in blocks if b.region not in GONE - {"weak"}]
         kept = kept_blocks(candidates)
     return "\n".join(b.text for b, stays in zip(candidates, kept, strict=True) if stays)
 
