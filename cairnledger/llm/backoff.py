@@ -79,6 +79,10 @@ def asked(batches: DataFrame, parts: int) -> DataFrame:
     return batches.groupBy("batch").applyInArrow(run, "part int, batch int, hashes binary, counts binary")
 
 
+def checksum(hashes: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(hashes, initial=np.uint64(len(hashes))).view(np.int64))
+
+
 def answered(requests: DataFrame) -> DataFrame:
     """The corpus counts of each request's n-grams, in the request's order."""
 
@@ -88,9 +92,10 @@ def answered(requests: DataFrame) -> DataFrame:
         distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(place, counts, len(distinct)).astype(np.int64)[place]
         each = np.split(total, np.cumsum([len(h) for h in hashes])[:-1])
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "totals": pa.array([t.tobytes() for t in each], pa.binary())})
+        checks = pa.array([checksum(h) for h in hashes], pa.int64())
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "totals": pa.array([t.tobytes() for t in each], pa.binary()), "asked_for": checks})
 
-    return requests.groupBy("part").applyInArrow(run, "batch int, part int, totals binary")
+    return requests.groupBy("part").applyInArrow(run, "batch int, part int, totals binary, asked_for long")
 
 
 def scored(each: list[tuple[np.ndarray, np.ndarray]], distinct: np.ndarray, totals: np.ndarray, corpus: int) -> Iterator[tuple[int, float | None]]:
@@ -126,8 +131,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
         each, distinct, _ = batch_grams(texts.column("__text").to_pylist())
-        parts = sorted(zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, np.int64) for _, t in parts)])
+        answers_of = sorted(zip(*(totals.column(c).to_pylist() for c in ("part", "totals", "asked_for")), strict=True))
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, np.int64) for _, t, _ in answers_of)])
+        part, at = by_part(distinct, n)
+        asked_now = [(int(part[a]), checksum(distinct[a:b])) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(distinct)], strict=False)] if len(distinct) else []
+        if asked_now != [(p, c) for p, _, c in answers_of]:
+            raise RuntimeError("the rows came in another order than before: write the documents as a table first")
         rows = list(scored(each, distinct, counts, corpus))
         return pa.table(
             {

@@ -66,9 +66,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes the intermediate tables that operators of this application have written. Results that have not been read or written to
+    """Removes the intermediate tables and checkpoints that operators of this application have written. Results that have not been read or written to
     their end can't be after this; call it when they have."""
     remove(spark, own_folder(spark))
+    if held := spark.sparkContext.getCheckpointDir():  # the context's own folder below the one that was set
+        remove(spark, held)
+        spark.sparkContext.setCheckpointDir(held.rpartition("/")[0])
 
 
 def as_table(df: DataFrame) -> DataFrame:

@@ -58,6 +58,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
+def branches(a: Column, b: Column, digest: int) -> Column:
+    """The children of two nodes that differ: (i, a, b), null where one side has none. Those that are alike from the front and from the back on are not
+    looked into, so an insertion differs in what is inserted only; between them, children are paired in order."""
+    alike = lambda x, y: F.equal_null(F.left(x, F.lit(digest)), F.left(y, F.lit(digest)))
+
+    def ends(x: Column) -> Column:
+        least = F.least(F.size(x["a"]), F.size(x["b"]))
+        run = lambda same: F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.when((i > least) | ~same(i), i - 1)), lambda i: i.isNotNull())), least)
+        front = run(lambda i: alike(F.get(x["a"], i - 1), F.get(x["b"], i - 1)))
+        back = run(lambda i: alike(F.get(x["a"], F.size(x["a"]) - i), F.get(x["b"], F.size(x["b"]) - i)))
+        return let(F.struct(front.alias("f"), back.alias("k"), least.alias("n")), lambda e: between(x, e["f"], F.least(e["k"], e["n"] - e["f"])))
+
+    def between(x: Column, front: Column, back: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x["a"]), F.size(x["b"]))), lambda i: (i >= front) & (i < F.greatest(F.size(x["a"]), F.size(x["b"])) - back))
+        child = lambda side, i: F.when(i < F.size(x[side]) - back, F.get(x[side], i))
+        pairs = F.transform(places, lambda i: F.struct(i.alias("i"), child("a", i).alias("a"), child("b", i).alias("b")))
+        return F.filter(pairs, lambda p: ~alike(p["a"], p["b"]))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ends)
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Where two texts with these fingerprints differ, as an array of (section, paragraph, piece, in_a, in_b): the trees are walked down from the roots
+    along differing digests only. Places count from 0 in their parent; a piece that only one text has is not in the other. A blank paragraph
+    has no piece: if that is the difference, piece is null."""
+    split = lambda t, by: F.filter(F.split(F.coalesce(t, F.lit("")), by), lambda x: x != "")
+    sections = lambda f: split(F.substring_index(f, "/", -1), ";")
+    paragraphs = lambda s: split(F.regexp_extract(s, r"\((.*)\)", 1), ",")
+    pieces = lambda p: split(F.substring(p, INNER + 1, 1 << 30), r"\.")
+    none = F.lit(None).cast("int")
+    place = lambda s, p, i, x: F.struct(s.alias("section"), p.alias("paragraph"), i.alias("piece"), x["a"].isNotNull().alias("in_a"), x["b"].isNotNull().alias("in_b"))
+
+    def in_paragraph(s: Column, p: Column) -> Column:
+        own = branches(pieces(p["a"]), pieces(p["b"]), LEAF)
+        return let(own, lambda found: F.when(F.size(found) > 0, F.transform(found, lambda l: place(s["i"], p["i"], l["i"], l))).otherwise(F.array(place(s["i"], p["i"], none, p))))
+
+    in_section = lambda s: F.flatten(F.transform(branches(paragraphs(s["a"]), paragraphs(s["b"]), INNER), lambda p: in_paragraph(s, p)))
+    same_root = F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1)
+    walked = F.flatten(F.transform(branches(sections(a), sections(b), INNER), in_section))
+    return F.when(~same_root, walked).otherwise(F.array().cast("array<struct<section:int,paragraph:int,piece:int,in_a:boolean,in_b:boolean>>"))
+
+
 def edited(text: Column, following: Column) -> Column:
     """text with its last floor(n/2) code points replaced by as many first ones of the following text, or all it has."""
     half = F.floor(F.length(text) / 2).cast("int")

@@ -10,13 +10,14 @@ are joined on full sets by prefix filtering, so that no pair of a bucket that co
 uncompared. Shingles of a single component can't be common to two, so they come first in the order of the prefixes, and a family that
 shares a template meets on the shingles of its pairs.
 
-With the defaults a pair at the threshold of 0.8 misses all buckets with probability 3e-7, pairs above it less often; the exact join
-doesn't depend on hubs. Full sets are made once, for the texts that share a bucket, in one shuffle of distinct texts.
+With the defaults a pair at the threshold of 0.8 misses all buckets with probability 3e-7, pairs above it less often; the join
+doesn't depend on hubs. It is exact but for one bound: a pair of FILLED shingles or more is passed over if more than MISMATCHES of its one-bit sketches'
+BITS differ, which a pair at the threshold does with a probability of 2e-9 (36 of 128 bits, where a tenth differs). Full sets are made once, for the texts that share a bucket, in one shuffle of distinct texts.
 
 Defined results: a text with fewer words than a shingle has its whole word sequence as its one shingle; a null or
 empty text has none and is linked with nothing; equal rows are linked; a null id can't name a component: its row gets
 the smallest id of the others in it, or null if there is none; very long texts are whole sets; of rows that agree in id and
-text the kept one is the least by its other columns, so reruns agree; other columns of the input are not touched.
+text the kept one is the least by its other columns, so reruns agree; an empty table gives none; other columns of the input are not touched.
 """
 
 from __future__ import annotations

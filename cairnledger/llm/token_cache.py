@@ -6,7 +6,8 @@ contents to the stored counts, encodes each distinct miss once, appends the new
 
 Defined results: a null text counts as an empty text and has no tokens; equal texts are encoded once; an append
 that is repeated after a lost executor may store a digest twice, so readers take one count for each digest (the
-counts are equal, being a function of text and tokenizer); other columns of the input are not touched.
+counts are equal, being a function of text and tokenizer); a text longer than a slice is a slice of its own and stays whole; an empty
+table gives none, and leaves the cache as it was; other columns of the input are not touched.
 """
 
 from __future__ import annotations
