@@ -247,14 +247,14 @@ def printed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     # Words that stand side by side are one here, with spaces in it, where their places don't matter.
     line = lambda top, *words: F.struct(F.lit(float(top)).alias("top"), F.array(*words).alias("words"))
     said = lambda top, t: line(top, word(40, t))
-    closing = 10_000_000 + F.col("total") + F.when(key % 7 == 0, 100).otherwise(0)
+    closing = 100_000_000 + F.col("total") + F.when(key % 7 == 0, 100).otherwise(0)
     number = F.concat(F.lit("500-"), F.lpad(key.cast("string"), 8, "0"))
     heads = [(130, "Description"), (300, "Withdrawal"), (380, "Deposit"), (460, "Balance")]
 
-    def row(i: Column) -> Column:
-        top = 100.0 + 30.0 * i["l_linenumber"]
+    def row(i: Column, k: Column) -> Column:
+        top = 100.0 + 30.0 * k
         day = F.date_add("start", i["l_linenumber"])
-        shown = F.when(F.col("no_day") & (i["l_linenumber"] == 1), F.lit("99")).otherwise(F.date_format(day, "dd"))
+        shown = F.when(F.col("no_day") & (k == 0), F.lit("99")).otherwise(F.date_format(day, "dd"))
         date = F.when(F.col("sectioned"), F.concat(shown, F.date_format(day, "/MM/yyyy"))).otherwise(F.concat(shown, F.date_format(day, " MMM")))
         money = F.when(i["is_out"], right(350, amount(i["minor"]))).otherwise(right(415, amount(i["minor"])))
         return F.array(
@@ -266,11 +266,11 @@ def printed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     end = F.date_format("end", "d MMM yyyy")
     first = F.array(
         said(10, F.concat(F.lit("Account Summary as at "), end)), said(20, F.concat(F.lit("Account No. "), number)), line(60, word(40, F.lit("Date")), *(word(x, F.lit(t)) for x, t in heads)),
-        line(70, word(130, F.lit("Balance Brought Forward")), right(495, F.lit("100,000.00"))),
+        line(70, word(130, F.lit("Balance Brought Forward")), right(495, F.lit("1,000,000.00"))),
     )
     second = F.array(
         said(10, F.concat(F.date_format("start", "d MMM yyyy"), F.lit(" TO "), end)), said(20, F.concat(F.lit("Account No. "), number)),
-        line(60, word(40, F.lit("Date")), word(90, F.lit("Date")), word(130, F.lit("Description")), word(250, F.lit("Cheque")), *(word(x, F.lit(t)) for x, t in heads[1:])), line(70, word(130, F.lit("BALANCE B/F")), right(495, F.lit("100,000.00"))),
+        line(60, word(40, F.lit("Date")), word(90, F.lit("Date")), word(130, F.lit("Description")), word(250, F.lit("Cheque")), *(word(x, F.lit(t)) for x, t in heads[1:])), line(70, word(130, F.lit("BALANCE B/F")), right(495, F.lit("1,000,000.00"))),
     )
     last = line(900, word(130, F.when(F.col("sectioned"), "Balance Carried Forward").otherwise("BALANCE C/F")), right(495, amount(closing)))
     pages = d.select(key.cast("string").alias("doc"), F.posexplode(F.concat(F.when(F.col("sectioned"), first).otherwise(second), rows, F.array(last))).alias("line", "l"))
