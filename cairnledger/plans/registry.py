@@ -654,3 +654,56 @@ def rtr_05_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_01_imported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transactions that those documents bring to a ledger."""
     return derived.assessed(spark, sf_dir).tables["txn"].select("doc", "account_key", "posted_date", "amount_minor", "description_norm")
+
+
+@query(r"""SELECT '^' || regexp_replace(name, '([^A-Za-z0-9_])', '\\\1', 'g') || '$' AS pattern, any_value(category) AS category, 0 AS weight, name AS literal FROM votes WHERE category <> 'Nonsense'
+    GROUP BY name HAVING count(DISTINCT category) = 1 AND any_value(category) <> 'Others'""", CTES, VOTES)
+def cat_12_consensus_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for the shops that all kinds of event, as models, put in one category."""
+    return categories.consensus_rules(categories.consolidate(derived.model_votes(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey, CAST(m // 100 AS VARCHAR) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') || '0' AS shown FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders)")
+def mny_03_from_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = derived.read(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", money.from_minor(F.round(F.col("o_totalprice") * 100).cast("long"), F.lit("SGD")).cast("string").alias("shown"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate AS DATE) + 30 AS last_day FROM orders")
+def dat_05_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed periods of orders, with three kinds of dashes, read back."""
+    day, dash = F.to_date("o_orderdate"), F.element_at(F.array(F.lit("-"), F.lit("\u2013"), F.lit("\u2014")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    printed = F.concat_ws(" ", F.date_format(day, "d MMM yyyy"), dash, F.date_format(F.date_add(day, 30), "d MMMM yyyy"))
+    found = dates.period(printed)
+    return derived.read(spark, sf_dir, "orders").select("o_orderkey", found["start"].alias("first_day"), found["end"].alias("last_day"))
+
+
+@query("""SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS sha256, key AS statement_key, CASE WHEN o_orderkey % 6 = 0 THEN 'known' WHEN NOT EXISTS (SELECT 1 FROM k s WHERE s.o_orderkey % 3 = 0 AND s.key = n.key) THEN 'new'
+    WHEN EXISTS (SELECT 1 FROM k s WHERE s.o_orderkey % 3 = 0 AND s.key = n.key AND s.o_orderpriority = n.o_orderpriority) THEN 'duplicate' ELSE 'conflicting' END AS fate FROM k n""",
+    "k AS (SELECT *, CAST(o_custkey AS VARCHAR) || strftime(CAST(o_orderdate AS DATE), ' %Y') AS key FROM orders)")
+def wrt_01_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as statements of a customer and year, their priorities as contents; every third is held, half of these under another file."""
+    o = derived.read(spark, sf_dir, "orders").withColumn("key", F.concat_ws(" ", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy")))
+    named = lambda p: F.concat(p, F.col("o_orderkey").cast("string")).alias("sha256")
+    rest = ["sha256", F.col("key").alias("statement_key"), F.col("o_orderpriority").alias("content")]
+    held = o.where("o_orderkey % 3 = 0").withColumn("sha256", named(F.when(F.col("o_orderkey") % 2 == 0, "f").otherwise("g"))).select(*rest)
+    return identity.arrival(o.withColumn("sha256", named(F.lit("f"))).select(*rest), held)
+
+
+@query("""SELECT account_key, min(institution) AS institution, min(kind) AS kind FROM (SELECT CAST(c_custkey % 500 AS VARCHAR) AS account_key, c_mktsegment AS institution, CASE WHEN c_acctbal < 0 THEN 'card' ELSE 'deposit' END AS kind FROM customer)
+    WHERE CAST(account_key AS INTEGER) % 3 <> 0 GROUP BY 1""")
+def wrt_03_new_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as accounts that arrive more than once; every third is stored."""
+    c = derived.read(spark, sf_dir, "customer")
+    key = (F.col("c_custkey") % 500).cast("string").alias("account_key")
+    arriving = c.select(key, F.col("c_mktsegment").alias("institution"), F.when(F.col("c_acctbal") < 0, "card").otherwise("deposit").alias("kind"))
+    return identity.new_accounts(arriving, arriving.where("CAST(account_key AS INT) % 3 = 0").select("account_key").distinct())
+
+
+@query("""SELECT user_id, k, value FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value, event_type, row_number() OVER (PARTITION BY user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) ORDER BY ts DESC, event_id DESC) AS n FROM events)
+    WHERE n = 1 AND event_type <> 'error'""")
+def wrt_04_latest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of judgements: the last of each user and number counts, and an error takes it back."""
+    e = derived.read(spark, sf_dir, "events")
+    log = e.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "value", F.struct("ts", "event_id").alias("at"), (F.col("event_type") == "error").alias("deleted"))
+    return identity.latest(log, ["user_id", "k"]).drop("at")
