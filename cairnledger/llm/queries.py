@@ -133,6 +133,12 @@ l AS (SELECT *, list_distinct(regexp_extract_all(a, '\.([0-9a-f]{6})', 1)) AS la
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
     CASE WHEN a = b THEN 1.0::DOUBLE ELSE len(list_intersect(la, lb)) / CAST(greatest(len(la), len(lb), 1) AS DOUBLE) END AS near_edited,
     CASE WHEN a = c THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc)) / CAST(greatest(len(la), len(lc), 1) AS DOUBLE) END AS near_next FROM x JOIN l USING (at_row)""",
+    "op11_warc": r"""WITH
+p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NULL OR page_id <> first THEN first END AS refers_to, url, CAST(NULL AS VARCHAR) AS problem FROM p JOIN f USING (html)""",
     "op7_backoff": f"""WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
 n AS (SELECT CAST(coalesce(sum(len(ws)), 0) AS DOUBLE) AS n FROM d),
