@@ -191,6 +191,39 @@ def test_great_runs_settle_alike_by_rounds(spark):
     assert pairs(transfers.find_transfers(rows)) == want and pairs(transfers.find_transfers(rows, most_pairs=0)) == want
 
 
+def test_popular_amounts_form_no_pairs_by_days(spark, monkeypatch):
+    """What is written on the way grows with the legs of an amount, not with their pairs; candidates are not dealt anew."""
+    rng, kept = random.Random(5), []
+    plain = [(n, rng.randint(1, 90), day(rng.randint(0, 9)), -100 if n % 2 else 100, "deposit") for n in range(600)] + [(900, 1, day(200), -100, "deposit"), (901, 2, day(203), 100, "deposit")]
+    rows = legs(spark, [(i, a, d, m, ("", k, [])) for i, a, d, m, k in plain])
+    keep = transfers.settled
+    monkeypatch.setattr(transfers, "settled", lambda df: kept.append(df.count()) or keep(df))
+    found = transfers.find_transfers(rows)
+    linked = pairs(found)
+    assert linked == settled(plain, transfers.Reach())
+    want, gone = {}, {x for a, b, _ in linked for x in (a, b)}
+    for o in (r for r in plain if r[3] < 0 and r[0] not in gone):
+        apart = {i[0]: abs((o[2] - i[2]).days) for i in plain if i[3] > 0 and i[1] != o[1] and i[0] not in gone}
+        nearest = min(apart.values())
+        want[o[0]] = sorted(i for i, n in apart.items() if n == nearest)
+    assert {r["txn_id"]: r["candidates"] for r in transfers.ambiguous(rows, found).collect()} == {o: i for o, i in want.items() if len(i) > 1}
+    assert [tuple(r) for r in transfers.lone_pairs(rows).select("out_txn_id", "in_txn_id").collect()] == [(900, 901)]
+    assert max(kept) <= 2 * len(plain)
+    assert "Aggregate" not in transfers.candidates(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lone_pairs_have_one_candidate_by_any_evidence(spark):
+    rng = random.Random(8)
+    texts = ["", "", "", *(f"to {a:010d}" for a in range(1, 5))]
+    rows = legs(spark, [(n, a, day(rng.randint(0, 700)), rng.choice([-1, 1]) * rng.choice([100, 200, 300]), (rng.choice(texts), "card" if a == 4 else "deposit", [])) for n, a in enumerate(rng.choices([1, 2, 3, 4], k=120))])
+    for reach in (transfers.Reach(min_days=1, max_days=2, card_days=9),):
+        found = [(r["out_txn_id"], r["in_txn_id"]) for r in transfers.candidates(rows, reach).collect()]
+        outs, ins = Counter(o for o, _ in found), Counter(i for _, i in found)
+        want = sorted((o, i) for o, i in found if outs[o] == ins[i] == 1)
+        assert want
+        assert sorted((r["out_txn_id"], r["in_txn_id"]) for r in transfers.lone_pairs(rows, reach).collect()) == want
+
+
 def test_a_named_card_is_evidence(spark):
     rows = [(1, 1, day(0), -100, ("bill payment 4111 1111 1111 1234", "deposit", [])), (2, 2, day(25), 100, ("", "card", ["4000000000001234"])), (3, 3, day(1), 100, None)]
     assert pairs(transfers.find_transfers(legs(spark, rows))) == [(1, 2, transfers.EVIDENCE[1])]
