@@ -191,6 +191,24 @@ def test_great_runs_settle_alike_by_rounds(spark):
     assert pairs(transfers.find_transfers(rows)) == want and pairs(transfers.find_transfers(rows, most_pairs=0)) == want
 
 
+def test_charges_of_a_day_share_their_candidates(spark):
+    """Days meet inflows, of which a day has no more than the limit; charges join what was found for their day."""
+    import cairnledger.sources.driver_tables as tables
+
+    l = tables.ledger(spark, "/root/testdata/sf0.01")
+    charges = l.txn.where("amount_minor < 0 AND txn_id % 97 = 0").select("txn_id")
+    income = [tuple(r) for r in spending.spending_base(l, "in").select("txn_id", "posted_date").collect()]
+    dated = [tuple(r) for r in l.txn.join(charges, "txn_id", "left_semi").select("txn_id", "posted_date").collect()]
+    near = lambda d, days, limit: sorted((abs((d - on).days), -i) for i, on in income if days is None or abs((d - on).days) <= days)[:limit]
+    of_day = {(d, days): near(d, days, 5) for d in {d for _, d in dated} for days in (1, None)}
+    for days in (1, None):
+        found = spending.payback_candidates(l, charges, days=days, limit=5)
+        want = sorted((c, *x) for c, d in dated for x in of_day[d, days])
+        assert sorted((r["charge_id"], r["days_apart"], -r["txn_id"]) for r in found.collect()) == want
+        assert "Window [row_number() windowspecdefinition(charge_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(posted_date" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_series_pass_no_rows_through_the_driver(spark, monkeypatch):
     """Joins with what grows with the rows are dealt by key, however small they are estimated."""
     plans, keep = [], recurrence.settled
