@@ -209,6 +209,15 @@ def test_charges_of_a_day_share_their_candidates(spark):
         assert "windowspecdefinition(posted_date" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_growth_knows_all_accounts(spark):
+    from cairnledger.plans import registry
+    from cairnledger.sources.driver_tables import ledger
+
+    path = "/root/testdata/sf0.001"
+    last = max(tuple(r) for r in registry.QUERIES["nw_04_growth"](spark, path).select("on", "accounts_known").collect())
+    assert last[1] == ledger(spark, path).balance.select("account_id").distinct().count()
+
+
 def test_series_pass_no_rows_through_the_driver(spark, monkeypatch):
     """Joins with what grows with the rows are dealt by key, however small they are estimated."""
     plans, keep = [], recurrence.settled
