@@ -639,3 +639,17 @@ def test_rows_of_removed_and_reread_documents(spark):
     keyed = "txn_id long, dedupe_key string"
     restored, dropped = judgements.reapplied(frame([(1, "Dining"), (2, "Travel")], "old_id long, category string"), frame([(1, "k1"), (2, "k2")], keyed), frame([(7, "k1")], keyed))
     assert [(r["txn_id"], r["category"]) for r in restored.collect()] == [(7, "Dining")] and [r["category"] for r in dropped.collect()] == ["Travel"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_is_cut_once_and_rows_are_dealt_once(spark):
+    lines = derived.printed_statements(spark, SF)
+    assert plan(layout.marked(layout.cut(lines, layout.header_columns(lines, layout.DEPOSIT)), layout.DEPOSIT)).count("map_from_arrays") == 1
+    assert plan(layout.statement_rows(lines, layout.DEPOSIT)).count("map_from_arrays") == 1
+    printed = spark.createDataFrame([("d", 1, 0, 1.0, "lead", False), ("d", 1, 1, 2.0, "row", True), ("d", 1, 2, 50.0, "far", False), ("d", 2, 0, 1.0, "other", True)], "doc string, page int, line int, top double, text string, value boolean")
+    rows = layout.rows_of(printed, carry=("value",))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in rows.orderBy("pos").collect()] == [("d", 1, 1, 1, 2.0, "lead row", True), ("d", 2, 2, 0, 1.0, "other", True)]
