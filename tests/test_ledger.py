@@ -653,3 +653,21 @@ def test_a_line_is_cut_once_and_rows_are_dealt_once(spark):
     rows = layout.rows_of(printed, carry=("value",))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in rows.orderBy("pos").collect()] == [("d", 1, 1, 1, 2.0, "lead row", True), ("d", 2, 2, 0, 1.0, "other", True)]
+
+
+def test_patterns_meet_names_and_not_rows(spark):
+    rows = spark.range(9).selectExpr("concat('SHOP', ' ' || id % 2) AS name", "-id AS amount_minor", "'pos SHOP' AS description")
+    rules = derived.part_rules(spark).limit(0)
+    assert "Range" not in plan(categories.review_queue(rows, rules))
+    assert [tuple(r) for r in categories.review_queue(rows, rules).select("name", "n_rows", "value_minor").collect()] == [("SHOP 0", 5, 20), ("SHOP 1", 4, 16)]
+    assert plan(categories.propose(rows, rules, rules)).count("Range") == 2  # for the median only
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-3, 3), st.integers(0, 2**40))), min_size=1, max_size=30))
+def test_upper_medians(spark, rows):
+    made = categories.upper_median_by(spark.createDataFrame(rows, "k string, v long"), "k", "v")
+    order = lambda v: (v is not None, v)
+    want = {k: sorted((v for x, v in rows if x == k), key=order) for k in {k for k, _ in rows} - {None}}
+    assert {tuple(r) for r in made.collect()} == {(k, v[len(v) // 2]) for k, v in want.items()}
+    assert "row_number" not in plan(made)
