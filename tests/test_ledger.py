@@ -11,8 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairnledger.functions import dates, money, text
-from cairnledger.operators import categories, forms, geometry, identity, judgements, layout, recurrence, spending, statements, transfers
-from cairnledger.operators.grouped import settled
+from cairnledger.operators import categories, forms, geometry, grouped, identity, judgements, layout, recurrence, spending, statements, transfers
 from cairnledger.plans import derived
 from cairnledger.sources import archive, files, statement_forms
 from cairnledger.sources.driver_tables import Ledger, ledger
@@ -677,6 +676,6 @@ def test_upper_medians(spark, rows):
 def test_lines_of_a_form_are_cut_without_a_join(spark):
     form = statement_forms.FORMS["two dates"]
     lines, _ = derived.printed_documents(spark, SF)
-    content = settled(forms.sectioned(lines.where("doc % 2 = 1").withColumn("t", forms.line_text(F.col("words"))), form))
+    content = grouped.settled(forms.sectioned(lines.where("doc % 2 = 1").withColumn("t", forms.line_text(F.col("words"))), form))
     rows = forms.assembled(content, form, "", form.tables[""])
     assert "Join" not in plan(rows) and rows.limit(1).count() == 1
