@@ -679,3 +679,18 @@ def test_lines_of_a_form_are_cut_without_a_join(spark):
     content = grouped.settled(forms.sectioned(lines.where("doc % 2 = 1").withColumn("t", forms.line_text(F.col("words"))), form))
     rows = forms.assembled(content, form, "", form.tables[""])
     assert "Join" not in plan(rows) and rows.limit(1).count() == 1
+
+
+def dealt_once(df):
+    """Whether rows are dealt once, and not grouped before."""
+    _, *below = df._jdf.queryExecution().executedPlan().toString().split("Exchange ")
+    return len(below) == 1 and "Aggregate" not in below[0]
+
+
+def test_words_are_dealt_once_for_cells(spark):
+    assert dealt_once(geometry.cells(derived.placed_words(spark, SF), derived.BANDS))
+    odd = [("d", 1, 20.0, -0.0, "b"), ("d", 1, 10.0, 0.0, "a"), ("d", 1, 95.0, 0.0, "c"), ("d", 2, 20.0, 0.0, None), (None, 1, 20.0, None, "n"), ("d", 1, None, 0.0, "out"), ("d", 1, 200.0, 0.0, "out")]
+    words = spark.createDataFrame(odd, "doc string, page int, x0 double, top double, text string").repartition(3)
+    got = {tuple(r) for r in geometry.cells(words, [("low", 0.0, 50.0), ("high", 40.0, 100.0), ("low", 90.0, 99.0)]).collect()}
+    assert got == {("d", 1, 0.0, "low", "a b c"), ("d", 2, 0.0, "low", ""), (None, 1, None, "low", "n")}
+    assert geometry.cells(words, []).count() == 0
