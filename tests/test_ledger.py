@@ -694,3 +694,11 @@ def test_words_are_dealt_once_for_cells(spark):
     got = {tuple(r) for r in geometry.cells(words, [("low", 0.0, 50.0), ("high", 40.0, 100.0), ("low", 90.0, 99.0)]).collect()}
     assert got == {("d", 1, 0.0, "low", "a b c"), ("d", 2, 0.0, "low", ""), (None, 1, None, "low", "n")}
     assert geometry.cells(words, []).count() == 0
+
+
+def test_words_are_dealt_once_for_lines(spark):
+    assert dealt_once(geometry.lines(derived.placed_words(spark, SF)))
+    odd = [("d", 1, 10.0, 8.5, "c"), ("d", 1, 30.0, 0.0, "b"), ("d", 1, 20.0, 4.0, "a"), ("d", 1, None, 4.5, None), ("d", 1, 5.0, 4.5, "x"), ("d", 1, 1.0, None, "no height"), ("d", 2, 1.0, 3.0, None), (None, 1, 1.0, 1.0, "n")]
+    words = spark.createDataFrame(odd, "doc string, page int, x0 double, top double, text string").repartition(3)
+    want = {("d", 1, -1, None, "no height"), ("d", 1, 0, 0.0, "a b"), ("d", 1, 1, 4.5, "x c"), ("d", 2, 0, 3.0, ""), (None, 1, 0, 1.0, "n")}
+    assert {tuple(r) for r in geometry.lines(words).collect()} == want
