@@ -655,6 +655,11 @@ def test_a_line_is_cut_once_and_rows_are_dealt_once(spark):
     assert [tuple(r) for r in rows.orderBy("pos").collect()] == [("d", 1, 1, 1, 2.0, "lead row", True), ("d", 2, 2, 0, 1.0, "other", True)]
 
 
+def test_headers_are_dealt_and_not_broadcast(spark):
+    lines = derived.printed_statements(spark, SF)
+    assert "Broadcast" not in layout.statement_rows(lines, layout.DEPOSIT)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_patterns_meet_names_and_not_rows(spark):
     rows = spark.range(9).selectExpr("concat('SHOP', ' ' || id % 2) AS name", "-id AS amount_minor", "'pos SHOP' AS description")
     rules = derived.part_rules(spark).limit(0)
