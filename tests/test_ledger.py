@@ -686,6 +686,21 @@ def test_lines_of_a_form_are_cut_without_a_join(spark):
     assert "Join" not in plan(rows) and rows.limit(1).count() == 1
 
 
+def test_headers_of_a_form_are_dealt_and_lines_kept_without_them(spark):
+    form = statement_forms.FORMS["two dates"]
+    lines, _ = derived.printed_documents(spark, SF)
+    content = forms.sectioned(grouped.stored(lines.where("doc % 2 = 1")).withColumn("t", forms.line_text(F.col("words"))), form)
+    assert "Broadcast" not in content._jdf.queryExecution().executedPlan().toString()
+    assert "columns" not in content.columns and "cells" in content.columns  # a header's columns are not written again with every line
+
+
+def test_stored_rows_are_the_same_by_parts_too(spark):
+    rows = spark.createDataFrame([("2024", 1), ("two dates", 2), ("two dates", None)], "layout string, n int")
+    kept = grouped.stored(rows, "layout")
+    assert kept.schema["layout"].dataType == rows.schema["layout"].dataType and sorted(map(str, kept.select("layout", "n").collect())) == sorted(map(str, rows.collect()))
+    assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def dealt_once(df):
     """Whether rows are dealt once, and not grouped before."""
     _, *below = df._jdf.queryExecution().executedPlan().toString().split("Exchange ")
