@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnledger.functions import dates, money, text
 from cairnledger.operators import categories, forms, geometry, grouped, identity, judgements, layout, recurrence, spending, statements, transfers
-from cairnledger.plans import derived
+from cairnledger.plans import derived, registry
 from cairnledger.sources import archive, files, statement_forms
 from cairnledger.sources.driver_tables import Ledger, ledger
 from cairnledger.streaming import intake
@@ -694,6 +694,10 @@ def test_headers_of_a_form_are_dealt_and_lines_kept_without_them(spark):
     assert "columns" not in content.columns and "cells" in content.columns  # a header's columns are not written again with every line
 
 
+def test_orders_of_cards_are_dealt_and_not_broadcast(spark):
+    assert "Broadcast" not in registry.win_12_card_sightings(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_rows_are_the_same_by_parts_too(spark):
     rows = spark.createDataFrame([("2024", 1), ("two dates", 2), ("two dates", None)], "layout string, n int")
     kept = grouped.stored(rows, "layout")
